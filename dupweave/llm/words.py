@@ -21,6 +21,8 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_"]] = True
 IS_WORD[128:] = True
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[ord("A") : ord("Z") + 1] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -36,6 +38,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
+def sorted_unique(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (one more than texts) and UTF-8 bytes; nulls count as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -108,6 +115,7 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def word_slices(texts: pa.Array, lower: bool = True) -> Iterator[Words]:
+    """Words of the lower-cased texts; without `lower` only ASCII is lowered, for the hashes, and bytes keep their places."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if lower:
@@ -117,7 +125,8 @@ def word_slices(texts: pa.Array, lower: bool = True) -> Iterator[Words]:
         own, bytes_ = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
         starts, ends = runs(IS_WORD[bytes_], own)
         up, down = powers(len(bytes_) + 1)
-        sums = np.concatenate((np.zeros(1, U), np.cumsum((bytes_.astype(U) + U(1)) * up[:-1], dtype=U)))
+        plain = bytes_ if lower else LOWERED[bytes_]
+        sums = np.concatenate((np.zeros(1, U), np.cumsum((plain.astype(U) + U(1)) * up[:-1], dtype=U)))
         hashes = mix((sums[ends] - sums[starts]) * down[starts])
         yield Words(a, np.searchsorted(starts, own), hashes, starts, ends, own, bytes_)
 
