@@ -105,11 +105,12 @@ def path_verdict(path: Column, ignore_patterns: list[str] | None = None, ignore_
     verdict = lambda format_, reason: F.struct(format_.alias("format"), reason.alias("reason"))
     none = F.lit(None).cast("string")
 
-    def judged(format_: Column) -> Column:
-        return F.when(format_.isNull(), verdict(none, F.lit("unsupported-format"))).when(unwanted, verdict(none, F.lit("ignored"))).otherwise(verdict(format_, none))
+    def judged(x: Column) -> Column:
+        return F.when(x["format"].isNull(), verdict(none, F.lit("unsupported-format"))).when(x["unwanted"], verdict(none, F.lit("ignored"))).otherwise(verdict(x["format"], none))
 
-    # The format is computed once: a one-element array gives it a name.
-    return F.when(outside, verdict(none, F.lit("ignored"))).otherwise(F.transform(F.array(detect_format(path, formats_exts)), judged)[0])
+    # A one-element array gives the format a name, so that it is computed once.
+    named = F.array(F.struct(detect_format(path, formats_exts).alias("format"), unwanted.alias("unwanted")))
+    return F.when(outside, verdict(none, F.lit("ignored"))).otherwise(F.transform(named, judged)[0])
 
 
 def is_generated(text: Column) -> Column:

@@ -101,12 +101,12 @@ def runs_against(probes: DataFrame, corpus: DataFrame, min_tokens: int = C.MIN_T
     return runs_of_pairs(candidate_pairs(probes, corpus, min_tokens), probes, corpus, min_tokens)
 
 
-def self_runs(tokens: DataFrame, min_tokens: int = C.MIN_TOKENS) -> DataFrame:
-    """(file, region, other, len) of runs within files: region is the later side."""
+def self_runs(tokens: DataFrame, min_tokens: int = C.MIN_TOKENS, most: int = C.MAX_SELF_OCCURRENCES) -> DataFrame:
+    """(file, region, other, len) of runs within files: region is the later side; `most` places of a fingerprint are paired."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, q, p, n) for i, x in enumerate(list_arrays(batch.column(1))) for p, q, n in self_runs_of(x, min_tokens)]
+            rows = [(i, q, p, n) for i, x in enumerate(list_arrays(batch.column(1))) for p, q, n in self_runs_of(x, min_tokens, most)]
             table = np.array(rows, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(table[:, 0])), *(pa.array(table[:, k], pa.int32()) for k in (1, 2, 3))], names=["file", "region", "other", "len"])
 

@@ -105,12 +105,22 @@ def benchmark_contamination(spark: SparkSession, d: str) -> DataFrame:
     return _probe_runs(spark, d).select("file", "other_file", *[F.col(c).cast("long").alias(c) for c in ("region", "other", "len")])
 
 
-def self_runs(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("file"), F.lit("txt").alias("format"), F.col("html").alias("text"))
-    found = runs.self_runs(fingerprints.token_table(pages), SHORT_TOKENS)
+def _page_runs(spark: SparkSession, d: str, most: int) -> DataFrame:
+    pages = corpus.page_files(spark, d).withColumn("format", F.lit("txt"))
+    found = runs.self_runs(fingerprints.token_table(pages), SHORT_TOKENS, most)
     return found.select("file", *[F.col(c).cast("long").alias(c) for c in ("region", "other", "len")])
 
 
+def self_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of at least 10 tokens within a page's source, from the first 128 places of each fingerprint."""
+    return _page_runs(spark, d, C.MAX_SELF_OCCURRENCES)
+
+
+def self_runs_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same from all places."""
+    return _page_runs(spark, d, 1 << 30)
+
+
 def trim_partial_lines(spark: SparkSession, d: str) -> DataFrame:
     """Whole-line parts of the runs between benchmark items and documents, of any length left."""
     found = _probe_runs(spark, d).select("file", "region", "len").distinct()
@@ -301,7 +311,7 @@ def tool_paths(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     tokenize_docs, token_hash, line_spans, block_streams, size_filter, generated_filter, path_classify, test_path_flag, format_detect, content_dedupe, kgram_hash, winnow_fingerprints, posting_lists, cross_runs,
-    benchmark_contamination, self_runs, trim_partial_lines, append_edit_new_tokens, myers_diff, greedy_matches, insert_edit_matches, conversation_edits, match_key, index_upsert_delete, rescan_actions, file_cap, edit_before_lookup, captured_before,
+    benchmark_contamination, self_runs, self_runs_all, trim_partial_lines, append_edit_new_tokens, myers_diff, greedy_matches, insert_edit_matches, conversation_edits, match_key, index_upsert_delete, rescan_actions, file_cap, edit_before_lookup, captured_before,
     ledger_first_seen, delivery_routing, report_top4, report_text, excerpts, config_merge, brace_expand, status_counts, edit_fan_out, tool_paths,
 )}
 

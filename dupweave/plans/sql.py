@@ -106,7 +106,7 @@ w AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY pos) AS n, min({{
 SELECT DISTINCT key AS item_id, least.gram AS fp, -least.back AS pos FROM w WHERE n >= 6""",
     "cross_runs": f"WITH {tokens_sql(DOCS, 'file')}, {grams_sql('tok', 40, 'g')}, {runs_sql('g', 'g', 'x.key < y.key', 40)} SELECT a AS file, b AS other_file, region, other, len FROM runs",
     "benchmark_contamination": f"{PROBES} SELECT a AS file, b AS other_file, region, other, len FROM runs",
-    "self_runs": f"""WITH {tokens_sql("(SELECT 'page' || page_id AS file, html AS text FROM pages)", 'file')}, {grams_sql('tok', 10, 'g')}, {runs_sql('g', 'g', 'x.key = y.key AND x.pos < y.pos', 10)},
+    "self_runs_all": f"""WITH {tokens_sql("(SELECT 'page' || page_id AS file, html AS text FROM pages)", 'file')}, {grams_sql('tok', 10, 'g')}, {runs_sql('g', 'g', 'x.key = y.key AND x.pos < y.pos', 10)},
 clipped AS (SELECT a AS file, other AS region, region AS other, least(len, other - region) AS len FROM runs) SELECT * FROM clipped WHERE len >= 10""",
     "trim_partial_lines": f"""{PROBES}, own AS (SELECT DISTINCT a AS file, region, len FROM runs),
 edges AS (SELECT key, line, min(pos) AS low, max(pos) AS high FROM it GROUP BY key, line),

@@ -56,7 +56,7 @@ def read_files(spark: SparkSession, root: str, most_bytes: int = C.MAX_FILE_BYTE
         return judged.select("file", "format", F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("mtime_ms"), "listing_ord", F.lit(None).cast("string").alias("text"), F.col("reason").alias("skip_reason"))
     base = os.path.realpath(root).rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{base}")
-    sizes = files.select(F.expr(f"substring(url_decode(replace(path, '+', '%2B')), {len('file:' + base) + 2})").alias("file"), "length", "modificationTime", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
+    sizes = files.select(F.expr(f"substring(path, {len('file:' + base) + 2})").alias("file"), "length", "modificationTime", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
     joined = judged.join(sizes, "file", "left")
     text = F.decode("content", "UTF-8")
     reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("length").isNull(), "deleted").when(F.col("length") > most_bytes, "too-large").otherwise(skip_reason(text, most_bytes))
