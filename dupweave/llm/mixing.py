@@ -24,6 +24,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import fresh, hex_fraction, ref, row_key
 from .words import text_bytes, words_per_text
@@ -38,7 +39,7 @@ OFFSET_STEPS = 1 << 20
 HALF = "80"
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def _words(texts: pa.Array) -> pa.Array:
     offsets, data = text_bytes(texts)
     return pa.array(words_per_text(offsets, data), pa.int64())
