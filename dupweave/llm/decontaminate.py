@@ -70,9 +70,9 @@ def banded_distance(item: np.ndarray, region: np.ndarray, most: int) -> tuple[in
     Parts may begin anywhere: the band is the region's length minus the item's, plus `most` on either side.
     """
     m, n = len(item), len(region)
-    width = n - m + 2 * most + 1
-    if width <= 0:
+    if n < m - most:
         return most + 1, 0
+    width = n - m + 2 * most + 1
     # Cell k of row i is column i + k - most.
     columns = np.arange(width) - most
     big = m + n + 1
@@ -84,7 +84,7 @@ def banded_distance(item: np.ndarray, region: np.ndarray, most: int) -> tuple[in
         differ = padded[i : i + width] != item[i - 1]
         new = np.minimum(row + differ, np.append(row[1:], big) + 1)
         new[(at < 0) | (at > n)] = big
-        if -i >= -most and most - i >= 0:
+        if i <= most:
             new[most - i] = i
         new = np.minimum.accumulate(new - steps) + steps
         new[at > n] = big
