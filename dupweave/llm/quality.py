@@ -4,7 +4,9 @@ A document's grade is its quality mark plus one if it isn't toxic (0 to 2). One
 text features gives a score s, ordered thresholds t_0 < t_1 give P(grade <= k) = 1 / (1 + exp(s - t_k)), and
 from these come the expected grade and the tail probability P(grade >= 2) that selection uses. Features are
 the distinct words, their first five bytes, and steps of the rates of ASCII marks, capitals and repeats;
-the whole text counts. The fit (L1-regularised, accelerated proximal gradient, from zero) is deterministic.
+the whole text counts. Weights are zero or less: features only speak against a text, so that a long text can't
+outweigh one bad word with many common ones. The fit (L1-regularised adaptive proximal gradient, from zero)
+is deterministic.
 
 Fitting uses at most SAMPLE_ROWS labelled rows, those with the least hash of their id: a bound that doesn't
 grow with the data. Scoring is one narrow pass with vectorised batches.
@@ -30,10 +32,10 @@ from .words import U, IS_WORD, mix, powers, sorted_unique, text_bytes, word_slic
 BITS = 18
 SAMPLE_ROWS = 8000
 LEAST_DOCUMENTS = 5
-L1 = 5e-4
+L1 = 2e-4
 STEPS = 150
 GRADES = 3
-KEEP_TAIL = 0.6
+KEEP_TAIL = 0.75
 MARKS = np.array([b for b in range(33, 127) if not IS_WORD[b]])
 
 
@@ -98,18 +100,19 @@ def fit(bounds: np.ndarray, numbers: np.ndarray, grades: np.ndarray, steps: int
     """The regularised maximum-likelihood model of documents given as feature numbers by row."""
     n = len(grades)
     if not n:
-        return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([-2.0, -1.0]))
+        return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([-4.0, -3.0]))
     documents = np.bincount(numbers, minlength=1 << BITS)
     used = np.flatnonzero((documents >= LEAST_DOCUMENTS) & (documents < n))
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
+    place = place.astype(np.int32)
     keep = place[numbers] >= 0
-    row = np.repeat(np.arange(n), np.diff(bounds))[keep]
-    x, rows = place[numbers[keep]], np.searchsorted(row, np.arange(n + 1))
+    kept = np.concatenate(([0], np.cumsum(keep)))
+    x, rows = place[numbers[keep]], kept[bounds]
     counts = np.bincount(grades, minlength=GRADES) + 1.0
     share = np.cumsum(counts)[:-1] / counts.sum()
     cuts = np.log(share / (1 - share))
-    w = np.zeros(len(used))
+    w = np.zeros(len(used))  # stays at zero or below
     seen_w, seen_t = np.full(len(used), 1e-10), np.full(len(cuts), 1e-10)
     for _ in range(steps):
         p = _at_most(_sums(w[x], rows), cuts)
@@ -125,7 +128,7 @@ def fit(bounds: np.ndarray, numbers: np.ndarray, grades: np.ndarray, steps: int
         seen_t += g_t * g_t
         rate = 0.3 / np.sqrt(seen_w)
         w = w - rate * g_w
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
+        w = np.minimum(w + rate * l1, 0)
         cuts = np.maximum.accumulate(cuts - 0.3 / np.sqrt(seen_t) * g_t + np.arange(len(cuts)) * 1e-9)
     kept = np.flatnonzero(w)
     return OrdinalModel(used[kept], w[kept], cuts)
@@ -151,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ordina
     lists = found.column("numbers").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
     sizes = np.array([len(x) for x in lists], np.int64)
-    return fit(np.concatenate(([0], np.cumsum(sizes))), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), found.column("grade").to_numpy().astype(np.int64))
+    return fit(np.concatenate(([0], np.cumsum(sizes))), lists.flatten().to_numpy(zero_copy_only=False), found.column("grade").to_numpy().astype(np.int64))
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", keep_tail: float = KEEP_TAIL) -> DataFrame:
