@@ -76,7 +76,7 @@ def test_near_copies_against_all_pairs(spark):
     texts = near_copies(1)
     expected = sorted(brute(range(len(texts)), texts), key=repr)
     got = joined(spark, range(len(texts)), texts)
-    assert sum(x[2] for x in expected) > 300 and recall(got, expected) > 0.98
+    assert sum(x[2] for x in expected) > 200 and recall(got, expected) > 0.98
     assert sum(a[1] == b[1] for a, b in zip(got, expected, strict=True)) >= 0.98 * len(texts)
 
 
