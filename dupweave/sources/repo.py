@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import shutil
 import subprocess
 import time
 
@@ -130,3 +132,22 @@ def is_project_enabled(path: str, cwd: str) -> bool:
     projects, _ = load_state(path)
     entry = projects.get(project_key(cwd)) or projects.get(os.path.realpath(cwd))
     return entry["enabled"] if entry else True
+
+
+# Names of token caches that older versions left behind, files and folders.
+STALE_FILE, STALE_FOLDER = r"\.(sqlite|sqlite-wal|sqlite-shm)$", r"^[0-9a-f]{16}_[0-9a-f]{16}$"
+
+
+def remove_stale_caches(folder: str) -> list[str]:
+    """Remove old token caches from a cache folder and name them; nothing else is touched, errors are passed over."""
+    gone = []
+    try:
+        entries = list(os.scandir(folder))
+    except OSError:
+        return gone
+    for e in entries:
+        is_folder = e.is_dir(follow_symlinks=False)
+        if re.search(STALE_FOLDER if is_folder else STALE_FILE, e.name) and (is_folder or e.is_file(follow_symlinks=False)):
+            shutil.rmtree(e.path, ignore_errors=True) if is_folder else os.unlink(e.path)
+            gone.append(e.name)
+    return sorted(gone)

@@ -152,3 +152,33 @@ def test_project_switches(work_tree, tmp_path):
 def test_pre_images(tmp_path):
     (tmp_path / "f").write_text("x")
     assert repo.read_before(str(tmp_path / "f")) == ("content", "x") and repo.read_before(str(tmp_path / "g")) == ("absent", None) and repo.read_before(str(tmp_path)) == ("unknown", None) and repo.read_before(str(tmp_path / "f"), 0) == ("unknown", None)
+
+
+def test_stale_caches(tmp_path):
+    for name in ("a.sqlite", "a.sqlite-wal", "projects.json", "x.txt"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / ("0" * 16 + "_" + "f" * 16)).mkdir()
+    (tmp_path / "kept").mkdir()
+    assert repo.remove_stale_caches(str(tmp_path)) == ["0" * 16 + "_" + "f" * 16, "a.sqlite", "a.sqlite-wal"] and sorted(os.listdir(tmp_path)) == ["kept", "projects.json", "x.txt"]
+    assert repo.remove_stale_caches(str(tmp_path / "none")) == []
+
+
+def test_workspace_follows_the_work_tree(spark, work_tree, tmp_path):
+    from dupweave.plans import workspace
+
+    body = lambda k: "\n".join(f"call{k}({', '.join(f'name{k}x{i}y{j}' for j in range(4))});" for i in range(12))
+    (work_tree / "src" / "one.ts").write_text(body(1))
+    w = workspace.acquire(spark, str(work_tree / "src"), str(tmp_path / "state"))
+    assert workspace.acquire(spark, str(work_tree), str(tmp_path / "other")) is w and workspace.acquire(spark, "/", str(tmp_path)) is None
+    probe = lambda k: spark.createDataFrame([edit(1, "src/new.ts", None, body(k), "absent"), edit(2, "README.md", None, body(k), "absent")], EDIT)
+    assert [(r.edit_id, r.other_file) for r in w.check(probe(1)).collect()] == [(1, "src/one.ts")] and w.check(probe(2)).isEmpty()
+    before = w.status()
+    (work_tree / "src" / "one.ts").write_text(body(2) + "\n")
+    (work_tree / "src" / "app.ts").unlink()
+    w.refresh()
+    after = w.status()
+    assert w.check(probe(1)).isEmpty() and [r.other_file for r in w.check(probe(2)).collect()] == ["src/one.ts"]
+    assert (before["indexed_files"], after["indexed_files"]) == (5, 4) and "files indexed" in after["sentence"]
+    state = str(tmp_path / "projects.json")
+    assert "is on" in workspace.command("status", state, str(work_tree), w) and "off" in workspace.command("OFF", state, str(work_tree), w) and "is off" in workspace.command("", state, str(work_tree)) and "isn't" in workspace.command("x", state, str(work_tree))
+    assert w.state == "unavailable"
