@@ -182,3 +182,17 @@ def test_workspace_follows_the_work_tree(spark, work_tree, tmp_path):
     state = str(tmp_path / "projects.json")
     assert "is on" in workspace.command("status", state, str(work_tree), w) and "off" in workspace.command("OFF", state, str(work_tree), w) and "is off" in workspace.command("", state, str(work_tree)) and "isn't" in workspace.command("x", state, str(work_tree))
     assert w.state == "unavailable"
+
+
+def test_progress_is_throttled():
+    from types import SimpleNamespace as Event
+
+    from dupweave.streaming.progress import ProgressStatus
+
+    said = []
+    status = ProgressStatus(said.append, interval=60)
+    status.onQueryStarted(Event(runId="r"))
+    for n in (3, 4):
+        status.onQueryProgress(Event(progress=Event(runId="r", numInputRows=n)))
+    status.onQueryTerminated(Event(runId="r", exception=None))
+    assert said == ["started", "3 rows checked", "done after 7 rows"]
