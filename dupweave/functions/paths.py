@@ -48,36 +48,44 @@ def matches_rules(path: Column, rules: list[Rule]) -> Column:
 
 def detect_format(path: Column, formats_exts: dict[str, list[str]] | None = None) -> Column:
     """The format by extension; null if it isn't code. Extensions named in `formats_exts` come first and always count."""
-    ext = F.substring(extension(path), 2, 1000)
     known = {e: f for f, names in C.FORMAT_EXTENSIONS.items() for e in names.split()}
     code = {e: f for e, f in known.items() if f not in C.NON_CODE_FORMATS and not (f == "markup" and e in C.NON_CODE_MARKUP_EXTS)}
-    # An exact extension counts before its lower-case form, also where it makes the path no code.
-    out = F.when(ext == "", F.lit(None).cast("string"))
-    for name, names in (formats_exts or {}).items():
-        if name in C.FORMAT_EXTENSIONS:
-            out = out.when(ext.isin(names) | F.lower(ext).isin(names), name)
-    found = F.when(ext.isin(list(known)), ext).otherwise(F.lower(ext))
     formats = F.map_from_arrays(F.array(*map(F.lit, code)), F.array(*map(F.lit, code.values())))
-    return out.when(~F.lower(ext).isin(C.NON_CODE_MARKUP_EXTS), F.try_element_at(formats, found))
+
+    def named(ext: Column) -> Column:
+        # An exact extension counts before its lower-case form, also where it makes the path no code.
+        out = F.when(ext == "", F.lit(None).cast("string"))
+        for name, names in (formats_exts or {}).items():
+            if name in C.FORMAT_EXTENSIONS:
+                out = out.when(ext.isin(names) | F.lower(ext).isin(names), name)
+        found = F.when(ext.isin(list(known)), ext).otherwise(F.lower(ext))
+        return out.when(~F.lower(ext).isin(C.NON_CODE_MARKUP_EXTS), F.try_element_at(formats, found))
+
+    return F.transform(F.array(F.substring(extension(path), 2, 1000)), named)[0]
 
 
 def is_default_test(path: Column) -> Column:
     """The ordered rules for test paths of many ecosystems."""
-    ext, base, dirs = F.lower(extension(path)), base_name(path), folders(path)
-    name = F.substring(base, F.lit(1), F.length(base) - F.length(ext))
-    named = F.transform(dirs, lambda d: F.lower(d))
-    structured = F.lit(False)
-    for pattern in C.TEST_PATHS:
-        structured = structured | path.rlike(pattern)
-    return (
-        F.when(ext.isin(C.TEST_EXTENSIONS), True)
-        .when(F.lower(base).isin(C.TEST_HELPERS), True)
-        .when(F.arrays_overlap(named, F.array(*map(F.lit, C.TEST_DIRECTORIES))), True)
-        .when((F.size(F.filter(dirs, lambda d: d != "")) > 0) & structured, True)
-        .when(name == "", False)
-        .when(name.rlike(C.NOT_TESTS), False)
-        .otherwise(base.rlike(C.TEST_PREFIX) | name.rlike(C.TEST_PASCAL_PREFIX) | name.rlike(C.TEST_SUFFIX) | name.rlike(C.TEST_PASCAL_SUFFIX))
-    )
+
+    def judged(x: Column) -> Column:
+        ext, base, dirs = x["ext"], x["base"], x["dirs"]
+        name = F.substring(base, F.lit(1), F.length(base) - F.length(ext))
+        structured = F.lit(False)
+        for pattern in C.TEST_PATHS:
+            structured = structured | x["path"].rlike(pattern)
+        return (
+            F.when(ext.isin(C.TEST_EXTENSIONS), True)
+            .when(F.lower(base).isin(C.TEST_HELPERS), True)
+            .when(F.arrays_overlap(F.transform(dirs, lambda d: F.lower(d)), F.array(*map(F.lit, C.TEST_DIRECTORIES))), True)
+            .when((F.size(F.filter(dirs, lambda d: d != "")) > 0) & structured, True)
+            .when(name == "", False)
+            .when(name.rlike(C.NOT_TESTS), False)
+            .otherwise(base.rlike(C.TEST_PREFIX) | name.rlike(C.TEST_PASCAL_PREFIX) | name.rlike(C.TEST_SUFFIX) | name.rlike(C.TEST_PASCAL_SUFFIX))
+        )
+
+    # A one-element array gives the parts names, so that each is computed once.
+    parts = F.struct(path.alias("path"), F.lower(extension(path)).alias("ext"), base_name(path).alias("base"), folders(path).alias("dirs"))
+    return F.transform(F.array(parts), judged)[0]
 
 
 def is_test(path: Column, ignore_tests: bool = True, custom: list[str] | None = None, exclude: list[str] | None = None) -> Column:
