@@ -8,8 +8,8 @@ then text, then position) stays, and the sentences that any other place covers a
 numbers any repeated passage of over 50 words holds whole spans.
 
 Shuffles: each span once to find repeats (counts and first places combine before it), once to look its
-repeat up, and each text once to be rewritten. A span that a third of all texts share is one row on one
-side of that join, and Spark splits the other side.
+repeat up, and each text once to be rewritten. Repeats are checkpointed; a span that a third of all texts
+share is one row there, and Spark splits the other side of the join.
 
 Defined results: null texts stay null, empty texts empty; letter case of ASCII and all punctuation and white
 space are ignored in comparing; rows that repeat id and text are one document and get the same text; nulls
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ref
+from .common import ensure_checkpoint_dir, fresh, ref
 from .words import GRAM, U, Words, mix, word_slices
 
 LONG_SENTENCE = 16
@@ -129,10 +129,12 @@ def remove_places(texts: pa.Array, places: pa.Array) -> tuple[list[str | None],
 
 def repeated_places(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, text) -> (doc_id, text_key, places): all places of repeated spans but the first ones."""
+    ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.select("doc_id", "text_key", "text").mapInArrow(_span_rows, "span long, doc_id long, text_key long, place long")
     where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "place")
-    once = rows.groupBy("span").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last")
-    once = once.select(F.col("span").alias("s"), "first")
+    once = rows.groupBy("span").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Cut here: the join then reads both sides from exchanges of its own, which Spark can split where a span is hot.
+    once = once.select(F.col("span").alias("s"), "first").checkpoint()
     other = rows.join(once, F.col("span") == F.col("s")).filter(where != F.col("first"))
     return other.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
