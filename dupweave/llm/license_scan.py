@@ -4,8 +4,10 @@ Units of a text are its lines, its paragraphs of several lines (between blank li
 unit is normalised (ASCII letters and digits, lower case, single spaces) and is the set of its word
 bigrams. With a and b bigrams a unit and a template can reach a Dice coefficient t only if
 t / (2 - t) <= a / b <= (2 - t) / t, which prunes units by all templates' sizes and templates by the
-unit's; a unit must also hold enough bigrams that any template has. Everything is SQL functions on arrays
-within a row: one narrow pass, no shuffle and no Python.
+unit's; a unit must also hold enough bigrams that any template has. Before bigrams are made, a text and then
+a unit must have an anchor word: anchors are chosen from the templates so that the bigrams without one are
+too few to reach t, so no match is lost. Everything is SQL functions on arrays within a row: one narrow
+pass, no shuffle and no Python.
 
 Defined results: null and empty texts and units of one word have no licence; equal scores go to the first
 template by name; a licence found in several units counts once, with its best score; repeated rows each
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import ref
 
 DICE = 0.75
+#: Words that tell little; anchors are others where that is possible.
+COMMON = set("a all an and any are as at be by can file for free from if in including is it may more no not of on one or other part particular provided subject that the this to under use version will with without work you".split())
 
 #: Notices and texts of public licences.
 TEMPLATES = {
@@ -57,6 +61,21 @@ def size_bounds(size: int, dice: float) -> tuple[float, float]:
     return size * dice / (2 - dice), size * (2 - dice) / dice
 
 
+def anchor_words(sets: dict[str, list[str]], dice: float) -> list[str]:
+    """Words, rare in English and frequent in the templates first, so that of each template fewer bigrams lack one than a match shares.
+
+    A match of a set of `size` shares at least size * dice / (2 - dice) bigrams with it.
+    """
+    chosen: list[str] = []
+    while True:
+        bare = {n: [b for b in own if not set(b.split()) & set(chosen)] for n, own in sets.items()}
+        open_ = [b for n, own in sets.items() if len(bare[n]) >= size_bounds(len(own), dice)[0] for b in bare[n]]
+        if not open_:
+            return sorted(chosen)
+        words = sorted({w for b in open_ for w in b.split()})
+        chosen.append(max(words, key=lambda w: (w not in COMMON, sum(w in b.split() for b in open_) * len(w) ** 2)))
+
+
 def _plain(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
 
@@ -67,11 +86,6 @@ def _units(text: Column) -> Column:
     return F.concat(lines, F.when(F.contains(text, F.lit("\n")), F.concat(paragraphs, F.array(text))).otherwise(F.array().cast("array<string>")))
 
 
-def _words_within(unit: Column, least: int, most: int) -> Column:
-    """A cheap test that `unit` may have `least` to `most` words, by its length and its spaces."""
-    return (F.length(unit) >= 2 * least - 1) & (F.length(unit) - F.length(F.replace(unit, F.lit(" "))) + 1 <= most * 4)
-
-
 def _best_score(units: Column, own: list[str], dice: float) -> Column:
     """The best Dice coefficient of the units whose size can reach `dice` with a template's bigrams; null without any."""
     least, most = size_bounds(len(own), dice)
@@ -87,14 +101,16 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, dic
     high = max(size_bounds(len(s), dice)[1] for s in sets.values())
     smallest = min(len(s) for s in sets.values())
 
+    anchors = F.array(*map(F.lit, anchor_words(sets, dice)))
+
     text = F.coalesce(ref(text_col), F.lit(""))
-    units = F.transform(F.filter(_units(text), lambda u: _words_within(u, int(low) + 1, 10**6)), _plain)
-    words = F.transform(units, lambda u: F.split(u, " "))
-    sized = F.filter(words, lambda w: F.size(w) - 1 >= low)
-    pairs = F.transform(sized, lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
+    units = F.transform(F.filter(_units(text), lambda u: F.length(u) >= 2 * int(low) + 1), _plain)
+    words = F.filter(F.transform(units, lambda u: F.split(u, " ")), lambda w: (F.size(w) - 1 >= low) & F.arrays_overlap(w, anchors))
+    pairs = F.transform(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
     # Bigrams that no template has can't be shared: keep the unit's size and its known bigrams only.
     shared = F.transform(F.filter(pairs, lambda p: (F.size(p) >= low) & (F.size(p) <= high)), lambda p: F.struct(F.size(p).alias("n"), F.filter(p, lambda b: b.isin(known)).alias("known")))
     likely = F.filter(shared, lambda u: F.size(u["known"]) * 2 >= F.lit(dice) * (u["n"] + smallest))
+    likely = F.when(F.arrays_overlap(F.split(_plain(text), " "), anchors), likely).otherwise(F.array().cast("array<struct<n:int,known:array<string>>>"))
     found = [F.struct(F.lit(name).alias("name"), _best_score(F.col("_likely"), own, dice).alias("dice")) for name, own in sets.items()]
     kept = [ref(c) for c in docs.columns if c.lower() != "licenses"]
     rows = docs.withColumn("_likely", likely)

@@ -50,6 +50,14 @@ def test_bounds_never_prune_a_match():
                 assert low - 1e-9 <= other <= high + 1e-9
 
 
+def test_every_match_has_an_anchor():
+    sets = {n: L.bigrams_of(t) for n, t in L.TEMPLATES.items()}
+    anchors = set(L.anchor_words(sets, L.DICE))
+    for own in sets.values():
+        bare = [b for b in own if not set(b.split()) & anchors]
+        assert len(bare) < L.DICE / (2 - L.DICE) * len(own)
+
+
 def test_no_python(docs):
     plan = L.license_digest(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
