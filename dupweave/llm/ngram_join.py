@@ -109,7 +109,8 @@ def verify_group(sets: list[np.ndarray], similarity: float) -> np.ndarray:
         part[row[a:b], column[a:b] - k * COLUMNS_AT_ONCE] = 1
         both += part @ part.T
     total = sizes[:, None] + sizes[None, :]
-    linked = both * (1 + similarity) >= similarity * total - 1e-6
+    # In float64, where a pair at exactly `similarity` differs from the bound by rounding only.
+    linked = both.astype(np.float64) * (1 + similarity) >= similarity * total * (1 - 1e-12)
     np.fill_diagonal(linked, False)
     return linked
 

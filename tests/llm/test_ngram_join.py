@@ -120,6 +120,16 @@ def test_verification_counts_shared_shingles():
             assert got[i, j] == got[j, i] == (both >= 0.5 * (len(sets[i]) + len(sets[j]) - both))
 
 
+def test_pairs_at_exactly_the_threshold():
+    for both in range(4, 4000, 4):
+        union = both * 5 // 4
+        for left in (0, (union - both) // 2):
+            sets = [np.arange(both + left, dtype=np.uint64), np.concatenate((np.arange(both), np.arange(both + left, union))).astype(np.uint64)]
+            assert J.verify_group(sets, 0.8)[0, 1], (both, union)
+        short = [np.arange(both - 1, dtype=np.uint64), np.arange(union, dtype=np.uint64)]
+        assert not J.verify_group(short, 0.8).any(), (both, union)
+
+
 def test_components_of_chains_stars_and_random_graphs(spark):
     r = random.Random(4)
     edges = [(f"c{r.randrange(10**6):06}x{i}", None) for i in range(30)]
