@@ -40,7 +40,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "removed")
+    return span_dedup.remove_repeats(table(spark, sf_dir, "documents"), runs=True).select("doc_id", "text", "n_sentences", "n_removed", "removed")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,3 +119,29 @@ def test_odd_rows(spark, odd, none):
     assert {r.text for r in rows if r.doc_id == 6} == {odd_rows()[5][1]} and all(r.text is None for r in rows if r.doc_id == 1) and [r.text for r in rows if r.doc_id == 5] == [odd_rows()[4][1]]
     assert all(len(r.text) < len(odd_rows()[5][1]) for r in rows if r.doc_id == 7)
     assert S.remove_repeats(none).isEmpty()
+
+
+def test_every_passage_of_51_words_holds_a_span_wherever_it_stands():
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 7)))
+
+    def prose(n, low, high):
+        out = []
+        while len(out) < n:
+            out += [word() for _ in range(r.randint(low, high))]
+            out[-1] += "."
+        return out[:n]
+
+    def found(text):
+        (w,) = word_slices(pa.array([text]), lower=False)
+        return {*S.spans(w)[3].tolist(), *S.word_runs(w)[3].tolist()}
+
+    alone = 0
+    for low, high in ((8, 16), (12, 16), (14, 16), (13, 14), (60, 90), (17, 40)):
+        for _ in range(150):
+            passage = " ".join(prose(r.randint(0, 20) + 51, low, high)[-51:])
+            hosts = [" ".join([*prose(r.randint(1, 40), low, high), passage, *prose(r.randint(1, 40), low, high)]) for _ in range(2)]
+            assert found(hosts[0]) & found(hosts[1]), passage
+            (w1,), (w2,) = (word_slices(pa.array([h]), lower=False) for h in hosts)
+            alone += not {*S.spans(w1)[3].tolist()} & {*S.spans(w2)[3].tolist()}
+    assert alone > 20  # without the spans of words
