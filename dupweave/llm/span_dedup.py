@@ -13,9 +13,9 @@ RUN_WINDOW neighbours, the last of equal ones. A cut is seen from the words arou
 PASSAGE_WORDS words holds the same span wherever it stands: 3 * RUN_WINDOW + SPAN_WORDS < PASSAGE_WORDS. Of a span of
 words, only the words go; a place that overlaps the first one in the same text stays.
 
-Shuffles: each span once to find repeats (counts and first places combine before it), once to look its
-repeat up, and each text once to be rewritten. Repeats are checkpointed; a span that a third of all texts
-share is one row there, and Spark splits the other side of the join.
+Shuffles: each span's hash once to find repeats (counts combine before it), each span once to look its repeat up,
+repeated ones once more to meet their first place, and each text once to be rewritten. Repeats are
+checkpointed; a span that a third of all texts share is one row there, and Spark splits the other side of the joins.
 
 Defined results: null texts stay null, empty texts empty; letter case of ASCII and all punctuation and white
 space are ignored in comparing; rows that repeat id and text are one document and get the same text; nulls
@@ -213,9 +213,10 @@ def repeated_places(docs: DataFrame, runs: bool = False) -> DataFrame:
     ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.select("doc_id", "text_key", "text").mapInArrow(_span_rows(runs), "span long, doc_id long, text_key long, place long")
     where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "place")
-    once = rows.groupBy("span").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Cut here: the join then reads both sides from exchanges of its own, which Spark can split where a span is hot.
-    once = once.select(F.col("span").alias("s"), "first").checkpoint()
+    # Cut here and below: the joins then read both sides from exchanges of their own, which Spark can split where a span is hot.
+    repeated = rows.groupBy("span").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("span").alias("r")).checkpoint()
+    rows = rows.join(repeated, F.col("span") == F.col("r")).drop("r").checkpoint()
+    once = rows.groupBy("span").agg(F.min(where).alias("first")).select(F.col("span").alias("s"), "first").checkpoint()
     after = F.col("place").bitwiseAND(OF_WORDS - 1)
     shift = lambda c: F.shiftright(c, 20)
     first = F.col("first.place").bitwiseAND(OF_WORDS - 1)

@@ -145,3 +145,26 @@ def test_every_passage_of_51_words_holds_a_span_wherever_it_stands():
             (w1,), (w2,) = (word_slices(pa.array([h]), lower=False) for h in hosts)
             alone += not {*S.spans(w1)[3].tolist()} & {*S.spans(w2)[3].tolist()}
     assert alone > 20  # without the spans of words
+    for period in range(1, 12):
+        passage = " ".join(([word() for _ in range(period)] * 60)[:51])
+        assert found(f"one two {passage} three four") & found(f"five {passage} six. seven")
+
+
+def test_runs_are_removed_once(spark):
+    words = lambda k, n: " ".join(f"{k}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    p = words("p", 54).split()
+    passage = " ".join(p[:13]) + ". " + " ".join(p[13:27]) + ". " + " ".join(p[27:41]) + ". " + " ".join(p[41:])
+    # A word that no cut of long sentences follows.
+    uncut = next(x for x in ("alike", "equal", "again", "other", "words") if len(S.sentence_starts(next(word_slices(pa.array([f"{x} " * 308]), lower=False)))) == 1)
+    rows = [(1, f"{words('x', 5)} {passage} {words('y', 3)}."), (2, f"{words('z', 3)} {passage} {words('v', 4)}."), (3, f"{uncut} " * 308), (4, words("w", 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old, got = ({r.doc_id: r for r in S.remove_repeats(df, runs=k).collect()} for k in (False, True))
+    assert old[2].n_removed == 0
+    assert got[1].text == rows[0][1] and got[4].text == rows[3][1] and got[4].n_removed == 0
+    assert got[2].n_removed and 20 <= len(rows[1][1].split()) - len(got[2].text.split()) <= 54 and words("z", 3) in got[2].text
+    assert 20 <= len(got[3].text.split()) <= 40 and got[3].n_removed == 1
+    for r in got.values():
+        text, out, last = rows[r.doc_id - 1][1], "", 0
+        for x in r.removed:
+            out, last = out + text[last : x.start], x.end
+        assert out + text[last:] == r.text
