@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def fresh(df: DataFrame, base: str) -> str:
-    """A column name, made from `base`, that no column of `df` has (case-insensitively)."""
-    taken, name = {c.lower() for c in df.columns}, f"__{base}"
-    while name.lower() in taken:
+    """A name, made from `base`, with which no column of `df` begins (case-insensitively): names that begin with it are free, too."""
+    name = f"__{base}"
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
         name += "_"
     return name
 
@@ -38,12 +39,26 @@ def hex_fraction(digest: Column, start: int, digits: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; set a folder only where none is named (local tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
+    """Keep the cluster's spark.checkpoint.dir; set a folder where none is named and all tasks run in this process' machine (tests)."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="dupweave-checkpoint-"))
+    if spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    if not context.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="dupweave-checkpoint-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, for tables that later steps read again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that shared_folder() named."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,17 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: after `.`, `!`, `?` before the next word, and at line ends. A sentence of over
-LONG_SENTENCE words is cut again after words chosen by a hash of the last two words, so that a passage is cut the
-same way wherever it stands. From each sentence starts a span: the fewest sentences, at least SPAN_SENTENCES,
-that hold SPAN_WORDS words. Every span's hash is joined globally; the first place of a repeated span (least id,
-then text, then position) stays, and the sentences that any other place covers are removed.
-
-A passage that starts and ends inside sentences may hold no whole span, and periodic text may have no chosen word.
-So each PASSAGE_WORDS words without a span that shows wholly within them get spans of words (`runs=True`): from a
-cut to the first one SPAN_WORDS or more later. Cuts are where the hash of the two words before is the least of some
-RUN_WINDOW neighbours, the last of equal ones. A cut is seen from the words around it, so every passage of
-PASSAGE_WORDS words holds the same span wherever it stands: 3 * RUN_WINDOW + SPAN_WORDS < PASSAGE_WORDS. Of a span of
-words, only the words go; a place that overlaps the first one in the same text stays.
+SENTENCE_WORDS words is cut again before chosen words: of each CUT_WINDOW neighbouring places within it, the one with
+the least hash of the words on its two sides, the last of equal ones. So no sentence is longer than SENTENCE_WORDS,
+and a cut is seen from the words around it alone. From each sentence starts a span: the fewest sentences, at least
+SPAN_SENTENCES, that hold SPAN_WORDS words. Every span's hash is joined globally; the first place of a repeated span
+(least id, then text, then position) stays, and the sentences that any other place covers are removed. A place that
+overlaps the first one in the same text stays, too.
+
+Every repeated passage of PASSAGE_WORDS words holds a span that is the same wherever it stands: a cut that both texts
+make lies within SENTENCE_WORDS words of the passage's begin, so does one of its end, all cuts between are the same,
+and 2 * SENTENCE_WORDS + SPAN_WORDS < PASSAGE_WORDS.
 
 Shuffles: each span's hash once to find repeats (counts combine before it), each span once to look its repeat up,
 repeated ones once more to meet their first place, and each text once to be rewritten. Repeats are
@@ -35,13 +34,13 @@ from pyspark.sql import functions as F
 from .common import ensure_checkpoint_dir, fresh, ref
 from .words import GRAM, U, Words, mix, word_slices
 
-LONG_SENTENCE = 16
-CUT_EVERY = 5
-SPAN_SENTENCES = 3
-SPAN_WORDS = 20
+SENTENCE_WORDS = 12
+CUT_WINDOW = 11
+SPAN_SENTENCES = 2
+SPAN_WORDS = 26
 PASSAGE_WORDS = 51
-RUN_WINDOW = 10
-OF_WORDS = 1 << 62
+#: A place is the number of a span's first sentence and, in its last bits, how many it has: SPAN_WORDS at most.
+COUNT_BITS = 8
 
 ENDS_SENTENCE = np.zeros(256, np.int64)
 ENDS_SENTENCE[[*b".!?\n"]] = 1
@@ -58,10 +57,21 @@ def sentence_starts(words: Words) -> np.ndarray:
     begins[words.bounds[:-1][np.diff(words.bounds) > 0]] = True
     at = np.flatnonzero(begins)
     length = np.diff(np.append(at, n))
-    chosen = np.zeros(n, bool)
-    chosen[2:] = mix(words.hashes[1:-1] + words.hashes[:-2] * U(3)) % U(CUT_EVERY) == 0
-    place = np.arange(n) - np.repeat(at, length)
-    return np.flatnonzero(begins | chosen & np.repeat(length > LONG_SENTENCE, length) & (place >= 2))
+    # Windows of places before words a + 1 ... a + CUT_WINDOW, for each word a that has them in its own long sentence.
+    left = np.repeat(np.append(at[1:], n), length) - np.arange(n)
+    windows = np.flatnonzero(np.repeat(length > SENTENCE_WORDS, length) & (left > CUT_WINDOW))
+    if len(windows):
+        h = np.zeros(n, U)
+        h[1:] = mix(words.hashes[1:] + words.hashes[:-1] * U(3))
+        least, chosen = h[windows + 1], np.ones(len(windows), np.int64)
+        for k in range(2, CUT_WINDOW + 1):
+            value = h[windows + k]
+            better = value <= least
+            least = np.where(better, value, least)
+            chosen[better] = k
+        begins[windows + chosen] = True
+        at = np.flatnonzero(begins)
+    return at
 
 
 def spans(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,82 +96,12 @@ def spans(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return text, index - first_of_text[text], end - index, hashes, at
 
 
-def bare_passages(words: Words) -> np.ndarray:
-    """For each word, whether PASSAGE_WORDS words of a text begin there in which no span of sentences shows wholly."""
-    n = len(words.hashes)
-    if n < PASSAGE_WORDS:
-        return np.zeros(n, bool)
-    text, first, count, _, at = spans(words)
-    marks = np.concatenate(([0], np.cumsum(ENDS_SENTENCE[words.data])))
-    begins = np.ones(n, bool)
-    begins[1:] = marks[words.starts[1:]] > marks[words.ends[:-1]]
-    begins[words.bounds[:-1][np.diff(words.bounds) > 0]] = True
-    whole = np.append(np.flatnonzero(begins), n)
-    index = np.searchsorted(at, words.bounds)[text] + first
-    a, b = at[index], np.append(at, n)[index + count]
-    # A cut shows with the words beside it, one of a long sentence with the whole sentence.
-    shown_from = whole[np.searchsorted(whole, a, "right") - 1] - 1
-    shown_to = whole[np.searchsorted(whole, b)] + 1
-    inside = (shown_from >= words.bounds[text]) & (shown_to <= words.bounds[text + 1])
-    shown_from, shown_to = shown_from[inside], np.append(shown_to[inside], 2 * n + PASSAGE_WORDS)
-    i = np.arange(n)
-    end = np.repeat(words.bounds[1:], np.diff(words.bounds))
-    return (i + PASSAGE_WORDS <= end) & (shown_to[np.searchsorted(shown_from, i)] > i + PASSAGE_WORDS)
-
-
-def run_cuts(words: Words) -> np.ndarray:
-    """Whether a cut of word spans stands before each word: the least hash of two words among RUN_WINDOW places in a text."""
-    n = len(words.hashes)
-    cut = np.zeros(n + 1, bool)
-    if n < RUN_WINDOW:
-        return cut
-    h = np.zeros(n + 1, U)
-    h[2:] = mix(words.hashes[1:] + words.hashes[:-1] * U(3))
-    seen = np.lib.stride_tricks.sliding_window_view(h, RUN_WINDOW)
-    least = RUN_WINDOW - 1 - np.argmin(seen[:, ::-1], axis=1)
-    start = np.arange(len(seen))
-    low = np.searchsorted(words.bounds, np.minimum(start, n - 1), "right") - 1
-    # Places from a text's third word to its end.
-    good = (start >= words.bounds[low] + 2) & (start + RUN_WINDOW - 1 <= words.bounds[low + 1])
-    cut[(start + least)[good]] = True
-    return cut
-
-
-def word_runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word in the text, number of words, hash) of the spans of words in bare passages."""
-    n, bare = len(words.hashes), bare_passages(words)
-    none = np.zeros(0, np.int64)
-    if not bare.any():
-        return none, none, none, none.view(U)
-    cuts = np.flatnonzero(run_cuts(words))
-    a = cuts[cuts < n]
-    b = np.append(cuts, 2 * n + PASSAGE_WORDS)[np.searchsorted(cuts, a + SPAN_WORDS)]
-    total = np.concatenate(([0], np.cumsum(bare)))
-    good = (b <= n) & (b - a <= PASSAGE_WORDS)
-    a, b = a[good], b[good]
-    text = np.searchsorted(words.bounds, a, "right") - 1
-    good = (b <= words.bounds[text + 1]) & (total[a + 1] > total[np.maximum(b - PASSAGE_WORDS, words.bounds[text])])
-    a, b, text = a[good], b[good], text[good]
-    up = np.cumprod(np.full(n + 1, GRAM[0], U), dtype=U)
-    down = np.cumprod(np.full(n + 1, U(pow(int(GRAM[0]), -1, 1 << 64)), U), dtype=U)
-    sums = np.concatenate((np.zeros(1, U), np.cumsum(words.hashes * up[:n], dtype=U)))
-    return text, a - words.bounds[text], b - a, mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U) + U(OF_WORDS))
-
-
-def _span_rows(runs: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words in word_slices(batch.column(2), lower=False):
-                text, first, count, hashes, _ = spans(words)
-                found = [(text, first << 20 | count, hashes)]
-                if runs:
-                    text, first, count, hashes = word_runs(words)
-                    found.append((text, first << 20 | count | OF_WORDS, hashes))
-                for text, place, hashes in found:
-                    rows = pa.array(text + words.first)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place)], names=["span", "doc_id", "text_key", "place"])
-
-    return run
+def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words in word_slices(batch.column(2), lower=False):
+            text, first, count, hashes, _ = spans(words)
+            rows = pa.array(text + words.first)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first << COUNT_BITS | count)], names=["span", "doc_id", "text_key", "place"])
 
 
 def _word_bytes(words: Words, text: int) -> np.ndarray:
@@ -187,11 +127,10 @@ def remove_places(texts: pa.Array, places: pa.Array) -> tuple[list[str | None],
             own = own.to_numpy()
             begins = _word_bytes(words, t)
             sentence = np.append(at[np.searchsorted(at, words.bounds[t]) :][: per[t]], words.bounds[t + 1]) - words.bounds[t]
-            first, of_words = (own & OF_WORDS - 1) >> 20, own >= OF_WORDS
-            last = first + (own & (1 << 20) - 1)
+            first = own >> COUNT_BITS
             edge = np.zeros(len(begins), np.int64)
-            np.add.at(edge, np.concatenate((first[of_words], sentence[first[~of_words]])), 1)
-            np.add.at(edge, np.concatenate((last[of_words], sentence[last[~of_words]])), -1)
+            np.add.at(edge, sentence[first], 1)
+            np.add.at(edge, sentence[first + (own & (1 << COUNT_BITS) - 1)], -1)
             covered = np.cumsum(edge)[:-1] > 0
             data = words.data[words.offsets[t] : words.offsets[t + 1]].tobytes()
             gone[r] = int(np.logical_or.reduceat(covered, sentence[:-1]).sum())
@@ -208,28 +147,27 @@ def remove_places(texts: pa.Array, places: pa.Array) -> tuple[list[str | None],
     return out, total, gone, ranges
 
 
-def repeated_places(docs: DataFrame, runs: bool = False) -> DataFrame:
+def repeated_places(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, text) -> (doc_id, text_key, places): all places of repeated spans but the first ones."""
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = docs.select("doc_id", "text_key", "text").mapInArrow(_span_rows(runs), "span long, doc_id long, text_key long, place long")
+    rows = docs.select("doc_id", "text_key", "text").mapInArrow(_span_rows, "span long, doc_id long, text_key long, place long")
     where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "place")
     # Cut here and below: the joins then read both sides from exchanges of their own, which Spark can split where a span is hot.
     repeated = rows.groupBy("span").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("span").alias("r")).checkpoint()
     rows = rows.join(repeated, F.col("span") == F.col("r")).drop("r").checkpoint()
     once = rows.groupBy("span").agg(F.min(where).alias("first")).select(F.col("span").alias("s"), "first").checkpoint()
-    after = F.col("place").bitwiseAND(OF_WORDS - 1)
-    shift = lambda c: F.shiftright(c, 20)
-    first = F.col("first.place").bitwiseAND(OF_WORDS - 1)
-    overlaps = (F.col("place") >= OF_WORDS) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (shift(after) < shift(first) + first.bitwiseAND((1 << 20) - 1))
-    other = rows.join(once, F.col("span") == F.col("s")).filter((where != F.col("first")) & ~overlaps)
+    begin = lambda place: F.shiftright(place, COUNT_BITS)
+    first_end = begin(F.col("first.place")) + F.col("first.place").bitwiseAND((1 << COUNT_BITS) - 1)
+    overlaps = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (begin(F.col("place")) < first_end)
+    other = rows.join(once, F.col("span") == F.col("s")).filter(~overlaps)
     return other.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the text rewritten, and `n_sentences`, `n_removed` and `removed` (ranges of the old text in code points)."""
     p = fresh(docs, "s")
     key, ident = F.xxhash64(ref(text_col)), ref(id_col).cast("long")
-    places = repeated_places(docs.select(ident.alias("doc_id"), key.alias("text_key"), ref(text_col).alias("text")), runs)
+    places = repeated_places(docs.select(ident.alias("doc_id"), key.alias("text_key"), ref(text_col).alias("text")))
     places = places.select(*[F.col(c).alias(f"{p}{c}") for c in ("doc_id", "text_key", "places")])
     joined = docs.withColumn(f"{p}id", ident).withColumn(f"{p}key", key).join(places, F.col(f"{p}id").eqNullSafe(F.col(f"{p}doc_id")) & (F.col(f"{p}key") == F.col(f"{p}text_key")), "left")
     kind = pa.struct([("text", pa.string()), ("n_sentences", pa.int32()), ("n_removed", pa.int32()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])

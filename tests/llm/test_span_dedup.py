@@ -1,3 +1,4 @@
+import functools
 import random
 import re
 from collections import defaultdict
@@ -12,14 +13,16 @@ LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 WORD = re.compile("[A-Za-z0-9_\u0080-\U0010ffff]+")
 
 
-def brute_sentences(text, chosen):
-    """(start, end) in code points of each sentence and its words. `chosen` says after which words a long one is cut."""
+def brute_sentences(text, value):
+    """The numbers of the words at which sentences begin, and the words; `value` is the hash of two words beside a place."""
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    plain = [text[a:b].translate(LOWER) for a, b in words]
     begins = [i for i in range(len(words)) if i == 0 or re.search("[.!?\n]", text[words[i - 1][1] : words[i][0]])]
     cuts = set(begins)
     for a, b in zip(begins, [*begins[1:], len(words)], strict=True):
-        if b - a > S.LONG_SENTENCE:
-            cuts |= {i for i in range(a + 2, b) if chosen(text[words[i - 2][0] : words[i - 2][1]], text[words[i - 1][0] : words[i - 1][1]])}
+        if b - a > S.SENTENCE_WORDS:
+            for start in range(a + 1, b - S.CUT_WINDOW + 1):
+                cuts.add(min(range(start, start + S.CUT_WINDOW), key=lambda i: (value(plain[i - 1], plain[i]), -i)))
     at = sorted(cuts)
     return at, words
 
@@ -32,7 +35,7 @@ def hashes_of(texts):
             known[bytes(w.data[a:b]).decode().translate(LOWER)] = h
     import numpy as np
 
-    return lambda a, b: int(S.mix(np.array([known[b.translate(LOWER)]], np.uint64) + np.array([known[a.translate(LOWER)]], np.uint64) * np.uint64(3))[0] % np.uint64(S.CUT_EVERY)) == 0
+    return functools.cache(lambda a, b: int(S.mix(np.array([known[b]], np.uint64) + np.array([known[a]], np.uint64) * np.uint64(3))[0]))
 
 
 def brute(rows):
@@ -52,8 +55,9 @@ def brute(rows):
     for found in places.values():
         if len(found) > 1:
             first = min(found, key=lambda x: (x[0], x[1] or 0, S_key(x[2]), x[3]))
-            for x in found - {first}:
-                gone[x[1], x[2]] |= set(range(x[3], x[4]))
+            for x in found:
+                if x[:3] != first[:3] or x[3] >= first[4]:
+                    gone[x[1], x[2]] |= set(range(x[3], x[4]))
     out = []
     for i, t in rows:
         if t is None:
@@ -121,48 +125,62 @@ def test_odd_rows(spark, odd, none):
     assert S.remove_repeats(none).isEmpty()
 
 
+def prose_of(r, word, n, low, high):
+    """Words in sentences of `low` to `high` words."""
+    out = []
+    while len(out) < n:
+        out += [word() for _ in range(r.randint(low, high))]
+        out[-1] += "."
+    return out[:n]
+
+
 def test_every_passage_of_51_words_holds_a_span_wherever_it_stands():
     r = random.Random(7)
     word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 7)))
 
-    def prose(n, low, high):
-        out = []
-        while len(out) < n:
-            out += [word() for _ in range(r.randint(low, high))]
-            out[-1] += "."
-        return out[:n]
-
     def found(text):
         (w,) = word_slices(pa.array([text]), lower=False)
-        return {*S.spans(w)[3].tolist(), *S.word_runs(w)[3].tolist()}
+        return {*S.spans(w)[3].tolist()}
 
-    alone = 0
-    for low, high in ((8, 16), (12, 16), (14, 16), (13, 14), (60, 90), (17, 40)):
+    for low, high in ((1, 4), (8, 16), (12, 16), (14, 16), (13, 14), (15, 15), (16, 16), (60, 90), (17, 40), (1, 40)):
         for _ in range(150):
-            passage = " ".join(prose(r.randint(0, 20) + 51, low, high)[-51:])
-            hosts = [" ".join([*prose(r.randint(1, 40), low, high), passage, *prose(r.randint(1, 40), low, high)]) for _ in range(2)]
+            passage = " ".join(prose_of(r, word, r.randint(0, 20) + 51, low, high)[-51:])
+            hosts = [" ".join([*prose_of(r, word, r.randint(1, 40), low, high), passage, *prose_of(r, word, r.randint(1, 40), low, high)]) for _ in range(2)]
             assert found(hosts[0]) & found(hosts[1]), passage
-            (w1,), (w2,) = (word_slices(pa.array([h]), lower=False) for h in hosts)
-            alone += not {*S.spans(w1)[3].tolist()} & {*S.spans(w2)[3].tolist()}
-    assert alone > 20  # without the spans of words
     for period in range(1, 12):
         passage = " ".join(([word() for _ in range(period)] * 60)[:51])
         assert found(f"one two {passage} three four") & found(f"five {passage} six. seven")
 
 
-def test_runs_are_removed_once(spark):
+def test_no_repeated_run_of_51_words_is_left_whole(spark):
+    """Runs found by brute force: each run of 51 words in two documents loses words in all but the first of them."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    source = prose_of(r, word, 1500, 5, 30)
+    rows = []
+    for i in range(80):
+        start = r.randrange(1400)
+        rows.append((i, " ".join([*prose_of(r, word, r.randint(0, 50), 5, 30), *source[start : start + r.randint(51, 90)], *prose_of(r, word, r.randint(0, 50), 5, 30)])))
+    got = {x.doc_id: x.text for x in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    runs = defaultdict(set)
+    bare = lambda t: re.findall("[a-z]+", t)
+    for i, t in rows:
+        w = bare(t)
+        for k in range(len(w) - 50):
+            runs[tuple(w[k : k + 51])].add(i)
+    repeated = {k: v for k, v in runs.items() if len(v) > 1}
+    assert len(repeated) > 300
+    for run, holders in repeated.items():
+        left = [i for i in holders if " ".join(run) in " ".join(bare(got[i]))]
+        assert len(left) <= 1 and all(i == min(holders) for i in left)
+
+
+def test_periodic_texts_keep_their_first_words(spark):
     words = lambda k, n: " ".join(f"{k}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
-    p = words("p", 54).split()
-    passage = " ".join(p[:13]) + ". " + " ".join(p[13:27]) + ". " + " ".join(p[27:41]) + ". " + " ".join(p[41:])
-    # A word that no cut of long sentences follows.
-    uncut = next(x for x in ("alike", "equal", "again", "other", "words") if len(S.sentence_starts(next(word_slices(pa.array([f"{x} " * 308]), lower=False)))) == 1)
-    rows = [(1, f"{words('x', 5)} {passage} {words('y', 3)}."), (2, f"{words('z', 3)} {passage} {words('v', 4)}."), (3, f"{uncut} " * 308), (4, words("w", 200))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    old, got = ({r.doc_id: r for r in S.remove_repeats(df, runs=k).collect()} for k in (False, True))
-    assert old[2].n_removed == 0
-    assert got[1].text == rows[0][1] and got[4].text == rows[3][1] and got[4].n_removed == 0
-    assert got[2].n_removed and 20 <= len(rows[1][1].split()) - len(got[2].text.split()) <= 54 and words("z", 3) in got[2].text
-    assert 20 <= len(got[3].text.split()) <= 40 and got[3].n_removed == 1
+    rows = [(1, "alike " * 308), (2, words("w", 200)), (3, f"{words('x', 30)}. " + "one two three " * 200), (4, "alike " * 100)]
+    got = {r.doc_id: r for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 20 <= len(got[1].text.split()) <= 50 and 20 <= len(got[3].text.split()) - 30 <= 60 and len(got[4].text.split()) < 50
+    assert got[2].text == rows[1][1] and got[2].n_removed == 0
     for r in got.values():
         text, out, last = rows[r.doc_id - 1][1], "", 0
         for x in r.removed:
