@@ -76,14 +76,15 @@ def test_near_copies_against_all_pairs(spark):
     texts = near_copies(1)
     expected = sorted(brute(range(len(texts)), texts), key=repr)
     got = joined(spark, range(len(texts)), texts)
-    assert sum(x[2] for x in expected) > 200 and recall(got, expected) > 0.98
+    assert sum(x[2] for x in expected) > 200 and recall(got, expected) > 0.99
     assert sum(a[1] == b[1] for a, b in zip(got, expected, strict=True)) >= 0.98 * len(texts)
 
 
 def test_blocks_of_a_node_give_the_same(spark, monkeypatch):
     texts = near_copies(2, groups=3, most=60)
     whole = joined(spark, range(len(texts)), texts)
-    monkeypatch.setattr(J, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(J, "BLOCK_WEIGHT", 1500)
+    monkeypatch.setattr(J, "TASK_SHINGLES", 700)
     assert joined(spark, range(len(texts)), texts) == whole
 
 
@@ -105,8 +106,8 @@ def test_odd_rows(spark, odd, none):
 
 
 def test_prefix_is_shortened_to_the_recall():
-    depth = J.cut_depth(0.8, 12, 8, 0.995)
-    found = lambda k: 1 - (1 - 0.8**k) ** 12
+    depth = J.cut_depth(0.8, 16, 8, 0.995)
+    found = lambda k: 1 - (1 - 0.8**k) ** 16
     assert depth < 8 and found(depth) >= 0.995 > found(depth + 1)
 
 
@@ -149,3 +150,33 @@ def test_components_of_chains_stars_and_random_graphs(spark):
             parent[y] = x
     assert got == {v: find(v) for v in parent}
     assert connected_components(spark.createDataFrame([], "a string, b string")).isEmpty()
+
+
+def test_differences_give_the_same_links():
+    r = np.random.default_rng(5)
+    for m in (2, 6, 60):
+        base = np.unique(r.integers(0, 300, 80).astype(np.uint64))
+        sets = [np.unique(np.concatenate((r.choice(base, r.integers(1, len(base))), r.integers(0, 300, r.integers(0, 9)).astype(np.uint64)))) for _ in range(m)] + [base]
+        found = [J.difference(s, base) for s in sets]
+        got = J.verify_group([d for d, _ in found], 0.6, len(base), np.array([len(s) for s in sets]), np.array([k for _, k in found]))
+        assert (got == J.verify_group(sets, 0.6)).all()
+
+
+def test_depth_follows_the_data(spark, monkeypatch):
+    """Crowded nodes are cut at the depth of the target recall, sparse ones nearer to the root; links are the same."""
+    texts = near_copies(6, groups=2, most=60) + near_copies(7, groups=10, most=4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = brute(range(len(texts)), texts)
+
+    def depths(sparse):
+        monkeypatch.setattr(J, "SPARSE", sparse)
+        join = J.NgramJoin(df)
+        node = {r.prefix for r in join.nodes().collect()}
+        of = [set(), set(), set()]
+        for r in join.rows.collect():
+            for k, p in enumerate(r.prefixes):
+                of[k % 3].add(p)
+        assert recall(sorted((tuple(x) for x in join.membership().collect()), key=repr), expected) > 0.99
+        return [len(node & x) for x in of]
+
+    assert all(depths(8)) and depths(10**6)[1:] == [0, 0] and depths(1)[:2] == [0, 0]
