@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -31,7 +32,7 @@ def encoding(body):
 
 def evidence(body, name):
     """The battery by its textbook formulas."""
-    symbols, alike = S.ENCODINGS[name]
+    symbols, rate = S.ENCODINGS[name]
     k = len(symbols)
     body = body.rstrip("=").replace("-", "+").replace("_", "/")
     x = [symbols.index(c) for c in (body if k == 64 else body.lower())]
@@ -44,19 +45,26 @@ def evidence(body, name):
     turns = sum((a >= k / 2) != (b >= k / 2) for a, b in ring)
     both = 2 * high * low
     if both <= n:
-        return 0
+        return -1
     runs = (turns - both / (n - 1)) / math.sqrt(both * (both - n) / (n * n * (n - 1)))
     mean = sum(x) / n
     variance = sum((v - mean) ** 2 for v in x)
     if not variance:
-        return 0
+        return -1
     r = sum((a - mean) * (b - mean) for a, b in ring) / variance
     serial = (r + 1 / (n - 1)) * (n - 1) * math.sqrt(n - 2) / n
     if max(abs(uniform), abs(runs), abs(serial)) > S.CRITICAL:
-        return 0
-    pairs = n * (n - 1) / 2
-    equal = sum(c * (c - 1) / 2 for c in counts)
-    z = max(0.0, (pairs * alike - equal) / math.sqrt(pairs * alike * (1 - alike) + n * (n - 1) * (n - 2) * 0.3 * alike**2))
+        return -1
+    share = {c: S.LETTERS[ord(c) - 97] for c in symbols.lower() if c.isalpha()}
+    share = {c: p / sum(share.values()) for c, p in share.items()}
+    mean = sum(-p * math.log2(p) for p in share.values())
+    variance = sum(p * (-math.log2(p) - mean) ** 2 for p in share.values())
+    letters = [c for c in body.lower() if c in share]
+    rare = sum(-math.log2(share[c]) - mean for c in letters) / math.sqrt(max(1, len(letters)) * variance * S.SPREAD)
+    kinds = ["u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "" for c in (body if k == 64 else body.lower())]
+    pairs = [(a, b) for a, b in itertools.pairwise(kinds) if a and b]
+    changing = (sum(a != b for a, b in pairs) - rate * len(pairs)) / math.sqrt(max(1, len(pairs)) * rate * (1 - rate) * S.SPREAD)
+    z = max(0.0, (rare + changing) / math.sqrt(2))
     return min(S.EVIDENCE_MOST, math.floor((z * z / 2 * 0.4342944819 + math.log10(1.64 * z + math.sqrt(0.76 * z * z + 4))) * S.EVIDENCE_STEPS))
 
 
@@ -71,21 +79,26 @@ def tokens(text):
     return out
 
 
+def apart(found, base):
+    return [t for t in found if not any(x < t[1] and t[0] < y for x, _, y in base)]
+
+
 def brute(texts):
-    every = [tokens(t or "") for t in texts]
+    every = [apart(tokens(t or ""), base_spans(t or "")) for t in texts]
     by = defaultdict(list)
     for found in every:
         for t in found:
-            by[t[2]].append(t[3])
+            if t[3] >= 0:
+                by[t[2]].append(t[3])
     needed = {}
     for stratum, values in by.items():
-        ok = [b for b in set(values) if b > 0 and len(values) * 10 ** (-b / S.EVIDENCE_STEPS) <= S.FDR * sum(v >= b for v in values)]
+        ok = [b for b in set(values) if b >= S.LEAST_EVIDENCE and len(values) * 10 ** (-b / S.EVIDENCE_STEPS) <= S.FDR * sum(v >= b for v in values)]
         if ok:
             needed[stratum] = min(ok)
     out = []
     for text, found in zip(texts, every, strict=True):
         base = base_spans(text or "")
-        new = [(a, 3, b) for a, b, stratum, e in found if e >= needed.get(stratum, 10**9) and not any(x < b and a < y for x, _, y in base)]
+        new = [(a, 3, b) for a, b, stratum, e in found if e >= needed.get(stratum, 10**9)]
         show = lambda spans: ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
         out.append((sum(k == 0 for _, k, _ in base), sum(k == 1 for _, k, _ in base), sum(k == 2 for _, k, _ in base), hashlib.sha256(show(base).encode()).hexdigest(), show(base + new)))
     return out
@@ -127,3 +140,56 @@ def test_odd_rows(spark, odd, none):
 def test_no_python(docs):
     plan = S.secret_digest(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Join" not in plan
+
+
+def lookalikes(r, n):
+    """Paths, names and numbered identifiers of made-up words, in the three alphabets, with digits and capitals."""
+    common = "the of and to in is was for with that on as at by from this have not are but data user file main index test model value state image report update query block search".split()
+    syllables = "ba con de er fi gen ho in jo ka lin mon no per qui ra ser tion un ver".split()
+    word = lambda: r.choice(common) if r.random() < 0.5 else "".join(r.choice(syllables) for _ in range(r.randint(1, 3)))
+    number = lambda: str(r.randrange(10 ** r.randint(1, 4)))
+    out = []
+    for _ in range(n):
+        kind = r.randrange(4)
+        if kind == 0:
+            t = "/".join(r.choice([word(), word().capitalize(), word() + number()]) for _ in range(r.randint(4, 9)))
+        elif kind == 1:
+            t = "".join(word().capitalize() for _ in range(r.randint(4, 8))) + number()
+        elif kind == 2:
+            t = "".join(r.choice([word(), number()]) for _ in range(r.randint(5, 9)))
+        else:
+            t = "-".join([word().capitalize(), word(), number(), word().upper(), word(), number()])
+        out.append(t)
+    return out
+
+
+def test_recall_does_not_fall_with_lookalikes(spark):
+    r = random.Random(17)
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    alphabets = {"base64": (S.ENCODINGS["base64"][0], 40), "base36": (S.ENCODINGS["base36"][0], 32), "HEX": ("0123456789ABCDEF", 32)}
+    secrets = [(name, f"see {pick(chars, n)} ok") for name, (chars, n) in alphabets.items() for _ in range(200)]
+    for n in (0, 1000, 100_000):
+        texts = [t for _, t in secrets] + [f"see {t} ok" for t in lookalikes(r, n)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        found = {x.doc_id for x in S.secret_digest(df).filter("spans <> ''").select("doc_id").collect()}
+        for name in alphabets:
+            own = [i for i, (a, t) in enumerate(secrets) if a == name and re.search("[0-9]", t) and re.search("[A-Za-z]", t[4:-3])]
+            assert sum(i in found for i in own) >= 0.9 * len(own), (n, name, sum(i in found for i in own), len(own))
+        wrong = len([i for i in found if i >= len(secrets)])
+        print(n, wrong)
+        assert wrong <= max(1, 0.1 * len(found))
+
+
+def test_many_matches_in_one_text(spark):
+    """A megabyte of digests in one text: places by running sums."""
+    import time
+
+    r = random.Random(2)
+    parts = [f"{r.getrandbits(256):064x}" for _ in range(15_000)]
+    text = "é\n".join(parts)
+    began = time.monotonic()
+    (row,) = S.secret_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    expected = ",".join(f"hex:{i * 66}:{i * 66 + 64}" for i in range(15_000))
+    assert row.spans == expected and time.monotonic() - began < 60
+    mixed = " ".join(f"token={r.getrandbits(64):x} " + "".join(r.choice(S.ENCODINGS["base64"][0][:62]) for _ in range(40)) for _ in range(400))
+    check(spark, [mixed, text[:3000]])
