@@ -2,22 +2,26 @@
 
 An item of m bytes (lower case, single spaces) leaks into a text if some part of the text is within
 e = floor(EDIT_SHARE * m) edits of it. Such a part shares at least m - q + 1 - q * e q-grams with the item,
-all on diagonals that differ by e at most. Shared q-grams are counted in overlapping bands of 2 * (e + 1)
-diagonals, each band starting e + 1 after the one before, so one band holds them all. Bands that meet the
-bound are verified by a banded alignment of the whole item against the region. Nothing is sampled or cut.
-
-The items' q-grams go with the tasks. Their size is checked first: items come in blocks of about BLOCK_BYTES
-by a hash of their id, one look at the texts' column for each block, so no more than a block is held at once.
-
-Defined results: null and blank items match nothing; items shorter than q bytes match only as exact parts;
-items that repeat are each reported, items with a null id never; null and empty texts have no leaks; an
-empty benchmark or table gives no leaks or rows; input columns named `leaks` are replaced.
+all on diagonals that differ by e at most. q is Q, or as much less as an item needs for that bound to be above zero.
+Shared q-grams are counted in overlapping bands of 2 * (e + 1) diagonals, each band starting e + 1 after the one
+before, so one band holds them all. Neighbouring bands that meet the bound are one region, verified by a banded
+alignment of the whole item against it. Nothing is sampled or cut. Matches of frequent q-grams are counted
+MATCHES_AT_ONCE at a time and regions are aligned in overlapping pieces, so memory doesn't follow their number.
+
+The items' q-grams go with the tasks. Their size is summed up first. Up to BLOCK_BYTES, all items go at once: one
+narrow pass. More come in blocks of about that size by a hash of their id, one look at the texts for each block: its
+leaks are written down by id and text before the next block is fetched, so that no more than one block is on the
+driver or in a task, and joined to the texts at the end.
+
+Defined results: null and blank items match nothing; items shorter than Q bytes match only as exact parts between
+spaces or ends; items that repeat are each reported, items with a null id never; null and empty texts have no leaks; an
+empty benchmark or table gives no leaks or rows; rows that repeat id and text have the same leaks; input columns named
+`leaks` are replaced.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ref
+from .common import fresh, ref, shared_folder
 from .words import IS_SPACE, U, mix, powers, slices, text_bytes
 
 Q = 10
 EDIT_SHARE = 0.06
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 22
+MATCHES_AT_ONCE = 1 << 20
+REGION_BYTES = 1 << 16
 
 
 def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,20 +101,23 @@ def banded_distance(item: np.ndarray, region: np.ndarray, most: int) -> tuple[in
     return int(row[k]), int(k - most + m)
 
 
-@dataclass
-class ItemIndex:
-    """Items and their q-grams, sorted by hash."""
-
-    ids: list[int]
-    items: list[np.ndarray]
-    q: int
-    share: float
-
-    def __post_init__(self):
-        sizes = np.array([len(i) for i in self.items], np.int64)
-        self.edits = np.array([max(0, min(int(s * self.share), (int(s) - self.q) // self.q)) for s in sizes], np.int64)
-        self.least = sizes - self.q + 1 - self.q * self.edits
-        grams = [gram_hashes(i, self.q) for i in self.items]
+def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+class GramIndex:
+    """The q-grams of some items, sorted by hash, for one q."""
+
+    def __init__(self, items: list[np.ndarray], numbers: list[int], edits: np.ndarray, q: int):
+        self.items, self.q, self.edits = items, q, edits
+        self.numbers = np.array(numbers, np.int64)
+        self.least = np.array([len(items[k]) - q + 1 - q * int(edits[k]) for k in numbers], np.int64)
+        self.own_edits = edits[self.numbers]
+        grams = [gram_hashes(items[k], q) for k in numbers]
         hashes = np.concatenate([*grams, np.zeros(0, U)])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)]).astype(np.int64)
@@ -116,8 +125,66 @@ class ItemIndex:
         self.hashes, self.item, self.place = hashes[order], item[order], place[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.hashes >> U(64 - FILTER_BITS)] = True
-        self.short = [k for k, s in enumerate(sizes) if 0 < s < self.q]
-        self.text = [i.tobytes() for i in self.items]
+
+    def regions(self, bounds: np.ndarray, data: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, first band, last band) of neighbouring bands with at least the item's bound of shared q-grams."""
+        hashes = gram_hashes(data, self.q)
+        at = np.flatnonzero(self.filter[hashes >> U(64 - FILTER_BITS)])
+        left, right = np.searchsorted(self.hashes, hashes[at], "left"), np.searchsorted(self.hashes, hashes[at], "right")
+        text = np.searchsorted(bounds, at, "right") - 1
+        good = (right > left) & (at + self.q <= bounds[text + 1])
+        at, left, many, text = at[good], left[good], (right - left)[good], text[good]
+        if not len(at):
+            return []
+        # Few pairs of text and item share enough q-grams at all: count by pair, then the places of those by band.
+        pairs = self._counts(at, left, many, text, bounds, None)
+        keys, counts = pairs
+        wanted = keys[counts >= self.least[keys % len(self.numbers)]]
+        if not len(wanted):
+            return []
+        bands, counts = self._counts(at, left, many, text, bounds, wanted)
+        # A match counts for its own band and for the one before, which overlaps it.
+        keys, counts = counted(np.concatenate((bands, bands - 1)), np.concatenate((counts, counts)))
+        pair, band = keys >> 32, (keys & 0xFFFFFFFF) - (1 << 31)
+        full = counts >= self.least[pair % len(self.numbers)]
+        pair, band = pair[full], band[full]
+        first = np.concatenate((np.ones(min(1, len(pair)), bool), (pair[1:] != pair[:-1]) | (band[1:] != band[:-1] + 1)))
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(pair)) - 1
+        return [(int(p) // len(self.numbers), int(self.numbers[int(p) % len(self.numbers)]), int(a), int(b)) for p, a, b in zip(pair[starts], band[starts], band[ends], strict=True)]
+
+    def _counts(self, at, left, many, text, bounds, wanted) -> tuple[np.ndarray, np.ndarray]:
+        """Matches by pair of text and item, or with `wanted`, by such a pair and band: some matches at a time."""
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        total = np.concatenate(([0], np.cumsum(many)))
+        low = 0
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(total, total[low] + MATCHES_AT_ONCE, "right")) - 1)
+            n = many[low:high]
+            which = np.repeat(left[low:high], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item, own = self.item[which], np.repeat(text[low:high], n)
+            key = own * len(self.numbers) + item
+            if wanted is not None:
+                keep = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+                diagonal = (np.repeat(at[low:high] - bounds[text[low:high]], n) - self.place[which])[keep]
+                key = key[keep] << 32 | diagonal // (self.own_edits[item[keep]] + 1) + (1 << 31)
+            found = counted(key, np.ones(len(key), np.int64))
+            keys, counts = counted(np.concatenate((keys, found[0])), np.concatenate((counts, found[1])))
+            low = high
+        return keys, counts
+
+
+class ItemIndex:
+    """Items and their q-grams, by the q that each item's edit budget allows."""
+
+    def __init__(self, ids: list[int], items: list[np.ndarray], q: int = Q, share: float = EDIT_SHARE):
+        self.ids, self.items = ids, items
+        sizes = [len(i) for i in items]
+        self.edits = np.array([int(s * share) for s in sizes], np.int64)
+        own_q = [min(q, s // (int(e) + 1)) if s >= q else 0 for s, e in zip(sizes, self.edits, strict=True)]
+        self.indexes = [GramIndex(items, [k for k, x in enumerate(own_q) if x == one], self.edits, one) for one in sorted(set(own_q) - {0})]
+        self.short = [k for k, s in enumerate(sizes) if 0 < s < q]
+        self.text = [i.tobytes() for i in items]
 
     def leaks(self, texts: pa.Array) -> list[list[dict]]:
         """For each text its leaks: item id, edits, and where the part begins and ends (bytes of the normalised text)."""
@@ -130,18 +197,16 @@ class ItemIndex:
         return out
 
     def _slice(self, bounds: np.ndarray, data: np.ndarray, out: list[list[dict]]) -> None:
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for text, item, band in self._bands(bounds, data):
-            e = int(self.edits[item])
-            base, m = int(bounds[text]), len(self.items[item])
-            low = max(0, band * (e + 1) - e)
-            region = data[base + low : min(int(bounds[text + 1]), base + (band + 2) * (e + 1) + m + e)]
-            exact = region.tobytes().find(self.text[item])
-            edits, end = (0, exact + m) if exact >= 0 else banded_distance(self.items[item], region, e)
-            if edits <= e and (edits, low + end) < best.get((text, item), (e + 1, 0))[:2]:
-                best[text, item] = edits, low + end, max(0, low + end - m)
-        for (text, item), (edits, end, start) in best.items():
-            out[text].append({"item_id": self.ids[item], "edits": edits, "start": start, "end": end})
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for index in self.indexes:
+            for text, item, first, last in index.regions(bounds, data):
+                e, m = int(self.edits[item]), len(self.items[item])
+                low, high = max(0, first * (e + 1) - e), min(int(bounds[text + 1] - bounds[text]), (last + 2) * (e + 1) + m + e)
+                found = self._align(item, data[bounds[text] + low : bounds[text] + high])
+                if found[0] <= e:
+                    best[text, item] = min(best.get((text, item), (e + 1, 0)), (found[0], low + found[1]))
+        for (text, item), (edits, end) in best.items():
+            out[text].append({"item_id": self.ids[item], "edits": edits, "start": max(0, end - len(self.items[item])), "end": end})
         if self.short:
             for text in range(len(bounds) - 1):
                 own = b" " + data[bounds[text] : bounds[text + 1]].tobytes() + b" "
@@ -149,80 +214,69 @@ class ItemIndex:
                     if (at := own.find(b" " + self.text[item] + b" ")) >= 0:
                         out[text].append({"item_id": self.ids[item], "edits": 0, "start": at, "end": at + len(self.text[item])})
 
-    def _bands(self, bounds: np.ndarray, data: np.ndarray) -> list[tuple[int, int, int]]:
-        """(text, item, band) with at least the item's bound of shared q-grams."""
-        hashes = gram_hashes(data, self.q)
-        at = np.flatnonzero(self.filter[hashes >> U(64 - FILTER_BITS)])
-        left, right = np.searchsorted(self.hashes, hashes[at], "left"), np.searchsorted(self.hashes, hashes[at], "right")
-        text = np.searchsorted(bounds, at, "right") - 1
-        good = (right > left) & (at + self.q <= bounds[text + 1])
-        at, left, right, text = at[good], left[good], right[good], text[good]
-        if not len(at):
-            return []
-        many = right - left
-        which = np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        item, text = self.item[which], np.repeat(text, many)
-        diagonal = np.repeat(at, many) - bounds[text] - self.place[which]
-        band = diagonal // (self.edits[item] + 1)
-        pair = text * len(self.items) + item
-        # Few pairs of text and item share enough q-grams at all.
-        order = np.argsort(pair, kind="stable")
-        pair, band = pair[order], band[order]
-        new = np.concatenate(([True], pair[1:] != pair[:-1]))
-        group = np.cumsum(new) - 1
-        item = pair % len(self.items)
-        enough = np.bincount(group)[group] >= self.least[item]
-        pair, band, item = pair[enough], band[enough], item[enough]
-        if not len(pair):
-            return []
-        pair, band = np.concatenate((pair, pair)), np.concatenate((band, band - 1))
-        order = np.lexsort((band, pair))
-        pair, band = pair[order], band[order]
-        starts = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1]))))
-        counts = np.diff(np.append(starts, len(pair)))
-        full = counts >= self.least[pair[starts] % len(self.items)]
-        return [(int(p) // len(self.items), int(p) % len(self.items), int(b)) for p, b in zip(pair[starts][full], band[starts][full], strict=True)]
+    def _align(self, item: int, region: np.ndarray) -> tuple[int, int]:
+        """Least edits and the first end of a part of `region` with that many, in pieces that overlap by a part's length."""
+        e, m = int(self.edits[item]), len(self.items[item])
+        exact = region.tobytes().find(self.text[item])
+        if exact >= 0 or not e:
+            return (0, exact + m) if exact >= 0 else (e + 1, 0)
+        best = e + 1, 0
+        for a in range(0, max(1, len(region) - m - e), REGION_BYTES):
+            edits, end = banded_distance(self.items[item], region[a : a + REGION_BYTES + m + e], e)
+            best = min(best, (edits, a + end))
+        return best
 
 
 LEAKS = "array<struct<item_id:bigint,edits:int,start:int,end:int>>"
 
 
-def item_blocks(benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, block_bytes: int = BLOCK_BYTES, id_col: str = "item_id", text_col: str = "text"):
-    """Indexes of the benchmark's items, each of about `block_bytes`; the size is summed up before any item is fetched."""
-    items = benchmark.select(ref(id_col).cast("long").alias("item_id"), ref(text_col).alias("text")).dropna()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    for k in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        bounds, data = normalised(own.column("text").combine_chunks() if own.num_rows else pa.array([], pa.string()))
-        ids = own.column("item_id").to_pylist()
-        filled = [i for i in range(len(ids)) if bounds[i + 1] > bounds[i]]
-        if filled:
-            yield [ids[i] for i in filled], [data[bounds[i] : bounds[i + 1]].copy() for i in filled]
+KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
+def block_items(items: DataFrame, blocks: int, k: int) -> tuple[list[int], list[np.ndarray]]:
+    """Ids and normalised texts of the k-th of `blocks` blocks of (item_id, text); blank ones are left out."""
+    own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+    bounds, data = normalised(own.column("text").combine_chunks() if own.num_rows else pa.array([], pa.string()))
+    ids = own.column("item_id").to_pylist()
+    filled = [i for i in range(len(ids)) if bounds[i + 1] > bounds[i]]
+    return [ids[i] for i in filled], [data[bounds[i] : bounds[i + 1]].copy() for i in filled]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, share: float = EDIT_SHARE, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
-    """`docs` with `leaks`: for each leaked item its id, edits, start and end. One narrow pass over the texts."""
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+def _finder(ids: list[int], items: list[np.ndarray], q: int, share: float):
+    held: list[ItemIndex] = []
 
-    def finder(ids: list[int], items: list[np.ndarray]):
-        held: list[ItemIndex] = []
+    @F.arrow_udf(LEAKS)
+    def leaks(texts: pa.Array) -> pa.Array:
+        if not held:
+            held.append(ItemIndex(ids, items, q, share))
+        return pa.array(held[0].leaks(texts), KIND)
 
-        @F.arrow_udf(LEAKS)
-        def leaks(texts: pa.Array) -> pa.Array:
-            if not held:
-                held.append(ItemIndex(ids, items, q, share))
-            return pa.array(held[0].leaks(texts), kind)
+    return leaks
 
-        return leaks(F.coalesce(ref(text_col), F.lit("")))
 
-    found = [finder(ids, items) for ids, items in item_blocks(benchmark, q, share, block_bytes)]
-    value = (F.concat(*found) if len(found) > 1 else found[0]) if found else F.array().cast(LEAKS)
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, share: float = EDIT_SHARE, block_bytes: int = BLOCK_BYTES, doc_id_col: str = "doc_id", id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """`docs` with `leaks`: for each leaked item its id, edits, start and end."""
+    spark = docs.sparkSession
+    items = benchmark.select(ref(id_col).cast("long").alias("item_id"), ref(text_col).alias("text")).dropna()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
     kept = [ref(c) for c in docs.columns if c.lower() != "leaks"]
-    return docs.select(*kept, value.alias("leaks"))
+    text = F.coalesce(ref(text_col), F.lit(""))
+    if blocks == 1:
+        return docs.select(*kept, _finder(*block_items(items, 1, 0), q, share)(text).alias("leaks"))
+    folder = shared_folder(spark, "leaks")
+    named = docs.select(ref(doc_id_col).cast("string").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    for k in range(blocks):
+        found = named.select("id", "key", _finder(*block_items(items, blocks, k), q, share)("text").alias("leaks"))
+        found.filter(F.size("leaks") > 0).dropDuplicates(["id", "key"]).write.parquet(f"{folder}/{k}")
+    p = fresh(docs, "leak")
+    every = spark.read.schema(f"id string, key long, leaks {LEAKS}").parquet(*[f"{folder}/{k}" for k in range(blocks)]).groupBy("id", "key").agg(F.sort_array(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    every = every.select(F.col("id").alias(f"{p}id"), F.col("key").alias(f"{p}key"), F.col("leaks").alias(f"{p}leaks"))
+    same = ref(doc_id_col).cast("string").eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(text) == F.col(f"{p}key"))
+    return docs.join(every, same, "left").select(*kept, F.coalesce(F.col(f"{p}leaks"), F.array().cast(LEAKS)).alias("leaks"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `docs` into which no item leaks, unchanged."""
-    packed = docs.select(F.struct(*[ref(c) for c in docs.columns]).alias("_row"), ref("text").alias("text"))
+    packed = docs.select(F.struct(*[ref(c) for c in docs.columns]).alias("_row"), ref("doc_id").alias("doc_id"), ref("text").alias("text"))
     return find_leaks(packed, benchmark, **options).filter(F.size("leaks") == 0).select("_row.*")

@@ -68,7 +68,7 @@ def brute(items, texts):
                 if b" " + own + b" " in b" " + text + b" ":
                     found[k] = 0
                 continue
-            e = max(0, min(int(len(own) * D.EDIT_SHARE), (len(own) - D.Q) // D.Q))
+            e = int(len(own) * D.EDIT_SHARE)
             edits = least_edits(own, text)
             if edits <= e:
                 found[k] = edits
@@ -104,3 +104,36 @@ def test_odd_rows(spark, odd, none, empty):
     found = sorted((r.doc_id, x.item_id) for r in got.collect() for x in r.leaks)
     assert found == ([] if empty else [(5, 5), (8, 4), (8, 4), (9, 4), (9, 4), (11, 6)]) and got.count() == len(odd_rows())
     assert D.drop_leaks(odd, bench).columns == odd.columns and D.find_leaks(none, bench).isEmpty()
+
+
+def test_items_of_every_length_have_their_whole_budget():
+    r = random.Random(8)
+    items, texts = [], []
+    for m in list(range(10, 61)) * 3:
+        item = "".join(r.choice("abcdefgh ") for _ in range(m - 2))
+        items.append(f"x{item}y".replace("  ", " a")[:m])
+        own = list(items[-1])
+        for _ in range(r.choice([0, int(len(own) * 0.06), int(len(own) * 0.06) + 1])):
+            k = r.randrange(1, len(own) - 1)
+            own[k : k + 1] = r.choice([[], ["z"], [own[k], "q"]])
+        noise = lambda: "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 60)))
+        texts.append(noise() + "".join(own) + noise())
+    index = D.ItemIndex(list(range(len(items))), [np.frombuffer(" ".join(i.split()).encode(), np.uint8) for i in items])
+    got = [{x["item_id"]: x["edits"] for x in found} for found in index.leaks(pa.array(texts))]
+    assert got == brute(items, texts)
+    assert sum(17 <= len(" ".join(items[k].split())) <= 19 and e == 1 for f in got for k, e in f.items()) > 0
+
+
+def test_frequent_grams_are_counted_in_bounded_memory():
+    """A line of dashes as an item and long rules in a text."""
+    import tracemalloc
+
+    items = ["-" * 400, "-" * 200 + "x" + "-" * 199, "no such text in these lines"]
+    texts = ["-" * 80_000, "a " + "-" * 300 + " b", ("-" * 190 + "x" + "-" * 205 + "\n") * 50]
+    index = D.ItemIndex([0, 1, 2], [np.frombuffer(i.encode(), np.uint8) for i in items])
+    tracemalloc.start()
+    got = [{x["item_id"]: x["edits"] for x in found} for found in index.leaks(pa.array(texts))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [{0: 0, 1: 1}, {}, {0: 2, 1: 1}]
+    assert peak < 300e6, peak
