@@ -1,3 +1,6 @@
+import random
+import re
+
 from conftest import odd_rows
 from oracle import compare
 
@@ -23,7 +26,28 @@ def test_planted_licences(spark):
     assert got[0] == got[1] == got[2] == ["mit"] and got[3] == ["apache-2.0-notice"] and got[4] == ["mit-notice"] and got[6] == got[7] == got[8] == []
     for i, text in enumerate(planted()):
         units = [*text.split("\n"), *[p for p in text.split("\n\n") if "\n" in p.strip()], text]
-        assert got[i] == sorted(n for n, t in L.TEMPLATES.items() if max(dice(u, t) for u in units) >= L.DICE)
+        assert got[i] == sorted(n for n, t in L.TEMPLATES.items() if max(dice(u, t) for u in [*units, *windows(text, t)]) >= L.DICE)
+
+
+def windows(text, template):
+    words = re.sub("[^A-Za-z0-9]+", " ", text).split()
+    length, step = L.window_words(template)
+    return [" ".join(words[k : k + length]) for k in range(0, max(1, len(words) - 1), step)]
+
+
+def test_licences_within_other_text(spark):
+    """Where no line or paragraph is a licence alone."""
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
+    mit, header = L.TEMPLATES["mit"], L.TEMPLATES["apache-2.0-header"]
+    thirds = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    code = "\n".join(f"int {prose(1)} = {prose(1)};" for _ in range(60))
+    comment = "\n".join("# " + " ".join(header.split()[i : i + 10]) for i in range(0, len(header.split()), 10))
+    gpl = L.TEMPLATES["gpl-3.0-header"].replace(" This program is distributed", "\n\nThis program is distributed")
+    hosts = [("mit", f"{prose(800)}\n\n{thirds}"), ("mit", f"{thirds}\n{code}"), ("apache-2.0-header", f"{comment}\n{code}"), ("gpl-3.0-header", f"{prose(50)}\n\n{gpl}\n\n{prose(50)}"), ("apache-2.0-notice", f"{prose(16)} {L.TEMPLATES['apache-2.0-notice']}"), ("apache-2.0-notice", f"{prose(40)} {L.TEMPLATES['apache-2.0-notice']} {prose(40)}"), ("zlib", f"{prose(300)} {L.TEMPLATES['zlib']} {prose(300)}")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(hosts)], "doc_id long, text string")
+    got = {x.doc_id: [y.name for y in x.licenses] for x in L.scan_licenses(df).collect()}
+    assert all(name in got[i] for i, (name, _) in enumerate(hosts)), got
 
 
 def test_query_equals_sql(spark):
@@ -100,9 +124,10 @@ PERFORMANCE OF THIS SOFTWARE.
 
 def test_complete_public_texts(spark):
     """Alone, under a copyright line, and as a paragraph of a longer document."""
+    hosts = []
     for name, text in (("bsd-2-clause", BSD_2), ("isc", ISC), ("mit", L.TEMPLATES["mit"])):
         block = "\n".join(line for line in text.split("\n") if line.strip())
         block = block if "\n" in block else block.replace(". ", ".\n")
-        hosts = [text, f"Copyright (c) 2020, A Person\n\n{text}", f"# Project\n\nSome words on it.\n\n{block}\n\n" + "And more prose after it. " * 40]
-        df = spark.createDataFrame(list(enumerate(hosts)), "doc_id long, text string")
-        assert all(name in [x.name for x in r.licenses] for r in L.scan_licenses(df).collect()), name
+        hosts += [(name, t) for t in (text, f"Copyright (c) 2020, A Person\n\n{text}", f"# Project\n\nSome words on it.\n\n{block}\n\n" + "And more prose after it. " * 40)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(hosts)], "doc_id long, text string")
+    assert all(hosts[r.doc_id][0] in [x.name for x in r.licenses] for r in L.scan_licenses(df).collect())
