@@ -3,17 +3,19 @@
 A document's grade is its quality mark plus one if it isn't toxic (0 to 2). One set of weights over hashed
 text features gives a score s, ordered thresholds t_0 < t_1 give P(grade <= k) = 1 / (1 + exp(s - t_k)), and
 from these come the expected grade and the tail probability P(grade >= 2) that selection uses. Features are
-the distinct words, their first five bytes, and steps of the rates of ASCII marks, capitals and repeats;
-the whole text counts. Weights are zero or less: features only speak against a text, so that a long text can't
-outweigh one bad word with many common ones. The fit (L1-regularised adaptive proximal gradient, from zero)
-is deterministic.
+the distinct words, their first five bytes, steps of the rates of ASCII marks, capitals and repeats, and the
+text's size in steps; the whole text counts. Only features whose documents' mean grade lies LEAST_EFFECT standard
+errors from the overall mean take part, so that the many common words of a long text don't add up to anything.
+Words can only speak against a text, rates and sizes, of which a text has few, also for it. The fit (L1-regularised
+adaptive proximal gradient, from zero) is deterministic.
 
 Fitting uses at most SAMPLE_ROWS labelled rows, those with the least hash of their id: a bound that doesn't
 grow with the data. Scoring is one narrow pass with vectorised batches.
 
-Defined results: labels with a null are left out; without any label all documents score alike and are kept;
-null and empty texts have no features and score as the average document does; repeated rows score alike; an
-empty table gives an empty result; input columns named like the output columns are replaced.
+Defined results: labels with a null are left out; of documents that repeat a labelled id the least text counts; without
+any label all documents score alike and are kept; null and empty texts have no features and score as the fitted
+documents do on average; repeated rows score alike; an empty table gives an empty result; input columns named like the
+output columns are replaced.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ from .words import U, IS_WORD, mix, powers, sorted_unique, text_bytes, word_slic
 
 BITS = 18
 SAMPLE_ROWS = 8000
-LEAST_DOCUMENTS = 5
+LEAST_DOCUMENTS = 4
+LEAST_EFFECT = 4.5
 L1 = 2e-4
 STEPS = 150
 GRADES = 3
-KEEP_TAIL = 0.75
+KEEP_TAIL = 0.65
 MARKS = np.array([b for b in range(33, 127) if not IS_WORD[b]])
 
 
@@ -64,6 +67,10 @@ def text_features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
         marked = column[own] >= 0
         table += np.bincount(of_byte[marked] * table.shape[1] + column[own[marked]], minlength=table.size).reshape(table.shape)
         table[:, -1] = repeats
+        # A step of size for a text of any words; 0 is none.
+        size = np.floor(np.log2(np.maximum(count, 1)) * 2).astype(np.int64) + 1
+        sized = np.flatnonzero(count)
+        pairs.append(sized << BITS | _bucket((size[sized] * 1000 + 999).astype(U), 3))
         rate = np.where(table > 0, np.floor(np.log2(np.maximum(table, 1) / np.maximum(count, 1)[:, None] * 64 + 1) * 2), 0).astype(np.int64)
         doc, col = np.nonzero(rate)
         pairs.append(doc << BITS | _bucket((rate[doc, col] * 1000 + col).astype(U), 3))
@@ -71,13 +78,21 @@ def text_features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield words.first, np.searchsorted(pairs >> BITS, np.arange(n + 1)), pairs & (1 << BITS) - 1
 
 
+def signed_features() -> np.ndarray:
+    """Whether a feature number may speak for a text: those of rates and sizes."""
+    out = np.zeros(1 << BITS, bool)
+    out[_bucket((np.arange(80)[:, None] * 1000 + np.append(np.arange(len(MARKS) + 2), 999)).ravel().astype(U), 3)] = True
+    return out
+
+
 @dataclass
 class OrdinalModel:
-    """Weights of the features in `numbers`, and the ordered thresholds."""
+    """Weights of the features in `numbers`, the ordered thresholds, and the mean score of the fitted documents."""
 
     numbers: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    average: float = 0.0
 
     def dense(self) -> np.ndarray:
         w = np.zeros(1 << BITS)
@@ -96,49 +111,60 @@ def _at_most(scores: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return np.concatenate((np.zeros((len(scores), 1)), inner, np.ones((len(scores), 1))), axis=1)
 
 
+def telling_features(bounds: np.ndarray, numbers: np.ndarray, grades: np.ndarray, least: float = LEAST_EFFECT) -> np.ndarray:
+    """The features of some, not all, documents whose mean grade differs from that of all by `least` standard errors."""
+    n = len(grades)
+    documents = np.bincount(numbers, minlength=1 << BITS)
+    total = np.bincount(numbers, np.repeat(grades, np.diff(bounds)), 1 << BITS)
+    apart = np.abs(total / np.maximum(documents, 1) - grades.mean()) * np.sqrt(documents) / max(grades.std(), 1e-9)
+    return np.flatnonzero((documents >= LEAST_DOCUMENTS) & (documents < n) & (apart >= least))
+
+
+def likelihood(w: np.ndarray, cuts: np.ndarray, x: np.ndarray, rows: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the grades, and its gradients by the weights and the thresholds."""
+    n = len(grades)
+    p = _at_most(_sums(w[x], rows), cuts)
+    high, low = p[np.arange(n), grades + 1], p[np.arange(n), grades]
+    d_high, d_low = high * (1 - high), low * (1 - low)
+    likely = np.maximum(high - low, 1e-9)
+    g_w = np.bincount(x, np.repeat((d_high - d_low) / likely / n, np.diff(rows)), len(w))
+    g_t = [(-(d_high / likely)[grades == k].sum() + (d_low / likely)[grades == k + 1].sum()) / n for k in range(len(cuts))]
+    return float(-np.log(likely).mean()), g_w, np.array(g_t)
+
+
 def fit(bounds: np.ndarray, numbers: np.ndarray, grades: np.ndarray, steps: int = STEPS, l1: float = L1) -> OrdinalModel:
     """The regularised maximum-likelihood model of documents given as feature numbers by row."""
-    n = len(grades)
-    if not n:
+    if not len(grades):
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([-4.0, -3.0]))
-    documents = np.bincount(numbers, minlength=1 << BITS)
-    used = np.flatnonzero((documents >= LEAST_DOCUMENTS) & (documents < n))
-    place = np.full(1 << BITS, -1)
+    used = telling_features(bounds, numbers, grades)
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    place = place.astype(np.int32)
     keep = place[numbers] >= 0
-    kept = np.concatenate(([0], np.cumsum(keep)))
-    x, rows = place[numbers[keep]], kept[bounds]
+    x, rows = place[numbers[keep]], np.concatenate(([0], np.cumsum(keep)))[bounds]
     counts = np.bincount(grades, minlength=GRADES) + 1.0
     share = np.cumsum(counts)[:-1] / counts.sum()
     cuts = np.log(share / (1 - share))
-    w = np.zeros(len(used))  # stays at zero or below
+    most = np.where(signed_features()[used], np.inf, 0.0)
+    w = np.zeros(len(used))
     seen_w, seen_t = np.full(len(used), 1e-10), np.full(len(cuts), 1e-10)
     for _ in range(steps):
-        p = _at_most(_sums(w[x], rows), cuts)
-        high, low = p[np.arange(n), grades + 1], p[np.arange(n), grades]
-        d_high, d_low = high * (1 - high), low * (1 - low)
-        likely = np.maximum(high - low, 1e-9)
-        error = (d_high - d_low) / likely / n
-        g_w = np.bincount(x, np.repeat(error, np.diff(rows)), len(used))
-        g_t = np.zeros(len(cuts))
-        for k in range(len(cuts)):
-            g_t[k] = (-(d_high / likely)[grades == k].sum() + (d_low / likely)[grades == k + 1].sum()) / n
+        _, g_w, g_t = likelihood(w, cuts, x, rows, grades)
         seen_w += g_w * g_w
         seen_t += g_t * g_t
         rate = 0.3 / np.sqrt(seen_w)
         w = w - rate * g_w
-        w = np.minimum(w + rate * l1, 0)
+        w = np.minimum(np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0), most)
         cuts = np.maximum.accumulate(cuts - 0.3 / np.sqrt(seen_t) * g_t + np.arange(len(cuts)) * 1e-9)
     kept = np.flatnonzero(w)
-    return OrdinalModel(used[kept], w[kept], cuts)
+    return OrdinalModel(used[kept], w[kept], cuts, float(_sums(w[x], rows).mean()))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(grade, text) of at most `rows` labelled ids; the bounded list of ids is broadcast."""
+    """(grade, text) of at most `rows` labels, one text for each; the bounded list of ids is broadcast."""
     graded = labels.select(F.col("doc_id").alias("_label_id"), (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("_grade")).dropna().filter(f"_grade between 0 and {GRADES - 1}")
     chosen = graded.orderBy(F.xxhash64("_label_id"), "_label_id", "_grade").limit(rows)
-    return docs.select(ref("doc_id").alias("_id"), ref("text").alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("_label_id", "_grade", "_text")
+    found = docs.select(ref("doc_id").alias("_id"), F.coalesce(ref("text"), F.lit("")).alias("_text")).join(F.broadcast(chosen.distinct()), F.col("_id") == F.col("_label_id"))
+    return found.groupBy("_label_id", "_grade").agg(F.min("_text").alias("_text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> OrdinalModel:
@@ -159,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ordina
 
 def score_quality(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", keep_tail: float = KEEP_TAIL) -> DataFrame:
     """`docs` with `expected_grade`, `tail` (probability of the highest grade) and `keep`."""
-    numbers, weights, cuts = model.numbers, model.weights, model.thresholds
+    numbers, weights, cuts, average = model.numbers, model.weights, model.thresholds, model.average
     kind = pa.struct([("expected_grade", pa.float64()), ("tail", pa.float64())])
 
     @F.arrow_udf("struct<expected_grade:double,tail:double>")
@@ -167,7 +193,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text
         w = OrdinalModel(numbers, weights, cuts).dense()
         scores = np.zeros(len(texts))
         for first, bounds, found in text_features(texts):
-            scores[first : first + len(bounds) - 1] = _sums(w[found], bounds)
+            scores[first : first + len(bounds) - 1] = np.where(np.diff(bounds) > 0, _sums(w[found], bounds), average)
         p = _at_most(scores, cuts)
         return pa.StructArray.from_arrays([pa.array((1 - p[:, 1:-1]).sum(axis=1)), pa.array(1 - p[:, -2])], fields=list(kind))
 
