@@ -137,8 +137,7 @@ class GramIndex:
         if not len(at):
             return []
         # Few pairs of text and item share enough q-grams at all: count by pair, then the places of those by band.
-        pairs = self._counts(at, left, many, text, bounds, None)
-        keys, counts = pairs
+        keys, counts = self._counts(at, left, many, text, bounds, None)
         wanted = keys[counts >= self.least[keys % len(self.numbers)]]
         if not len(wanted):
             return []
@@ -148,7 +147,9 @@ class GramIndex:
         pair, band = keys >> 32, (keys & 0xFFFFFFFF) - (1 << 31)
         full = counts >= self.least[pair % len(self.numbers)]
         pair, band = pair[full], band[full]
-        first = np.concatenate((np.ones(min(1, len(pair)), bool), (pair[1:] != pair[:-1]) | (band[1:] != band[:-1] + 1)))
+        if not len(pair):
+            return []
+        first = np.concatenate(([True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1] + 1)))
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(pair)) - 1
         return [(int(p) // len(self.numbers), int(self.numbers[int(p) % len(self.numbers)]), int(a), int(b)) for p, a, b in zip(pair[starts], band[starts], band[ends], strict=True)]

@@ -137,3 +137,11 @@ def test_frequent_grams_are_counted_in_bounded_memory():
     tracemalloc.stop()
     assert got == [{0: 0, 1: 1}, {}, {0: 2, 1: 1}]
     assert peak < 300e6, peak
+
+
+def test_shared_grams_on_far_diagonals_are_no_leak():
+    """Enough q-grams in all, but no band has them."""
+    item = "abcdefghijklmnopqrstuvwxyz 0123456789 some further words of it"
+    text = " zz ".join(item[i : i + 16] for i in range(0, len(item) - 15, 2))
+    index = D.ItemIndex([1], [np.frombuffer(item.encode(), np.uint8)])
+    assert index.leaks(pa.array([text, item])) == [[], [{"item_id": 1, "edits": 0, "start": 0, "end": len(item)}]]
