@@ -1,9 +1,15 @@
-"""Leaf blocks of HTML pages: a lenient, linear scan that keeps the open elements on a stack."""
+"""Leaf blocks of HTML pages: a lenient scan that keeps the open elements on a stack.
+
+Time and memory are linear in the page: elements are linked to their parents and never copied, and where an element of
+some name is open is known without a search.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^"'>])*)>|</?[a-zA-Z][^>]*>?|[^<]+|<""", re.S)
@@ -11,41 +17,78 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 PART = re.compile(r"[a-z]+")
 
 #: Fixed values of the HTML standard.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msup msub msubsup msqrt mroot munder mover munderover mfenced mstyle mpadded menclose semantics annotation svg g text tspan path circle ellipse line rect polygon polyline defs use".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CLOSES |= {t: {"p"} for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 BARRIERS = {"article", "aside", "body", "button", "div", "footer", "form", "header", "main", "nav", "section", "table", "td", "th", "ul", "ol", "li", "dl", "blockquote"}
 
 
+@dataclass(slots=True)
+class Element:
+    """An open element. `own`: the features of its tag, class and id that no element around it has."""
+
+    tag: str
+    features: tuple[str, ...]
+    own: list[str]
+    parent: Element | None
+    score: tuple[float, float] | None = None
+
+
 @dataclass(slots=True)
 class Block:
-    """A leaf block: its text with single spaces, its open tags and the name parts of their classes and ids."""
+    """A leaf block: its text with single spaces, the innermost element, and how much of the text is in links."""
 
     text: str
-    tags: tuple[str, ...]
-    names: frozenset[str]
+    element: Element | None
     linked: int
 
+    def path(self) -> list[Element]:
+        """The open elements, innermost first."""
+        out, e = [], self.element
+        while e is not None:
+            out.append(e)
+            e = e.parent
+        return out
+
 
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of `page` in order. Unclosed and misnested elements are closed as browsers do, roughly."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    present: defaultdict[str, int] = defaultdict(int)
     blocks: list[Block] = []
     text: list[str] = []
-    linked = links = 0
+    linked = 0
 
     def end_block() -> None:
         nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                blocks.append(Block(joined, tuple(t for t, _ in stack), frozenset(n for _, names in stack for n in names), linked))
+                blocks.append(Block(joined, stack[-1] if stack else None, linked))
             text.clear()
         linked = 0
 
+    def close_from(place: int) -> None:
+        while len(stack) > place:
+            e = stack.pop()
+            places[e.tag].pop()
+            for f in e.features:
+                present[f] -= 1
+
+    def open_element(tag: str, attributes: str) -> None:
+        parts = {p for a in ATTRIBUTE.finditer(attributes) for p in PART.findall((a[2] or a[3] or a[4] or "").lower())} if attributes else ()
+        found = (f"t:{tag}", *(f"n:{p}" for p in sorted(parts)))
+        own = [f for f in found if not present[f]]
+        for f in found:
+            present[f] += 1
+        places[tag].append(len(stack))
+        stack.append(Element(tag, found, own, stack[-1] if stack else None))
+
     at, end, lower = 0, len(page), None
     while at < end:
         m = TOKEN.match(page, at)
@@ -56,7 +99,7 @@ def leaf_blocks(page: str) -> list[Block]:
             if token[0] != "<" or token == "<":
                 plain = html.unescape(token) if "&" in token else token
                 text.append(plain)
-                linked += len(plain.strip()) if links else 0
+                linked += len(plain.strip()) if places["a"] else 0
             elif token.startswith("<![CDATA["):
                 text.append(token[9:].removesuffix("]]>"))
             continue
@@ -67,16 +110,10 @@ def leaf_blocks(page: str) -> list[Block]:
                 continue
         block = name not in INLINE
         if m.group(1):
-            if any(t == name for t, _ in stack):
-                if block:
-                    end_block()
-                while stack:
-                    t, _ = stack.pop()
-                    links -= t == "a"
-                    if t == name:
-                        break
-            elif block:
+            if block:
                 end_block()
+            if places[name]:
+                close_from(places[name][-1])
             continue
         if name in RAW:
             lower = page.lower() if lower is None else lower
@@ -86,26 +123,23 @@ def leaf_blocks(page: str) -> list[Block]:
         if block:
             end_block()
         closes = CLOSES.get(name, ())
-        if closes:
-            scope = SCOPE.get(name, BARRIERS)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    if name == "p":
-                        break
-                elif stack[i][0] in scope:
-                    break
+        if any(places[t] for t in closes):
+            barrier = max((places[t][-1] for t in SCOPE.get(name, BARRIERS) if places[t]), default=-1)
+            inside = [places[t][k] for t in closes if (k := bisect_right(places[t], barrier)) < len(places[t])]
+            if inside:
+                close_from(min(inside))
         if name not in VOID and not m.group(3).endswith("/"):
-            names = tuple(p for a in ATTRIBUTE.finditer(m.group(3)) for p in PART.findall((a[2] or a[3] or a[4] or "").lower())) if m.group(3) else ()
-            stack.append((name, names))
-            links += name == "a"
+            open_element(name, m.group(3))
     end_block()
     return blocks
 
 
-def path_features(tags: tuple[str, ...], names: frozenset[str]) -> list[str]:
-    return [f"t:{t}" for t in set(tags)] + [f"n:{n}" for n in names] + [f"last:{tags[-1] if tags else ''}", "bias"]
+def path_features(b: Block) -> list[str]:
+    return [f for e in b.path() for f in e.own] + [last_feature(b), "bias"]
+
+
+def last_feature(b: Block) -> str:
+    return f"last:{b.element.tag if b.element else ''}"
 
 
 def text_features(b: Block, place: str) -> list[str]:
@@ -127,4 +161,4 @@ def places(n: int) -> list[str]:
 
 def features(blocks: list[Block]) -> list[list[str]]:
     """Ancestor-tag and text features of each block."""
-    return [path_features(b.tags, b.names) + text_features(b, place) for b, place in zip(blocks, places(len(blocks)), strict=True)]
+    return [path_features(b) + text_features(b, place) for b, place in zip(blocks, places(len(blocks)), strict=True)]

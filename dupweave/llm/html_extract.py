@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ref
-from .html_blocks import Block, features, leaf_blocks, path_features, places, text_features
+from .html_blocks import Block, Element, features, last_feature, leaf_blocks, places, text_features
 from .html_training import labelled_pages
 
-TRAINING_PAGES, TRAINING_SEED = 500, 7
+TRAINING_PAGES, TRAINING_SEED = 600, 7
 STEPS, RATE, DECAY = 120, 0.5, 1e-3
 
 
@@ -33,22 +33,27 @@ class ChainModel:
 
     def __init__(self, weights: dict[str, tuple[float, float]], pair: list[list[float]]):
         self.weights, self.pair = weights, pair
-        self._path_scores: dict[tuple, tuple[float, float]] = {}
 
     def _score(self, names: list[str]) -> tuple[float, float]:
         found = [self.weights[f] for f in names if f in self.weights]
         return sum(w[0] for w in found), sum(w[1] for w in found)
 
+    def _path_score(self, element: Element | None) -> tuple[float, float]:
+        """The sum over an element and all around it; each element's is computed once."""
+        chain = []
+        while element is not None and element.score is None:
+            chain.append(element)
+            element = element.parent
+        total = element.score if element else (0.0, 0.0)
+        for e in reversed(chain):
+            own = self._score(e.own)
+            total = e.score = total[0] + own[0], total[1] + own[1]
+        return total
+
     def scores(self, blocks: list[Block]) -> list[tuple[float, float]]:
-        """Of each block; sums over ancestor features are kept, as few of them differ."""
         out = []
         for b, place in zip(blocks, places(len(blocks)), strict=True):
-            path = b.tags, b.names
-            if path not in self._path_scores:
-                if len(self._path_scores) > 50_000:
-                    self._path_scores.clear()
-                self._path_scores[path] = self._score(path_features(*path))
-            p, t = self._path_scores[path], self._score(text_features(b, place))
+            p, t = self._path_score(b.element), self._score([*text_features(b, place), last_feature(b), "bias"])
             out.append((p[0] + t[0], p[1] + t[1]))
         return out
 
