@@ -11,11 +11,13 @@ shifts words between neighbours of like size and the words taken stay near the t
 
 The running sum is split in two, for a source may hold any share of all rows: a cell is (source, size
 band, hash bucket); cells are counted with map-side combining, the counts (at most bands x buckets rows
-a source) are summed up in order, and rows are numbered only within their cell.
+a source, some 16 ** CELL_DIGITS x 60) are summed up in order, and rows are numbered only within their cell. The targets
+take one row a source.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; repeated
-rows are separate rows (each is sampled); ties in size are ordered by a hash of the id; rows that are
-equal in every column share their copies in any order; an empty table gives an empty result; input
+rows are separate rows (each is sampled); ties in size are ordered by a hash of the id, then by the text's digest and
+by a hash of the other columns (map columns apart), so that reruns emit the same; rows that are equal in all of these share
+their copies in any order; an empty table gives an empty result; input
 columns named like the output columns are replaced.
 """
 
@@ -35,8 +37,9 @@ CAP = 2.0
 SEED = "mix-1"
 #: The random offset of a source is a multiple of this, so that sums at a rate of 1 or 2 are exact.
 OFFSET_STEPS = 1 << 20
+CELL_DIGITS = 3
 #: Hash buckets below this stand in rising, the others in falling order of size.
-HALF = "80"
+HALF = "8" + "0" * (CELL_DIGITS - 1)
 
 
 @F.arrow_udf(LongType())
@@ -75,7 +78,7 @@ def _drawn(docs: DataFrame, weights, share: float, cap: float, seed: str, id_col
     key = F.when(ref(source_col).isNull(), F.lit("~")).otherwise(F.concat(F.lit("s"), ref(source_col).cast("string")))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), row_key(id_col, text_col)))
     rows = docs.withColumn(f"{p}key", key).withColumn(f"{p}size", word_count(ref(text_col))).withColumn(f"{p}hash", digest)
-    rows = rows.withColumn(f"{p}band", F.floor(F.log2(F.col(f"{p}size") + 1) * 8 + F.lit(1e-9))).withColumn(f"{p}cell", F.substring(f"{p}hash", 1, 2))
+    rows = rows.withColumn(f"{p}band", F.floor(F.log2(F.col(f"{p}size") + 1) * 8 + F.lit(1e-9))).withColumn(f"{p}cell", F.substring(f"{p}hash", 1, CELL_DIGITS))
 
     cells = rows.groupBy(F.col(f"{p}key").alias("key"), F.col(f"{p}band").alias("band"), F.col(f"{p}cell").alias("cell")).agg(F.count(F.lit(1)).alias("rows"), F.sum(f"{p}size").alias("words"))
     targets = source_targets(cells.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, cap)
@@ -85,7 +88,8 @@ def _drawn(docs: DataFrame, weights, share: float, cap: float, seed: str, id_col
     placed = cells.withColumn("before", F.coalesce(F.sum("rows").over(order), F.lit(0))).join(targets, "key").withColumn("offset", offset)
     placed = placed.select(*[F.col(c).alias(f"{p}c_{c}") for c in ("key", "band", "cell", "before", "source_size", "target", "offset")])
 
-    within = Window.partitionBy(f"{p}key", f"{p}band", f"{p}cell").orderBy(up(F.col(f"{p}cell"), F.col(f"{p}size")), f"{p}hash", ref(id_col))
+    plain = [ref(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    within = Window.partitionBy(f"{p}key", f"{p}band", f"{p}cell").orderBy(up(F.col(f"{p}cell"), F.col(f"{p}size")), f"{p}hash", ref(id_col), F.md5(F.coalesce(ref(text_col), F.lit(""))), F.xxhash64(*plain))
     same = [F.col(f"{p}{c}") == F.col(f"{p}c_{c}") for c in ("key", "band", "cell")]
     numbered = rows.withColumn(f"{p}n", F.row_number().over(within)).join(placed, same)
     source_size, target, size = F.col(f"{p}c_source_size"), F.col(f"{p}c_target"), F.col(f"{p}size")
@@ -128,8 +132,8 @@ found AS (SELECT arg_min(level, place) AS level FROM levelled WHERE ratio >= lev
 targets AS (SELECT key, source_size, least(most, coalesce(weight * (SELECT level FROM found), most)) AS target,
   CAST(('0x' || substr(md5('{seed}:offset:' || key), 1, 5)) AS BIGINT) / {float(OFFSET_STEPS)}::DOUBLE AS o FROM levelled),
 ranked AS (SELECT s.*, t.source_size, t.target, t.o, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-  row_number() OVER (PARTITION BY s.key ORDER BY substr(s.h, 1, 2) >= '{HALF}', CASE WHEN substr(s.h, 1, 2) < '{HALF}' THEN 1 ELSE -1 END * floor(log2(s.size + 1) * 8 + 1e-9), substr(s.h, 1, 2),
-    CASE WHEN substr(s.h, 1, 2) < '{HALF}' THEN 1 ELSE -1 END * s.size, s.h, s.doc_id) AS n
+  row_number() OVER (PARTITION BY s.key ORDER BY substr(s.h, 1, {CELL_DIGITS}) >= '{HALF}', CASE WHEN substr(s.h, 1, {CELL_DIGITS}) < '{HALF}' THEN 1 ELSE -1 END * floor(log2(s.size + 1) * 8 + 1e-9), substr(s.h, 1, {CELL_DIGITS}),
+    CASE WHEN substr(s.h, 1, {CELL_DIGITS}) < '{HALF}' THEN 1 ELSE -1 END * s.size, s.h, s.doc_id, md5(coalesce(s.text, ''))) AS n
   FROM sized s JOIN targets t ON s.key = t.key),
 drawn AS (SELECT *, least(greatest(floor(o + rate * n) - floor(o + rate * (n - 1)), 0), ceil(rate))::BIGINT AS copies FROM ranked)"""
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from conftest import odd_rows
+from conftest import keeps_extra_columns, odd_rows
 from oracle import compare
 
 from dupweave.llm import license_scan as L
@@ -63,7 +63,7 @@ def test_odd_rows_as_sql(spark, odd, none):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     assert got == sorted(con.execute(L.license_sql()).fetchall(), key=repr)
-    assert L.scan_licenses(odd).count() == len(odd_rows()) and L.license_digest(none).isEmpty()
+    assert keeps_extra_columns(L.scan_licenses(odd).collect()) and L.scan_licenses(odd).count() == len(odd_rows()) and L.license_digest(none).isEmpty()
 
 
 def test_bounds_never_prune_a_match():

@@ -1,6 +1,6 @@
 import random
 
-from conftest import odd_rows
+from conftest import keeps_extra_columns, odd_rows
 from oracle import compare
 
 from dupweave.llm import mixing, queries
@@ -51,6 +51,13 @@ def test_no_document_is_above_twice_its_size_and_reruns_agree(spark, docs):
     assert one == two and all(r.taken <= 2 * r.size and r.copies in (0, 1, 2) for r in one)
 
 
+def test_reruns_emit_the_same_texts_where_ids_and_sizes_repeat(spark):
+    rows = [(7, f"word{i % 100} and more", "src", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    one, two = (sorted(tuple(r) for r in mixing.emit_copies(df.orderBy(k).repartition(n)).collect()) for k, n in (("n", 3), ("text", 5)))
+    assert one == two and len(one) > 300
+
+
 def test_emitted_rows_are_the_copies(spark, docs):
     copies = {r.doc_id: r.copies for r in mixing.mix_sources(docs).collect()}
     emitted = mixing.emit_copies(docs)
@@ -62,6 +69,7 @@ def test_odd_rows(spark, odd, none):
     assert len(rows) == len(odd_rows())
     size = {(r.doc_id, r.text): r.size for r in rows}
     assert size[1, None] == 0 and size[2, ""] == 0 and size[4, "!!! ???"] == 2 and size[8, "one"] == 1
+    assert keeps_extra_columns(rows) and keeps_extra_columns(mixing.emit_copies(odd).collect())
     assert mixing.emit_copies(odd).columns == odd.columns and mixing.mix_sources(none).isEmpty() and mixing.emit_copies(none).isEmpty()
 
 

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from conftest import odd_rows
+from conftest import keeps_extra_columns, odd_rows
 
 from dupweave.llm import ngram_join as J
 from dupweave.llm.components import connected_components
@@ -101,6 +101,7 @@ def test_odd_rows(spark, odd, none):
     ids, texts = zip(*[(r[0], r[1]) for r in odd_rows()], strict=True)
     assert sorted((tuple(x) for x in J.ngram_classes(odd).collect()), key=repr) == sorted(brute(ids, texts), key=repr)
     kept = J.keep_one_of_each(odd)
+    assert keeps_extra_columns(kept.collect())
     assert kept.columns == odd.columns and sorted((r.doc_id or -1, r.text or "")[:2] for r in kept.collect() if r.doc_id in (6, 7, 8, 9)) == [(6, odd_rows()[5][1]), (8, "one")]
     assert J.ngram_classes(none).isEmpty() and J.keep_one_of_each(none).isEmpty()
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from conftest import odd_rows
+from conftest import keeps_extra_columns, odd_rows
 from pyspark.sql import functions as F
 
 from dupweave.llm import quality as Q
@@ -145,7 +145,7 @@ def test_odd_rows(spark, odd, none):
     no_labels = labels.filter("doc_id = 99")
     for model in (Q.train(odd, labels), Q.train(odd, no_labels), Q.train(none, labels)):
         rows = Q.score_quality(odd, model).collect()
-        assert len(rows) == len(odd_rows()) and all(0 <= r.tail <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
+        assert keeps_extra_columns(rows) and len(rows) == len(odd_rows()) and all(0 <= r.tail <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
         assert len({r.tail for r in rows if r.doc_id == 6}) == 1
         assert Q.score_quality(none, model).isEmpty() and Q.keep_good(odd, model).columns == odd.columns
     assert Q.keep_good(odd, Q.train(odd, no_labels)).count() == len(odd_rows())

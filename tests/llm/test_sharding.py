@@ -1,6 +1,6 @@
 from collections import Counter
 
-from conftest import COLUMNS, odd_rows
+from conftest import COLUMNS, keeps_extra_columns, odd_rows
 from oracle import compare
 
 from dupweave.llm import queries, sharding
@@ -42,9 +42,9 @@ def test_odd_rows(spark, odd, none):
     got = sharding.assign_shards(odd)
     rows = got.collect()
     assert len(rows) == len(odd_rows()) and "a.b" in got.columns and [c for c in got.columns if c.lower() in ("slot", "shard")] == ["slot", "shard"]
-    assert all(0 <= r.shard < sharding.SHARDS for r in rows)
+    assert all(0 <= r.shard < sharding.SHARDS for r in rows) and keeps_extra_columns(rows)
     assert len({r.shard for r in rows if r.doc_id == 6}) == 1
-    assert sharding.assign_shards(none).isEmpty() and len(spark.createDataFrame([], COLUMNS).columns) == 24
+    assert sharding.assign_shards(none).isEmpty() and len(spark.createDataFrame([], COLUMNS).columns) == 35
 
 
 def test_no_shuffle(docs):

@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import pyarrow as pa
-from conftest import odd_rows
+from conftest import keeps_extra_columns, odd_rows
 
 from dupweave.llm import span_dedup as S
 from dupweave.llm.words import word_slices
@@ -119,7 +119,7 @@ def test_documents(spark, docs):
 def test_odd_rows(spark, odd, none):
     got = S.remove_repeats(odd)
     rows = got.collect()
-    assert len(rows) == len(odd_rows()) and "a.b" in got.columns
+    assert len(rows) == len(odd_rows()) and "a.b" in got.columns and keeps_extra_columns(rows)
     assert {r.text for r in rows if r.doc_id == 6} == {odd_rows()[5][1]} and all(r.text is None for r in rows if r.doc_id == 1) and [r.text for r in rows if r.doc_id == 5] == [odd_rows()[4][1]]
     assert all(len(r.text) < len(odd_rows()[5][1]) for r in rows if r.doc_id == 7)
     assert S.remove_repeats(none).isEmpty()
