@@ -3,9 +3,11 @@
 Writing: a payload is cut into access units of UNIT_BYTES, each becomes one packetised elementary
 packet with a presentation time, and is carried in 188-byte transport packets with a program association
 table, a program map table, continuity counters, a clock reference and the random-access mark on every
-RANDOM_ACCESS_EVERY-th unit. Reading parses those bytes again: it follows the tables to the elementary
-stream, checks table checksums and continuity counters, reassembles the packets, and returns the payload
-with time stamps and random-access points. Whole texts are stored, of any length; memory follows the
+RANDOM_ACCESS_EVERY-th unit. Reading parses those bytes again: it puts the tables' sections together, of any number of
+packets, follows them to the elementary stream, checks table checksums and the continuity counters of the tables and the
+stream, reassembles the packets, and returns the payload with presentation and decoding times and random-access points.
+A packet without payload doesn't move the counter, one exact repeat of a packet counts once, and where a
+packet announces a discontinuity its counter may jump. Whole texts are stored, of any length; memory follows the
 longest one.
 
 Defined results: null text is the empty text, whose payload is 64 zero bytes; equal texts give equal
@@ -82,6 +84,11 @@ def _stamp(ticks: int) -> bytes:
     return bytes([0x21 | t >> 29 & 0x0E, t >> 22 & 255, t >> 14 & 255 | 1, t >> 7 & 255, t << 1 & 255 | 1])
 
 
+def _ticks(stamp: bytes) -> int:
+    a, b, c, d, e = stamp
+    return (a & 0x0E) << 29 | b << 22 | (c & 0xFE) << 14 | d << 7 | e >> 1
+
+
 def _clock_field(ticks: int) -> bytes:
     t = ticks & (1 << 33) - 1
     return (t << 15 | 0x7E00).to_bytes(6, "big")
@@ -140,25 +147,72 @@ class Media:
     payload: bytes = b""
     unit_sizes: list[int] = field(default_factory=list)
     times: list[float] = field(default_factory=list)
+    decoding_times: list[float] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)
     packets: int = 0
 
 
-def _read_section(packet: bytes) -> bytes:
-    at = 4 + (1 + packet[4] if packet[3] & 0x20 else 0)
-    at += 1 + packet[at]
-    size = 3 + (int.from_bytes(packet[at + 1 : at + 3], "big") & 0xFFF)
-    section = packet[at : at + size]
+def _in_order(rows: np.ndarray) -> np.ndarray:
+    """Numbers of the packets of one stream that carry payload, repeats left out; MediaError where the counter jumps."""
+    carries = np.flatnonzero(rows[:, 3] & 0x10)
+    own = rows[carries]
+    counters = own[:, 3].astype(np.int16) & 15
+    step = np.diff(counters) % 16
+    field_ = (rows[:, 3] & 0x20 != 0) & (rows[:, 4] > 0) & (rows[:, 5] & 0x80 != 0)
+    # A packet without payload may announce the discontinuity, too.
+    announced = np.concatenate(([0], np.cumsum(field_)))
+    jumps = announced[carries[1:] + 1] > announced[carries[:-1] + 1]
+    same = _repeats(own) & (step == 0) & ~jumps
+    if (same[1:] & same[:-1]).any():
+        raise MediaError("a packet comes more than twice")
+    if ((step != 1) & ~same & ~jumps).any():
+        raise MediaError("a continuity counter jumps: packets are lost or repeated")
+    return carries[np.concatenate((np.ones(min(1, len(own)), bool), ~same))]
+
+
+def _repeats(own: np.ndarray) -> np.ndarray:
+    """Whether each packet but the first equals the one before, but for the clock reference, which may differ."""
+    differ = own[1:] != own[:-1]
+    clock = (own[1:, 3] & 0x20 != 0) & (own[1:, 4] > 0) & (own[1:, 5] & 0x10 != 0)
+    differ[:, 6:12] &= ~clock[:, None]
+    return ~differ.any(axis=1)
+
+
+def _payloads(rows: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """What packets carry after their adaptation fields, joined, and where each packet's part ends."""
+    begins = np.where(rows[:, 3] & 0x20 != 0, 5 + rows[:, 4].astype(np.int64), 4)
+    if (begins > PACKET).any():
+        raise MediaError("an adaptation field is too long")
+    return rows[np.arange(PACKET) >= begins[:, None]].tobytes(), np.cumsum(PACKET - begins)
+
+
+def _read_section(rows: np.ndarray, what: str) -> bytes:
+    """The first section of a table, from the packets of its stream."""
+    rows = rows[_in_order(rows)]
+    starts = np.flatnonzero(rows[:, 1] & 0x40)
+    if not len(starts):
+        raise MediaError(f"no {what}")
+    data, _ = _payloads(rows[starts[0] :])
+    at = 1 + data[0]
+    size = 3 + (int.from_bytes(data[at + 1 : at + 3], "big") & 0xFFF)
+    # Where a section goes on in a packet that begins another one, a pointer stands before its rest.
+    section = data[at : at + size]
+    for k in starts[1:]:
+        edge = _payloads(rows[starts[0] : k])[1][-1] if k > starts[0] else 0
+        if edge >= at + size:
+            break
+        data = data[:edge] + data[edge + 1 :]
+        section = data[at : at + size]
+        break
     if len(section) < size or table_crc(section):
         raise MediaError("a table's checksum is wrong")
     return section
 
 
-def _media_pid(stream: bytes, pids: np.ndarray) -> int:
-    first = lambda pid, what: next((stream[i * PACKET : (i + 1) * PACKET] for i in np.flatnonzero(pids == pid)[:1]), None) or _fail(f"no {what}")
-    programs = _read_section(first(0, "program association table"))[8:-4]
+def _media_pid(packets: np.ndarray, pids: np.ndarray) -> int:
+    programs = _read_section(packets[pids == 0], "program association table")[8:-4]
     maps = [int.from_bytes(programs[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(programs), 4) if programs[i : i + 2] != b"\0\0"]
-    streams = _read_section(first((maps or _fail("no program"))[0], "program map table"))[:-4]
+    streams = _read_section(packets[pids == (maps or _fail("no program"))[0]], "program map table")[:-4]
     at = 12 + (int.from_bytes(streams[10:12], "big") & 0xFFF)
     while at + 5 <= len(streams):
         if streams[at] == STREAM_TYPE:
@@ -179,18 +233,12 @@ def read_stream(stream: bytes) -> Media:
     if (packets[:, 0] != SYNC).any():
         raise MediaError("a sync byte is missing")
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    own = packets[pids == _media_pid(stream, pids)]
+    own = packets[pids == _media_pid(packets, pids)]
+    own = own[_in_order(own)]
     if not len(own):
         raise MediaError("no elementary packets")
-    counters = own[:, 3] & 15
-    if (np.diff(counters.astype(np.int16)) % 16 != 1).any():
-        raise MediaError("a continuity counter jumps: packets are lost or repeated")
     has_field = own[:, 3] & 0x20 != 0
-    begins = np.where(has_field, 5 + own[:, 4].astype(np.int64), 4)
-    if (begins > PACKET).any():
-        raise MediaError("an adaptation field is too long")
-    body = own[np.arange(PACKET) >= begins[:, None]].tobytes()
-    ends = np.cumsum(PACKET - begins)
+    body, ends = _payloads(own)
     unit_starts = np.flatnonzero(own[:, 1] & 0x40)
     if not len(unit_starts) or unit_starts[0]:
         raise MediaError("the stream begins inside a packet")
@@ -201,8 +249,8 @@ def read_stream(stream: bytes) -> Media:
         if data[:4] != b"\0\0\1" + bytes([STREAM_ID]) or len(data) != 6 + int.from_bytes(data[4:6], "big"):
             raise MediaError("an elementary packet is broken")
         if data[7] & 0x80:
-            a, b, c, d, e = data[9:14]
-            media.times.append(((a & 0x0E) << 29 | b << 22 | (c & 0xFE) << 14 | d << 7 | e >> 1) / CLOCK)
+            media.times.append(_ticks(data[9:14]) / CLOCK)
+            media.decoding_times.append(_ticks(data[14:19]) / CLOCK if data[7] & 0x40 else media.times[-1])
         if has_field[row] and own[row, 4] and own[row, 5] & 0x40:
             media.random_access.append(k)
         parts.append(data[9 + data[8] :])

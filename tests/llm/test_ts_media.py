@@ -43,7 +43,7 @@ def broken(change):
 @pytest.mark.parametrize(
     "change",
     [
-        lambda s: s[:-1], lambda s: b"", lambda s: s[: 188 * 4] + s[188 * 5 :], lambda s: s[: 188 * 4] + s[188 * 3 :], lambda s: s.__setitem__(188 * 3, 0), lambda s: s.__setitem__(10, 99),
+        lambda s: s[:-1], lambda s: b"", lambda s: s[: 188 * 4] + s[188 * 5 :], lambda s: s[: 188 * 4] + s[188 * 3 : 188 * 4] + s[188 * 3 :], lambda s: s.__setitem__(188 * 3, 0), lambda s: s.__setitem__(10, 99),
         lambda s: s[: 188 * 2], lambda s: s[188:], lambda s: s[:188] + s[188 * 2 :], lambda s: s[:-188], lambda s: s.__setitem__(188 * 2 + 4 + 8 + 1, 7),
     ],
 )
@@ -72,3 +72,63 @@ def test_odd_rows(odd, none):
     check([(r[0], r[1]) for r in odd_rows()], got)
     assert len({r.feature for r in got if r.doc_id in (6, 7)}) == 1
     assert M.media_features(M.store_media(none)).isEmpty()
+
+
+def packets_of(stream):
+    return [stream[i : i + 188] for i in range(0, len(stream), 188)]
+
+
+def section_packets(pid, section, counter=0):
+    """A section over as many packets as it needs."""
+    data, out = b"\0" + section, []
+    for k in range(0, len(data), 184):
+        out.append((bytes([0x47, (0x40 if k == 0 else 0) | pid >> 8, pid & 255, 0x10 | counter + len(out) & 15]) + data[k : k + 184]).ljust(188, b"\xff"))
+    return out
+
+
+def test_valid_streams_of_other_makers():
+    """Packets without payload, one repeat, an announced jump, tables over several packets."""
+    payload = M.padded(bytes(range(256)) * 90)
+    packets = packets_of(M.write_stream(payload))
+    bare = bytes([0x47, M.MEDIA_PID >> 8, M.MEDIA_PID & 255, 0x20 | packets[4][3] & 15, 183, 0]).ljust(188, b"\xff")
+    assert M.read_stream(b"".join([*packets[:5], bare, *packets[5:]])).payload == payload
+    assert M.read_stream(b"".join([*packets[:5], packets[4], *packets[5:]])).payload == payload
+    assert M.read_stream(b"".join([packets[0], packets[0], packets[1], *packets[2:]])).payload == payload
+    with pytest.raises(M.MediaError):
+        M.read_stream(b"".join([*packets[:5], packets[4], packets[4], *packets[5:]]))
+    jump = bytes([0x47, M.MEDIA_PID >> 8, M.MEDIA_PID & 255, 0x20 | 9, 183, 0x80]).ljust(188, b"\xff")
+    moved = [p if k < 9 else p[:3] + bytes([p[3] & 0xF0 | p[3] + 5 & 15]) + p[4:] for k, p in enumerate(packets)]
+    with pytest.raises(M.MediaError):
+        M.read_stream(b"".join(moved))
+    assert M.read_stream(b"".join([*moved[:9], jump, *moved[9:]])).payload == payload
+    note = b"\x05\xfa" + bytes(250)
+    body = (0xE000 | M.MEDIA_PID).to_bytes(2, "big") + (0xF000 | len(note)).to_bytes(2, "big") + note + bytes([M.STREAM_TYPE]) + (0xE000 | M.MEDIA_PID).to_bytes(2, "big") + b"\xf0\x00"
+    long_table = section_packets(M.PMT_PID, M._section(2, 1, body))
+    assert len(long_table) == 2 and M.read_stream(b"".join([packets[0], *long_table, *packets[2:]])).payload == payload
+    again = [p[:3] + bytes([p[3] & 0xF0 | p[3] + 2 & 15]) + p[4:] for p in long_table]
+    assert M.read_stream(b"".join([packets[0], *long_table, *packets[2:6], *again, *packets[6:]])).payload == payload
+    with pytest.raises(M.MediaError):
+        M.read_stream(b"".join([packets[0], long_table[0], long_table[1][:3] + b"\x17" + long_table[1][4:], *packets[2:]]))
+
+
+def test_decoding_times():
+    payload = M.padded(b"q" * 100)
+    pes = b"\0\0\1" + bytes([M.STREAM_ID]) + (len(payload) + 13).to_bytes(2, "big") + b"\x80\xc0\x0a" + M._stamp(7200) + M._stamp(3600) + payload
+    out = [M.PAT, M.PMT]
+    M._packetise(pes, b"", 0, out)
+    media = M.read_stream(b"".join(out))
+    assert media.payload == payload and media.times == [0.08] and media.decoding_times == [0.04]
+
+
+def test_columns_that_sql_can_express(spark):
+    """Ids, sizes, digests and tails as plain SQL gives them."""
+    import duckdb
+
+    from dupweave.llm import queries
+
+    got = sorted((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) for r in queries.op10_transport_stream(spark, "/root/testdata/sf0.001").collect())
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    n = "octet_length(encode(coalesce(text, '')))"
+    expected = con.execute(f"SELECT doc_id, {n}, greatest(64, (({n} + 63) // 64) * 64), sha256(encode(coalesce(text, '')) || unhex(repeat('00', (greatest(64, (({n} + 63) // 64) * 64) - {n})::INT))) FROM documents").fetchall()
+    assert got == sorted(tuple(r) for r in expected)
