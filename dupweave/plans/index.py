@@ -9,6 +9,12 @@ from ..functions import paths
 from ..operators import fingerprints, maintenance, matches
 from ..sources.config import Options
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of tables, if it's there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 EDIT = "edit_id long, session string, seq long, file string, format string, before string, before_kind string, before_path string, after string"
 
 
@@ -21,29 +27,47 @@ class DuplicateIndex:
 
     def __init__(self, spark: SparkSession, options: Options | None = None, folder: str | None = None):
         self.spark, self.options, self.folder, self.version = spark, options or Options(), folder, 0
+        context = spark.sparkContext
+        if folder and not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(f"{folder}/checkpoints")
         self.tokens = spark.createDataFrame([], "file string, hashes array<long>, start_lines array<int>, end_lines array<int>")
 
     def _keep(self, tokens: DataFrame) -> None:
+        """Write a new version. The one before stays, for results that aren't read yet; older ones go."""
         self.version += 1
         if self.folder:
             path = f"{self.folder}/v{self.version}"
-            tokens.write.parquet(path)
+            tokens.write.mode("overwrite").parquet(path)
             tokens = self.spark.read.parquet(path)
+            drop_folder(self.spark, f"{self.folder}/v{self.version - 2}")
         self.tokens = tokens
 
     def verdicts(self, files: DataFrame) -> DataFrame:
         """files (file, text, ...) with format and the reason to skip them, if any: the path's before the content's."""
+        judged = self.path_verdicts(files)
+        return judged.withColumn("skip_reason", F.coalesce("reason", paths.skip_reason(F.col("text")))).drop("reason")
+
+    def path_verdicts(self, files: DataFrame) -> DataFrame:
+        """files (file, ...) with format and the path's reason against them, if any."""
         o = self.options
         verdict = paths.path_verdict(F.col("file"), list(o.ignore_patterns), o.ignore_tests, list(o.custom_test_patterns), list(o.exclude_test_patterns), o.formats_exts)
-        judged = files.withColumn("_v", verdict)
-        return judged.withColumn("format", F.col("_v.format")).withColumn("skip_reason", F.coalesce(F.col("_v.reason"), paths.skip_reason(F.col("text")))).drop("_v")
+        return files.withColumn("_v", verdict).select(*[F.col(c) for c in files.columns if c not in ("format", "reason")], "_v.*")
 
-    def put(self, files: DataFrame) -> None:
-        """Add or replace files (file, format, text); equal contents are tokenized once."""
+    def _streams(self, files: DataFrame) -> DataFrame:
+        """Token rows of files (file, format, text); equal contents are tokenized once."""
         keyed = files.withColumn("content_key", maintenance.content_key(F.col("format"), F.col("text")))
         contents = maintenance.distinct_contents(files).select(F.col("content_key").alias("file"), "format", "text")
         streams = fingerprints.token_table(contents).withColumnRenamed("file", "content_key")
-        self._keep(maintenance.upsert(self.tokens, keyed.select("file", "content_key").join(streams, "content_key").select("file", "hashes", "start_lines", "end_lines")))
+        return keyed.select("file", "content_key").join(streams, "content_key").select("file", "hashes", "start_lines", "end_lines")
+
+    def put(self, files: DataFrame) -> None:
+        """Add or replace files (file, format, text)."""
+        self._keep(maintenance.upsert(self.tokens, self._streams(files)))
+
+    def change(self, files: DataFrame, gone: DataFrame) -> None:
+        """Add or replace `files` and remove `gone` in one new version; none if both are empty."""
+        if not (files.isEmpty() and gone.isEmpty()):
+            self._keep(maintenance.upsert(maintenance.delete(self.tokens, gone), self._streams(files)))
 
     def remove(self, files: DataFrame) -> None:
         self._keep(maintenance.delete(self.tokens, files))
@@ -64,8 +88,8 @@ class DuplicateIndex:
         found = None
         for row in edits.select("seq").distinct().orderBy("seq").toLocalIterator():
             step = edits.filter(F.col("seq") == row["seq"])
-            # Written before the index moves on, as it reads the present version.
-            result = self.check(step)
+            # Made before the index moves on and cut from its version, as that one goes when two more are written.
+            result = self.check(step).checkpoint() if self.folder else self.check(step)
             found = result if found is None else found.unionByName(result)
             self.put(step.select("file", "format", F.col("after").alias("text")))
         return found if found is not None else self.check(edits)

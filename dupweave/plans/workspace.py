@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ledger, maintenance
 from ..sources import repo
 from ..sources.config import resolve_options, stable_json
-from .index import DuplicateIndex
+from .index import DuplicateIndex, drop_folder
 
 MANIFEST = "file string, size long, mtime_ms double, rev long, format string, skip_reason string, indexed boolean"
 _open: dict[tuple[str, str], Workspace] = {}
@@ -22,7 +22,7 @@ class Workspace:
         self.options, self.config_path, self.warnings = resolve_options(cwd or root, root, settings)
         self.index = DuplicateIndex(spark, self.options, f"{folder}/index")
         self.manifest = spark.createDataFrame([], MANIFEST)
-        self.rev = 0
+        self.rev = self.version = 0
         self.state = "indexing"
 
     def __enter__(self) -> Workspace:
@@ -32,32 +32,38 @@ class Workspace:
     def __exit__(self, *_) -> None:
         self.release()
 
-    def _listing(self) -> DataFrame:
-        """Files as they are: format and reason by these options, text only of those to be indexed."""
-        files = repo.read_files(self.spark, self.root).drop("format", "skip_reason")
-        return self.index.verdicts(files)
-
     def refresh(self) -> None:
-        """Bring the index up to the work tree: only new and changed files are tokenized, gone ones leave."""
+        """Bring the index up to the work tree: only new and changed files are opened and tokenized, gone ones leave.
+
+        Files that the last look rejected, or that are too large, aren't opened either while size and time stay the same.
+        """
+        self._alive()
         self.rev += 1
-        listing = self._listing().persist()
+        judged = self.index.path_verdicts(repo.listed_files(self.spark, self.root))
+        listing = repo.scan(judged, self.root, self.manifest).persist()
         try:
-            actions = maintenance.rescan_actions(self.manifest, listing.select("file", "size", "mtime_ms"))
             known = self.manifest.filter("indexed").select("file")
             capped = maintenance.within_limit(listing.filter("skip_reason is null").select("file", "listing_ord"), known, self.options.max_indexed_files)
             wanted = listing.join(capped, "file", "left").withColumn("indexed", F.coalesce("indexed", F.lit(False)))
-            path = f"{self.folder}/manifest/r{self.rev}"
-            wanted.select("file", "size", "mtime_ms", F.lit(self.rev).cast("long").alias("rev"), "format", "skip_reason", "indexed").write.parquet(path)
-            changed = actions.filter("action in ('new', 'changed')").select("file")
-            fresh = wanted.filter("indexed").join(changed, "file", "left_semi").select("file", "format", "text")
+            self._write_manifest(wanted.select("file", "size", "mtime_ms", F.lit(self.rev).cast("long").alias("rev"), "format", "skip_reason", "indexed"))
+            fresh = wanted.filter("indexed AND NOT same").select("file", "format", "text")
             gone = self.index.tokens.select("file").join(wanted.filter("indexed").select("file"), "file", "left_anti")
-            self.index.remove(gone)
-            self.index.put(fresh)
-            self.manifest = self.spark.read.schema(MANIFEST).parquet(path)
+            self.index.change(fresh, gone)
             self.state = "ready"
         finally:
             listing.unpersist()
 
+    def _write_manifest(self, rows: DataFrame) -> None:
+        self.version += 1
+        path = f"{self.folder}/manifest/r{self.version}"
+        rows.write.mode("overwrite").parquet(path)
+        self.manifest = self.spark.read.schema(MANIFEST).parquet(path)
+        drop_folder(self.spark, f"{self.folder}/manifest/r{self.version - 2}")
+
+    def _alive(self) -> None:
+        if self.state == "unavailable":
+            raise RuntimeError("this workspace was released")
+
     def status(self) -> dict:
         """State, counters and a sentence."""
         rows = self.manifest.withColumn("failed", F.lit(False))
@@ -65,10 +71,26 @@ class Workspace:
         told = row.withColumn("sentence", ledger.status_sentence(F.col("state"), F.col("indexed_files"), F.col("candidate_files"), F.col("failed_files"), F.col("capped")))
         return told.first().asDict() | {"root": self.root, "options": stable_json(vars(self.options))}
 
-    def check(self, edits: DataFrame) -> DataFrame:
-        """What edits duplicate anew; edits of files that aren't indexed are left out."""
+    def check(self, edits: DataFrame, store: bool = True) -> DataFrame:
+        """What edits duplicate anew; edits of files that wouldn't be indexed are left out.
+
+        The index then holds the files as edited, marked with an unknown size and time, so that the next refresh reads them.
+        Files that aren't indexed yet are taken in as far as the limit allows.
+        """
+        self._alive()
         judged = self.index.verdicts(edits.drop("format").withColumn("text", F.col("after")))
-        return self.index.check(judged.filter("skip_reason is null").drop("text", "skip_reason"))
+        accepted = judged.filter("skip_reason is null").drop("skip_reason")
+        found = self.index.check(accepted.drop("text")).checkpoint()
+        if store:
+            last = accepted.groupBy("file").agg(F.max_by(F.struct("format", "text"), F.struct("seq", "edit_id")).alias("last")).select("file", "last.*")
+            known = self.manifest.filter("indexed").select("file")
+            capped = maintenance.within_limit(last.select("file", F.lit(0).cast("long").alias("listing_ord")), known, self.options.max_indexed_files)
+            taken = last.join(capped.filter("indexed").select("file"), "file", "left_semi")
+            none = self.index.tokens.select("file").limit(0)
+            self.index.change(taken, none)
+            marked = taken.select("file", F.lit(-1).cast("long").alias("size"), F.lit(None).cast("double").alias("mtime_ms"), F.lit(self.rev).cast("long").alias("rev"), "format", F.lit(None).cast("string").alias("skip_reason"), F.lit(True).alias("indexed"))
+            self._write_manifest(maintenance.upsert(self.manifest, marked).select(*self.manifest.columns))
+        return found
 
     def release(self) -> None:
         self.state = "unavailable"
@@ -89,6 +111,17 @@ def acquire(spark: SparkSession, cwd: str, folder: str, settings: dict | None =
     return _open[key]
 
 
+def restart(workspace: Workspace, settings: dict | None = None) -> Workspace | None:
+    """Release a workspace and acquire its root again, with options read anew."""
+    workspace.release()
+    return acquire(workspace.spark, workspace.root, workspace.folder, settings)
+
+
+def service_stats() -> dict[str, int]:
+    """How many workspaces are open, and how many of them are ready."""
+    return {"workspaces": len(_open), "ready": sum(w.state == "ready" for w in _open.values())}
+
+
 def command(argument: str, state_path: str, cwd: str, workspace: Workspace | None = None) -> str:
     """on, off or status for the project that holds `cwd`; what was done or how it stands."""
     action = argument.strip().lower()

@@ -16,6 +16,7 @@ try:
 except ImportError:
     yaml = None
 
+# Names of options in files and settings.
 PATTERN_LISTS = ("ignore_patterns", "custom_test_patterns", "exclude_test_patterns")
 NUMBERS = {"min_tokens": "minTokens", "min_lines": "minLines", "max_indexed_files": "maxIndexedFiles"}
 NAMES = {

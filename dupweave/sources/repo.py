@@ -7,11 +7,15 @@ import json
 import os
 import re
 import shutil
+import stat as statmod
 import subprocess
 import time
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import constants as C
 from ..functions.paths import path_verdict, skip_reason
@@ -39,30 +43,134 @@ def relative_path(root: str, path: str) -> str | None:
     return None if name == ".." or name.startswith("../") else name
 
 
-def list_files(root: str) -> list[str]:
-    """Tracked and untracked files that git doesn't ignore, without ignored folders; a path listed twice counts once."""
-    found = _git(root, "ls-files", "-z", "--cached", "--others", "--exclude-standard", timeout=600) or ""
-    skip = set(C.IGNORED_DIRS)
-    return [p for p in dict.fromkeys(found.split("\0")) if p and not skip.intersection(p.split("/")[:-1])]
+LISTING_ROWS, READ_BYTES = 5000, 16 << 20
 
 
-def read_files(spark: SparkSession, root: str, most_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
-    """(file, format, size, mtime_ms, listing_ord, text, skip_reason) of a work tree, read by Spark's binary source.
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """(file, listing_ord): tracked and untracked files that git doesn't ignore; a path listed twice counts once.
 
-    Paths are judged before anything is read, and files above the size limit are not read.
+    One task reads git's output in pieces, so a listing of any length is never held as a whole.
     """
-    names = list_files(root)
-    listing = spark.createDataFrame([(n, i) for i, n in enumerate(names)] or [("", -1)], "file string, listing_ord long").filter("file <> ''")
-    judged = listing.withColumn("v", path_verdict(F.col("file"))).select("file", "listing_ord", "v.*")
-    if not names:
-        return judged.select("file", "format", F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("mtime_ms"), "listing_ord", F.lit(None).cast("string").alias("text"), F.col("reason").alias("skip_reason"))
-    base = os.path.realpath(root).rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{base}")
-    sizes = files.select(F.expr(f"substring(path, {len('file:' + base) + 2})").alias("file"), "length", "modificationTime", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
-    joined = judged.join(sizes, "file", "left")
-    text = F.decode("content", "UTF-8")
-    reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("length").isNull(), "deleted").when(F.col("length") > most_bytes, "too-large").otherwise(skip_reason(text, most_bytes))
-    return joined.select("file", "format", F.coalesce("length", F.lit(-1)).alias("size"), (F.unix_millis("modificationTime") * 1.0).alias("mtime_ms"), "listing_ord", F.when(reason.isNull(), text).alias("text"), reason.alias("skip_reason"))
+    args = ["git", "ls-files", "-z", "--cached", "--others", "--exclude-standard", *(f"--exclude={d}/" for d in C.IGNORED_DIRS)]
+    env = {k: v for k, v in os.environ.items() if k not in C.GIT_REDIRECTS} | {"GIT_OPTIONAL_LOCKS": "0"}
+
+    def rows(names: list[str], first: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(range(first, first + len(names)), pa.int64())], names=["file", "listing_ord"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            with subprocess.Popen(args, cwd=root, env=env, stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as git:
+                names, pending, last, n = [], b"", None, 0
+                while True:
+                    chunk = git.stdout.read(1 << 18)
+                    *whole, pending = (pending + chunk + (b"" if chunk else b"\0")).split(b"\0")
+                    for name in whole:
+                        # Git lists tracked files in order: a path with several stages comes in a row.
+                        if name and name != last:
+                            names.append(name.decode(errors="surrogateescape").encode("utf-8", "replace").decode())
+                        last = name
+                    if len(names) >= LISTING_ROWS or not chunk:
+                        yield rows(names, n)
+                        n, names = n + len(names), []
+                    if not chunk:
+                        break
+            if git.returncode:
+                raise RuntimeError(f"git ls-files failed in {root}: exit code {git.returncode}")
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "file string, listing_ord long")
+
+
+def _with(files: DataFrame, fields: list[tuple[str, pa.DataType, str]], values) -> DataFrame:
+    """`files` with more columns, made by `values` from pieces of batches: it yields (rows, values by field) in order."""
+    schema = StructType([*files.schema.fields, *StructType.fromDDL(", ".join(f"{name} {ddl}" for name, _, ddl in fields)).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for n, columns in values(batch):
+                made = [pa.array(c, kind) for c, (_, kind, _) in zip(columns, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns, *made], names=[*batch.schema.names, *(name for name, _, _ in fields)])
+                at += n
+
+    return files.mapInArrow(run, schema)
+
+
+def stat_files(files: DataFrame, root: str, wanted: str = "wanted") -> DataFrame:
+    """`files` (file, ...) with size and mtime_ms of the wanted ones; null where there is no such file (any more)."""
+
+    def stat(name: str) -> tuple[int | None, float | None]:
+        try:
+            found = os.stat(os.path.join(root, name))
+        except (OSError, ValueError):
+            return None, None
+        return (found.st_size, found.st_mtime_ns / 1e6) if statmod.S_ISREG(found.st_mode) else (None, None)
+
+    def values(batch: pa.RecordBatch):
+        names, asked = batch.column("file").to_pylist(), batch.column(wanted).to_pylist()
+        found = [stat(n) if w else (None, None) for n, w in zip(names, asked, strict=True)]
+        yield batch.num_rows, list(zip(*found, strict=True)) or [[], []]
+
+    return _with(files, [("size", pa.int64(), "long"), ("mtime_ms", pa.float64(), "double")], values)
+
+
+def read_texts(files: DataFrame, root: str, most_bytes: int = C.MAX_FILE_BYTES, wanted: str = "wanted") -> DataFrame:
+    """`files` (file, ...) with text and read_error (deleted, too-large or failed) of the wanted ones. No other file is opened.
+
+    A file that has grown since it was looked at is read no further than `most_bytes`; rows leave in pieces of bounded size.
+    """
+
+    def read(name: str) -> tuple[str | None, str | None]:
+        try:
+            with open(os.path.join(root, name), "rb") as f:
+                data = f.read(most_bytes + 1)
+        except FileNotFoundError:
+            return None, "deleted"
+        except (OSError, ValueError):
+            return None, "failed"
+        return (None, "too-large") if len(data) > most_bytes else (data.decode(errors="replace"), None)
+
+    def values(batch: pa.RecordBatch):
+        texts, errors, held = [], [], 0
+        for name, asked in zip(batch.column("file").to_pylist(), batch.column(wanted).to_pylist(), strict=True):
+            text, error = read(name) if asked else (None, None)
+            texts.append(text)
+            errors.append(error)
+            held += len(text or "")
+            if held > READ_BYTES:
+                yield len(texts), [texts, errors]
+                texts, errors, held = [], [], 0
+        yield len(texts), [texts, errors]
+
+    return _with(files, [("text", pa.string(), "string"), ("read_error", pa.string(), "string")], values)
+
+
+def scan(judged: DataFrame, root: str, known: DataFrame | None = None, most_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
+    """judged (file, listing_ord, format, reason) -> with size, mtime_ms, text, skip_reason and same.
+
+    Paths with a reason aren't looked at. Files with the size and time that `known` (file, size, mtime_ms, skip_reason,
+    indexed) has, indexed or rejected then, are `same`: they keep their reason and aren't opened, nor are files above
+    `most_bytes`.
+    """
+    looked = stat_files(judged.repartition("file").withColumn("wanted", F.col("reason").isNull()), root).drop("wanted")
+    if known is None:
+        looked = looked.withColumn("same", F.lit(False)).withColumn("known_reason", F.lit(None).cast("string"))
+    else:
+        settled = known.filter("indexed OR skip_reason IS NOT NULL").select(F.col("file").alias("known_file"), F.col("size").alias("known_size"), F.col("mtime_ms").alias("known_mtime"), F.col("skip_reason").alias("known_reason"))
+        looked = looked.join(settled, F.col("file") == F.col("known_file"), "left")
+        same = F.col("size").isNotNull() & (F.col("size") == F.col("known_size")) & (F.col("mtime_ms") == F.col("known_mtime"))
+        looked = looked.withColumn("same", F.coalesce(same, F.lit(False))).drop("known_file", "known_size", "known_mtime")
+    early = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("size").isNull(), "deleted").when(F.col("size") > most_bytes, "too-large")
+    read = read_texts(looked.withColumn("early", early).withColumn("wanted", F.col("early").isNull() & ~F.col("same")), root, most_bytes)
+    reason = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("same"), F.col("known_reason")).when(F.col("read_error").isNotNull(), F.col("read_error")).otherwise(skip_reason(F.col("text"), most_bytes))
+    return read.withColumn("skip_reason", reason).select("file", "format", F.coalesce("size", F.lit(-1)).alias("size"), "mtime_ms", "listing_ord", F.when(F.col("skip_reason").isNull(), F.col("text")).alias("text"), "skip_reason", "same")
+
+
+def read_files(spark: SparkSession, root: str, most_bytes: int = C.MAX_FILE_BYTES, known: DataFrame | None = None) -> DataFrame:
+    """(file, format, size, mtime_ms, listing_ord, text, skip_reason, same) of a work tree, by the default options."""
+    judged = listed_files(spark, root).withColumn("v", path_verdict(F.col("file"))).select("file", "listing_ord", "v.*")
+    return scan(judged, os.path.realpath(root), known, most_bytes)
 
 
 def read_before(path: str, most_bytes: int = C.MAX_BEFORE_BYTES) -> tuple[str, str | None]:

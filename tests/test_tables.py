@@ -123,8 +123,8 @@ def work_tree(tmp_path):
     root = tmp_path / "work"
     root.mkdir()
     subprocess.run(["git", "init", "-q", str(root)], check=True)
-    for name, body in {"src/app.ts": "let a = 1", "src/app.test.ts": "x", "big.ts": "x" * 200, "gen.ts": "// @generated", "dist/out.ts": "x", "skipped.ts": "x", ".gitignore": "skipped.ts\n", " lead.ts": "y", "a+b%.ts": "z"}.items():
-        (root / name).parent.mkdir(exist_ok=True)
+    for name, body in {"src/app.ts": "let a = 1", "src/app.test.ts": "x", "big.ts": "x" * 200, "gen.ts": "// @generated", "dist/out.ts": "x", "skipped.ts": "x", ".gitignore": "skipped.ts\n", " lead.ts": "y", "a+b%.ts": "z", "src/__init__.py": "i", "src/_p/_b.py": "b", "src/.eslintrc.js": "c"}.items():
+        (root / name).parent.mkdir(exist_ok=True, parents=True)
         (root / name).write_text(body)
     return root
 
@@ -133,11 +133,25 @@ def test_reading_a_work_tree(spark, work_tree):
     root = repo.repo_root(str(work_tree / "src"))
     rows = {r.file: (r.skip_reason, r.text) for r in repo.read_files(spark, root, 100).collect()}
     assert rows["src/app.ts"] == (None, "let a = 1") and rows[" lead.ts"] == (None, "y") and rows["a+b%.ts"] == (None, "z")
+    assert rows["src/__init__.py"] == (None, "i") and rows["src/_p/_b.py"] == (None, "b") and rows["src/.eslintrc.js"] == (None, "c")
     assert {k: v[0] for k, v in rows.items() if v[0]} == {"src/app.test.ts": "ignored", "big.ts": "too-large", "gen.ts": "generated", ".gitignore": "unsupported-format"}
     assert repo.relative_path(root, str(work_tree / "src" / "app.ts")) == "src/app.ts" and repo.relative_path(root, "/etc/hosts") is None
     assert repo.repo_root("/nonexistent") is None
 
 
+def test_only_changed_files_are_opened(spark, work_tree):
+    """Files that can't be opened show which ones are."""
+    for name in ("dist/out.ts", "big.ts", "src/app.test.ts"):
+        (work_tree / name).chmod(0)
+    first = repo.read_files(spark, str(work_tree), 100).withColumn("indexed", F.col("skip_reason").isNull()).persist()
+    assert {r.skip_reason for r in first.collect()} == {None, "ignored", "too-large", "generated", "unsupported-format"}
+    (work_tree / "src" / "app.ts").write_text("let changed = 2")
+    (work_tree / "a+b%.ts").unlink()
+    again = {r.file: r for r in repo.read_files(spark, str(work_tree), 100, first).collect()}
+    assert again["src/app.ts"].text == "let changed = 2" and not again["src/app.ts"].same and again["src/_p/_b.py"].same and again["src/_p/_b.py"].text is None
+    assert again["gen.ts"].same and again["gen.ts"].skip_reason == "generated" and "a+b%.ts" not in again or again["a+b%.ts"].skip_reason == "deleted"
+
+
 def test_project_switches(work_tree, tmp_path):
     state = str(tmp_path / "state" / "projects.json")
     assert repo.is_project_enabled(state, str(work_tree))
@@ -178,7 +192,12 @@ def test_workspace_follows_the_work_tree(spark, work_tree, tmp_path):
     w.refresh()
     after = w.status()
     assert w.check(probe(1)).isEmpty() and [r.other_file for r in w.check(probe(2)).collect()] == ["src/one.ts"]
-    assert (before["indexed_files"], after["indexed_files"]) == (5, 4) and "files indexed" in after["sentence"]
+    assert (before["indexed_files"], after["indexed_files"]) == (9, 7) and "files indexed" in after["sentence"]
+    assert workspace.service_stats() == {"workspaces": 1, "ready": 1}
+    again = workspace.restart(w)
+    with pytest.raises(RuntimeError):
+        w.check(probe(1))
+    w = again
     state = str(tmp_path / "projects.json")
     assert "is on" in workspace.command("status", state, str(work_tree), w) and "off" in workspace.command("OFF", state, str(work_tree), w) and "is off" in workspace.command("", state, str(work_tree)) and "isn't" in workspace.command("x", state, str(work_tree))
     assert w.state == "unavailable"
