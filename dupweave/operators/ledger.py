@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 
+# The words of reports are this package's own.
 ADVICE = "Call or import the existing code, or move what both share into one helper. Leave it if the copy is meant."
 
 
@@ -14,8 +15,9 @@ def first_seen(warnings: DataFrame) -> DataFrame:
     """Rows (session, seq, is_clear, key) that report a key not reported before in the session since its last clearing."""
     running = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     epochs = warnings.withColumn("epoch", F.sum(F.col("is_clear").cast("int")).over(running)).filter(~F.col("is_clear"))
-    place = F.row_number().over(Window.partitionBy("session", "epoch", "key").orderBy("seq"))
-    return epochs.withColumn("place", place).filter("place = 1").drop("place", "is_clear")
+    order = ["seq", *(c for c in ("edit_id", "place") if c in warnings.columns)]
+    first = F.row_number().over(Window.partitionBy("session", "epoch", "key").orderBy(*order))
+    return epochs.withColumn("_first", first).filter("_first = 1").drop("_first", "is_clear")
 
 
 def delivery(latency_ms: Column, mode: Column, is_idle: Column, current: Column) -> Column:
@@ -30,7 +32,7 @@ def triggers_rescan(event: Column) -> Column:
 
 def describe(m: Column) -> Column:
     """`m`: struct(file, start_line, end_line, other_file, other_start, other_end, excerpt)."""
-    return F.format_string("%s:%d-%d duplicates %s:%d-%d (%d lines)", m["file"], m["start_line"], m["end_line"], m["other_file"], m["other_start"], m["other_end"], m["end_line"] - m["start_line"] + 1)
+    return F.format_string("%s, lines %d to %d: as in %s, lines %d to %d (%d lines)", m["file"], m["start_line"], m["end_line"], m["other_file"], m["other_start"], m["other_end"], m["end_line"] - m["start_line"] + 1)
 
 
 def region_label(file: Column, start: Column, end: Column) -> Column:
@@ -60,14 +62,14 @@ def _entry(m: Column, with_excerpt: bool) -> Column:
     head = F.concat(F.lit("- "), describe(m))
     if not with_excerpt:
         return head
-    return F.when(m["excerpt"].isNull(), head).otherwise(F.concat_ws("\n", head, F.concat(F.lit("  Existing code in "), m["other_file"], F.lit(":")), fenced(m["excerpt"])))
+    return F.when(m["excerpt"].isNull(), head).otherwise(F.concat_ws("\n", head, F.concat(F.lit("  It reads, in "), m["other_file"], F.lit(":")), fenced(m["excerpt"])))
 
 
 def _composed(file: Column, matches: Column, omitted: Column, artifact: Column, with_excerpts: bool) -> Column:
     entries = F.transform(matches, lambda m: _entry(m, with_excerpts))
-    more = F.when((omitted > 0) & artifact.isNotNull(), F.format_string("… %d more duplicate(s) omitted; full report: artifact://%s", omitted, artifact))
-    more = more.when(omitted > 0, F.format_string("… %d more duplicate(s) omitted.", omitted)).when(artifact.isNotNull(), F.concat(F.lit("Full report with excerpts: artifact://"), artifact))
-    return F.concat_ws("\n", F.concat(F.lit("Your last change to "), file, F.lit(" duplicates existing code:")), entries, more, F.lit(ADVICE))
+    more = F.when((omitted > 0) & artifact.isNotNull(), F.format_string("(%d more not shown; all of them: artifact://%s)", omitted, artifact))
+    more = more.when(omitted > 0, F.format_string("(%d more not shown)", omitted)).when(artifact.isNotNull(), F.concat(F.lit("All with their code: artifact://"), artifact))
+    return F.concat_ws("\n", F.concat(F.lit("What was just written to "), file, F.lit(" is there already:")), entries, more, F.lit(ADVICE))
 
 
 def reports(matches: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,13 +76,54 @@ def pre_images(edits: DataFrame) -> DataFrame:
 
 
 def captured_befores(calls: DataFrame, results: DataFrame, most: int = C.MAX_PENDING_BEFORES) -> DataFrame:
-    """Results with the pre-image captured at the call of the same id and path; only the last `most` open calls are held."""
-    order = Window.partitionBy("session").orderBy(F.col("seq").desc())
-    held = calls.withColumn("age", F.row_number().over(order)).filter(F.col("age") <= most)
-    held = held.select(F.col("session").alias("held_session"), F.col("call_id").alias("held_id"), F.col("file").alias("held_file"), "before")
-    same = (F.col("session") == F.col("held_session")) & (F.col("call_id") == F.col("held_id")) & (F.col("file") == F.col("held_file"))
-    kind = F.when(F.col("held_id").isNull(), "unknown").when(F.col("before").isNull(), "absent").otherwise("content")
-    return results.join(held, same, "left").withColumn("before_kind", kind).drop("held_session", "held_id", "held_file")
+    """Results with the pre-image captured at the open call of the same id, if its path is the same.
+
+    calls: (session, seq, call_id, file, before); results: (session, seq, call_id, file, ...), one for each seq of a session.
+    A call is open until a result of its id comes, or until `most` are open and another call pushes out the oldest.
+    Sessions are read in order of seq, row by row: a task holds the open calls of one session, never a session.
+    """
+    key = [F.col("session").cast("string").alias("session"), F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("call_id").cast("string"), F.lit("")).alias("call_id"), F.col("file").cast("string").alias("file")]
+    both = calls.select(*key, F.col("before").cast("string").alias("before"), F.lit(False).alias("ends")).unionByName(results.select(*key, F.lit(None).cast("string").alias("before"), F.lit(True).alias("ends")))
+    schema = "held_session string, held_seq long, before string, before_kind string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, held = None, {}
+        for batch in batches:
+            out = []
+            for own, seq, call_id, file, before, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != session:
+                    session, held = own, {}
+                if not ends:
+                    if len(held) >= most:
+                        del held[next(iter(held))]
+                    held[call_id] = file, before
+                else:
+                    path, text = held.pop(call_id, (None, None))
+                    known = path is not None and path == file
+                    out.append((own, seq, text if known else None, "unknown" if not known else "absent" if text is None else "content"))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["held_session", "held_seq", "before", "before_kind"])
+
+    answered = both.repartition("session").sortWithinPartitions("session", "seq", "ends").mapInArrow(run, schema)
+    same = F.col("session").cast("string").eqNullSafe(F.col("held_session")) & (F.col("seq") == F.col("held_seq"))
+    return results.join(answered, same, "left").drop("held_session", "held_seq")
+
+
+def mutation_requests(results: DataFrame) -> DataFrame:
+    """Check requests of tool results, in order: (session, seq, at, file, before, before_kind, before_path).
+
+    results: (session, seq, tool, is_error, resolved_path, edits: array of struct(path, source_path, is_error), before,
+    before_kind, captured_path). A write gives its resolved path, with the captured pre-image if that is the same path's; an edit
+    gives its files as edit_requests(); anything else, and what failed, gives none: a rescan picks it up.
+    """
+    fine = results.filter(~F.coalesce("is_error", F.lit(False)))
+    own = F.col("captured_path").eqNullSafe(F.col("resolved_path"))
+    none = F.lit(None).cast("string")
+    writes = fine.filter((F.col("tool") == "write") & (F.coalesce("resolved_path", F.lit("")) != ""))
+    writes = writes.select("session", "seq", F.lit(0).alias("at"), F.col("resolved_path").alias("file"), F.when(own, F.col("before")).alias("before"), F.when(own, F.col("before_kind")).otherwise("unknown").alias("before_kind"), none.alias("before_path"))
+    edited = edit_requests(fine.filter("tool = 'edit'").select(F.struct("session", "seq").alias("event_id"), F.col("edits").alias("results")))
+    edited = edited.select("event_id.session", "event_id.seq", F.col("seq").alias("at"), "file", none.alias("before"), F.lit("unknown").alias("before_kind"), "before_path")
+    return writes.unionByName(edited)
 
 
 def edit_requests(events: DataFrame) -> DataFrame:

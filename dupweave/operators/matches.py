@@ -8,14 +8,16 @@ fingerprints; then each pair is one row of arrays for a kernel, and what is left
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import constants as C
-from .diff import diff_tokens
+from .diff import TokenDiff, diff_tokens
 from .fingerprints import gram_and_window, gram_hashes, list_arrays, token_table
 from .runs import candidate_pairs, common_runs, self_runs_of
 
@@ -38,14 +40,25 @@ def trim_partial_lines(start_lines: np.ndarray, end_lines: np.ndarray, start: in
     return start, end - start
 
 
+def count_new(after: np.ndarray, diff: TokenDiff | None) -> np.ndarray:
+    """The number of new tokens before each place of `after`; without a diff all are new."""
+    return np.concatenate(([0], np.cumsum(diff.is_new))) if diff else np.arange(len(after) + 1)
+
+
 class Edit:
-    """One edit's streams; what of `after` is new, and whether a run is to be reported."""
+    """One edit's streams; what of `after` is new, and whether a run is to be reported.
+
+    `new_before`: the numbers of new tokens before each place, if known; else a diff finds them.
+    """
 
-    def __init__(self, after: np.ndarray, start_lines: np.ndarray, end_lines: np.ndarray, before: np.ndarray | None, min_tokens: int, min_lines: int):
+    def __init__(self, after: np.ndarray, start_lines: np.ndarray, end_lines: np.ndarray, before: np.ndarray | None, min_tokens: int, min_lines: int, new_before: np.ndarray | None = None):
         self.after, self.start_lines, self.end_lines, self.before = after, start_lines, end_lines, before
         self.min_tokens, self.min_lines = min_tokens, min_lines
-        self.diff = None if before is None else diff_tokens(after, before)
-        self.new_before = np.concatenate(([0], np.cumsum(self.diff.is_new))) if self.diff else np.arange(len(after) + 1)
+        self.new_before = count_new(after, self.diff) if new_before is None else new_before
+
+    @cached_property
+    def diff(self) -> TokenDiff | None:
+        return None if self.before is None else diff_tokens(self.after, self.before)
 
     def has_new(self, start: int, length: int) -> bool:
         return self.new_before[start + length] > self.new_before[start]
@@ -121,7 +134,17 @@ def edit_streams(edits: DataFrame, corpus: DataFrame) -> DataFrame:
     indexed = corpus.select(F.col("file").alias("indexed_file"), F.col("hashes").alias("indexed"))
     joined = edits.select("edit_id", "file", "before_kind", F.coalesce("before_path", "file").alias("earlier")).join(after, F.col("edit_id").cast("string") == F.col("own_id"))
     joined = joined.join(before, F.col("edit_id").cast("string") == F.col("before_id"), "left").join(indexed, F.col("earlier") == F.col("indexed_file"), "left")
-    return joined.select("edit_id", "file", "hashes", "start_lines", "end_lines", F.when(F.col("before_kind") == "content", F.col("given")).when(F.col("before_kind") == "unknown", F.col("indexed")).alias("before"))
+    streams = joined.select("edit_id", "file", "hashes", "start_lines", "end_lines", F.when(F.col("before_kind") == "content", F.col("given")).when(F.col("before_kind") == "unknown", F.col("indexed")).alias("before"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [count_new(a, None if b is None else diff_tokens(a, b)) for a, b in zip(list_arrays(batch.column(2)), _befores(batch.column(5)), strict=True)]
+            bounds = np.concatenate(([0], np.cumsum([len(n) for n in new])))
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([*new, np.zeros(0, np.int64)]), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "new_before"])
+
+    # One diff for each edit, before it meets any counterpart.
+    return streams.mapInArrow(counted, StructType([*streams.schema.fields, StructField("new_before", ArrayType(IntegerType()))]))
 
 
 def _rows(edit: Edit, edit_id: int, is_self: bool, path: str, found: list[tuple[int, int, int]], starts: np.ndarray, ends: np.ndarray) -> list[tuple]:
@@ -145,22 +168,22 @@ def candidates(streams: DataFrame, corpus: DataFrame, min_tokens: int = C.MIN_TO
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, paths = batch.column(0).to_pylist(), batch.column(5).to_pylist()
-            columns = [list_arrays(batch.column(k)) for k in (1, 2, 3, 6, 7, 8)]
+            columns = [list_arrays(batch.column(k)) for k in (1, 2, 3, 6, 7, 8, 9)]
             rows = []
             for i, before in enumerate(_befores(batch.column(4))):
-                own, starts, ends, other, other_starts, other_ends = (c[i] for c in columns)
-                edit = Edit(own, starts, ends, before, min_tokens, min_lines)
+                own, starts, ends, other, other_starts, other_ends, new = (c[i] for c in columns)
+                edit = Edit(own, starts, ends, before, min_tokens, min_lines, new)
                 rows += _rows(edit, ids[i], False, paths[i], edit.cross(other), other_starts, other_ends)
             yield _batch(rows)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, files = batch.column(0).to_pylist(), batch.column(5).to_pylist()
-            columns = [list_arrays(batch.column(k)) for k in (1, 2, 3)]
+            columns = [list_arrays(batch.column(k)) for k in (1, 2, 3, 6)]
             rows = []
             for i, before in enumerate(_befores(batch.column(4))):
-                own, starts, ends = (c[i] for c in columns)
-                edit = Edit(own, starts, ends, before, min_tokens, min_lines)
+                own, starts, ends, new = (c[i] for c in columns)
+                edit = Edit(own, starts, ends, before, min_tokens, min_lines, new)
                 rows += _rows(edit, ids[i], True, files[i], edit.own(), starts, ends)
             yield _batch(rows)
 
@@ -168,8 +191,8 @@ def candidates(streams: DataFrame, corpus: DataFrame, min_tokens: int = C.MIN_TO
     pairs = candidate_pairs(probes, corpus, min_tokens).select(F.col("file").alias("own_id"), F.col("other_file").alias("path"))
     others = corpus.select(F.col("file").alias("path"), F.col("hashes").alias("others"), F.col("start_lines").alias("other_starts"), F.col("end_lines").alias("other_ends"))
     met = streams.join(pairs, F.col("edit_id").cast("string") == F.col("own_id")).filter(F.col("path") != F.col("file")).join(others, "path")
-    both = met.select("edit_id", "hashes", "start_lines", "end_lines", "before", "path", "others", "other_starts", "other_ends").mapInArrow(cross, CANDIDATES)
-    alone = streams.select("edit_id", "hashes", "start_lines", "end_lines", "before", "file").mapInArrow(within, CANDIDATES)
+    both = met.select("edit_id", "hashes", "start_lines", "end_lines", "before", "path", "others", "other_starts", "other_ends", "new_before").mapInArrow(cross, CANDIDATES)
+    alone = streams.select("edit_id", "hashes", "start_lines", "end_lines", "before", "file", "new_before").mapInArrow(within, CANDIDATES)
     return both.unionByName(alone)
 
 

@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fingerprints
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df` written once in the checkpoint folder, for plans that read it several times."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="dupweave-checkpoint-"))
+    return df.checkpoint()
+
+
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token table of all documents, made once."""
+    return kept(fingerprints.token_table(document_files(spark, sf_dir)))
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, format, text): every document, as prose."""
     docs = table(spark, sf_dir, "documents")
@@ -28,13 +47,16 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn as an edit that appends the turn to the one before it, within its conversation's file."""
+    """Each turn as an edit that appends the turn and a document to the text before it, within its conversation's file."""
     from pyspark.sql import Window
 
     turns = table(spark, sf_dir, "conversations")
-    back = Window.partitionBy("conv_id").orderBy("turn")
-    before = F.lag("text").over(back)
-    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("edit_id"), F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("file"), F.lit("txt").alias("format"), before.alias("before"), F.lit(None).cast("string").alias("before_path"), F.concat_ws("\n", before, F.col("text")).alias("after"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") * 8).alias("pasted_at"), F.col("text").alias("pasted"))
+    at = F.col("conv_id") * 8 + F.col("turn")
+    after = F.concat_ws("\n", "text", "pasted")
+    rows = turns.join(docs, at == F.col("pasted_at"), "left").withColumn("own", after)
+    before = F.lag("own").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("edit_id"), F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("file"), F.lit("txt").alias("format"), before.alias("before"), F.lit(None).cast("string").alias("before_path"), F.concat_ws("\n", before, F.col("own")).alias("after"))
     return rows.withColumn("before_kind", F.when(F.col("before").isNull(), "absent").otherwise("content"))
 
 

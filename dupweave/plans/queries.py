@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..functions import constants as C
 from ..functions import globs, hashing, paths
 from ..operators import diff, fingerprints, ledger, maintenance, matches, runs
 from ..sources import config
-from . import corpus
+from . import corpus, warnings
 from .corpus import table
 from .sql import SQL
 
@@ -17,12 +20,35 @@ PROBE_TOKENS = 20
 SHORT_TOKENS = 10
 
 
+def _per_stream(tokens: DataFrame, schema: str, names: list[str], values) -> DataFrame:
+    """Rows of (file, values of its stream) from the token table; `values` gives a tuple for (hashes, start lines)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [values(h, s) for h, s in zip(fingerprints.list_arrays(batch.column(1)), fingerprints.list_arrays(batch.column(2)), strict=True)]
+            columns = list(zip(*found, strict=True)) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c)) if found else pa.array([], pa.int64()) for c in columns)], names=["file", *names])
+
+    return tokens.select("file", "hashes", "start_lines").mapInArrow(run, f"file string, {schema}")
+
+
+def first_places(values: np.ndarray) -> np.ndarray:
+    """For each value the place of the first equal one: what a stream of hashes says apart from the hash in use."""
+    _, first, which = np.unique(values, return_index=True, return_inverse=True)
+    return first[which] if len(values) else np.zeros(0, np.int64)
+
+
+def _digest(parts) -> str:
+    return hashlib.md5(" ".join(parts).encode()).hexdigest()
+
+
 def tokenize_docs(spark: SparkSession, d: str) -> DataFrame:
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    pattern = F.lit(r"[A-Za-z0-9_\x{80}-\x{10FFFF}]+|[!-/:-@\[-^`{-~]")
-    tokens = F.flatten(F.transform(lines, lambda line, i: F.transform(F.regexp_extract_all(line, pattern, F.lit(0)), lambda t: F.concat(t, F.lit("@"), (i + 1).cast("string")))))
-    rows = table(spark, d, "documents").select("doc_id", tokens.alias("tokens"))
-    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+    """The engine's token streams: number of tokens, and a digest of each one's line and the place of the first equal one."""
+    values = lambda h, s: (len(h), _digest(f"{line}:{first}" for line, first in zip(s.tolist(), first_places(h).tolist(), strict=True)))
+    tokens = fingerprints.token_table(corpus.document_files(spark, d))
+    return _per_stream(tokens, "n_tokens long, digest string", ["n_tokens", "digest"], values).select(F.col("file").cast("long").alias("doc_id"), "n_tokens", "digest")
 
 
 def token_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -75,30 +101,45 @@ def content_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kgram_hash(spark: SparkSession, d: str) -> DataFrame:
+    """The engine's hashes of 5 tokens over all documents: their number, and a digest of the places of first equal ones."""
     k, _ = fingerprints.gram_and_window(SHORT_TOKENS)
-    tokens = fingerprints.exploded_tokens(table(spark, d, "benchmark"), "item_id")
-    return tokens.select("item_id", "pos", fingerprints.gram_column("item_id", k).alias("gram")).filter("gram is not null")
+    values = lambda h, _: (len(g := fingerprints.gram_hashes(h, k)), _digest(map(str, first_places(g).tolist())))
+    return _per_stream(fingerprints.token_table(corpus.document_files(spark, d)), "n_grams long, digest string", ["n_grams", "digest"], values)
 
 
 def winnow_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return fingerprints.windowed_fingerprints(fingerprints.exploded_tokens(table(spark, d, "benchmark"), "item_id"), "item_id", SHORT_TOKENS)
+    """The engine's fingerprints of all documents hold one of each window; which one depends on the hash alone.
+
+    Per document: its windows, those without a fingerprint, and fingerprints that differ from the gram at their place.
+    """
+    k, w = fingerprints.gram_and_window(SHORT_TOKENS)
+
+    def values(h, _):
+        grams, (fps, places) = fingerprints.gram_hashes(h, k), fingerprints.winnow(h, k, w)
+        chosen = np.concatenate(([0], np.cumsum(np.bincount(places, minlength=len(grams))[: len(grams)])))
+        windows = max(0, len(grams) - w + 1)
+        bare = int((chosen[w:][:windows] == chosen[:windows]).sum()) if windows else 0
+        return windows, bare, int((grams[places] != fps).sum())
+
+    return _per_stream(fingerprints.token_table(corpus.document_files(spark, d)), "windows long, bare long, wrong long", ["windows", "bare", "wrong"], values)
 
 
 def posting_lists(spark: SparkSession, d: str) -> DataFrame:
-    found = winnow_fingerprints(spark, d).select("fp", F.col("item_id").alias("file"), "pos")
-    listed = fingerprints.posting_lists(found)
-    return listed.select("fp", F.size("postings").cast("long").alias("n"), F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["file"].cast("string"), p["pos"].cast("string"))), ",").alias("postings"))
+    """The index's postings over all documents, for runs of one token: number of places and the first of them for each fingerprint."""
+    found = fingerprints.fingerprint_table(fingerprints.token_table(corpus.document_files(spark, d)), 1)
+    listed = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("n_files"), F.min(F.struct("file", "pos")).alias("first"))
+    return listed.select(F.col("first.file").alias("first_file"), F.col("first.pos").cast("long").alias("first_pos"), "n", "n_files")
 
 
 def cross_runs(spark: SparkSession, d: str) -> DataFrame:
     """All maximal runs of at least 40 tokens between two documents."""
-    found = runs.cross_runs(fingerprints.token_table(corpus.document_files(spark, d)))
+    found = runs.cross_runs(corpus.document_tokens(spark, d))
     return found.select("file", "other_file", F.col("region").cast("long").alias("region"), F.col("other").cast("long").alias("other"), F.col("len").cast("long").alias("len"))
 
 
 def _probe_runs(spark: SparkSession, d: str) -> DataFrame:
-    probes, docs = (fingerprints.token_table(f(spark, d)) for f in (corpus.benchmark_files, corpus.document_files))
-    return runs.runs_against(probes, docs, PROBE_TOKENS)
+    probes = corpus.kept(fingerprints.token_table(corpus.benchmark_files(spark, d)))
+    return runs.runs_against(probes, corpus.document_tokens(spark, d), PROBE_TOKENS)
 
 
 def benchmark_contamination(spark: SparkSession, d: str) -> DataFrame:
@@ -183,8 +224,17 @@ def _item_edits(spark: SparkSession, d: str) -> DataFrame:
 
 def greedy_matches(spark: SparkSession, d: str) -> DataFrame:
     """New benchmark items as files: what they duplicate of the documents, after suppression, in order."""
-    docs = fingerprints.token_table(corpus.document_files(spark, d))
-    return matches.new_duplicates(_item_edits(spark, d), docs, PROBE_TOKENS, 1)
+    found = matches.new_duplicates(_item_edits(spark, d), corpus.document_tokens(spark, d), PROBE_TOKENS, 1)
+    return found.select("edit_id", "file", "other_file", *[F.col(c).cast("long").alias(c) for c in ("start_line", "end_line", "other_start", "other_end", "tokens", "place")])
+
+
+def session_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items written twice in eight sessions, one of which is cleared between: what each edit is told anew."""
+    once = _item_edits(spark, d).withColumn("session", F.col("edit_id") % 8).withColumn("seq", F.col("edit_id"))
+    twice = once.withColumn("edit_id", F.col("edit_id") + 1_000_000).withColumn("seq", F.col("seq") + 1_000_000)
+    clears = spark.range(1).select(F.lit(0).cast("long").alias("session"), F.lit(999_999).cast("long").alias("seq"))
+    told = warnings.new_matches(once.unionByName(twice), corpus.document_tokens(spark, d), clears, PROBE_TOKENS, 1)
+    return told.groupBy("session", "seq", "file", F.col("epoch").cast("long").alias("epoch")).agg(F.count(F.lit(1)).alias("n_told"))
 
 
 def insert_edit_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -193,12 +243,12 @@ def insert_edit_matches(spark: SparkSession, d: str) -> DataFrame:
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     half = F.array_join(F.slice(lines, F.lit(1), F.ceil(F.size(lines) / 2).cast("int")), "\n")
     edits = docs.select(F.col("doc_id").alias("edit_id"), F.col("doc_id").cast("string").alias("file"), F.lit("txt").alias("format"), half.alias("before"), F.lit("content").alias("before_kind"), F.lit(None).cast("string").alias("before_path"), F.col("text").alias("after"))
-    return matches.new_duplicates(edits, fingerprints.token_table(corpus.document_files(spark, d)), C.MIN_TOKENS, 1)
+    return matches.new_duplicates(edits, corpus.document_tokens(spark, d), C.MIN_TOKENS, 1)
 
 
 def conversation_edits(spark: SparkSession, d: str) -> DataFrame:
-    """Edits that append a turn to a conversation's file, against the documents."""
-    return matches.new_duplicates(corpus.conversation_edits(spark, d), fingerprints.token_table(corpus.document_files(spark, d)), SHORT_TOKENS, 1)
+    """Edits that append a turn and a document to a conversation's file, against the documents."""
+    return matches.new_duplicates(corpus.conversation_edits(spark, d), corpus.document_tokens(spark, d), PROBE_TOKENS, 1)
 
 
 def match_key(spark: SparkSession, d: str) -> DataFrame:
@@ -232,10 +282,10 @@ def edit_before_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def captured_before(spark: SparkSession, d: str) -> DataFrame:
+    """Views as calls, clicks as results: at most four calls of a user are open."""
     events = table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "event_type", F.get_json_object("props", "$.k").alias("call_id"), F.lit("f").alias("file"))
-    last = Window.partitionBy("session", "call_id").orderBy(F.col("seq").desc())
-    calls = events.filter("event_type = 'view'").withColumn("n", F.row_number().over(last)).filter("n = 1").select("session", "seq", "call_id", "file", F.col("seq").cast("string").alias("before"))
-    return maintenance.captured_befores(calls, events.filter("event_type = 'click'"), 16).select("session", "seq", "before", "before_kind")
+    calls = events.filter("event_type = 'view'").withColumn("before", F.col("seq").cast("string"))
+    return maintenance.captured_befores(calls, events.filter("event_type = 'click'"), 4).select("session", "seq", "before", "before_kind")
 
 
 def ledger_first_seen(spark: SparkSession, d: str) -> DataFrame:
@@ -262,8 +312,8 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_text(spark: SparkSession, d: str) -> DataFrame:
-    """The text of each report; places are token numbers here, as items have few lines."""
-    return _reports(spark, d).filter("omitted = 0").select("edit_id", "text")
+    """The text of each report and what goes to an artifact; places are token numbers here, as items have few lines."""
+    return _reports(spark, d).select("edit_id", "text", "artifact_id", "artifact")
 
 
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
@@ -311,7 +361,7 @@ def tool_paths(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     tokenize_docs, token_hash, line_spans, block_streams, size_filter, generated_filter, path_classify, test_path_flag, format_detect, content_dedupe, kgram_hash, winnow_fingerprints, posting_lists, cross_runs,
-    benchmark_contamination, self_runs, self_runs_all, trim_partial_lines, append_edit_new_tokens, myers_diff, greedy_matches, insert_edit_matches, conversation_edits, match_key, index_upsert_delete, rescan_actions, file_cap, edit_before_lookup, captured_before,
+    benchmark_contamination, self_runs, self_runs_all, trim_partial_lines, append_edit_new_tokens, myers_diff, greedy_matches, insert_edit_matches, conversation_edits, session_warnings, match_key, index_upsert_delete, rescan_actions, file_cap, edit_before_lookup, captured_before,
     ledger_first_seen, delivery_routing, report_top4, report_text, excerpts, config_merge, brace_expand, status_counts, edit_fan_out, tool_paths,
 )}
 

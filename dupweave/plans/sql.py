@@ -79,7 +79,8 @@ def _rules(patterns: list[str]) -> str:
 TESTS = "tests AS (SELECT *, regexp_replace(path, '^\\./', '') AS plain, substr(base, 1, length(base) - length(ext)) AS name FROM formats)"
 
 SQL = {
-    "tokenize_docs": f"WITH {tokens_sql('documents', 'doc_id')} SELECT d.doc_id, count(t.key)::BIGINT AS n_tokens, md5(coalesce(string_agg(t.token || '@' || t.line, ' ' ORDER BY t.pos), '')) AS digest FROM documents d LEFT JOIN tok t ON t.key = d.doc_id GROUP BY d.doc_id",
+    "tokenize_docs": f"""WITH {tokens_sql('documents', 'doc_id')}, marked AS (SELECT key, pos, line, min(pos) OVER (PARTITION BY key, token) AS first FROM tok)
+SELECT d.doc_id, count(t.key)::BIGINT AS n_tokens, md5(coalesce(string_agg(t.line || ':' || t.first, ' ' ORDER BY t.pos), '')) AS digest FROM documents d LEFT JOIN marked t ON t.key = d.doc_id GROUP BY d.doc_id""",
     "token_hash": f"""WITH {tokens_sql('benchmark', 'item_id')}, words AS (SELECT DISTINCT token FROM tok),
 fnv AS (SELECT token, list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split('word', ''), lambda c: unicode(c)::BIGINT), [255::BIGINT], list_transform(string_split(token, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM words),
 a AS (SELECT token, ((xor(h, h >> 16))::HUGEINT * 2246822507 % 4294967296)::BIGINT AS h FROM fnv),
@@ -100,10 +101,9 @@ SELECT path, CASE WHEN plain IN ('', '.') THEN false WHEN plain NOT LIKE '/%' AN
   WHEN plain NOT LIKE '/%' AND regexp_matches(plain, {_rules(["lib/**/deep.*"])}) THEN true ELSE {_default_test()} END AS is_test FROM tests""",
     "format_detect": f"WITH {_paths()}, {_format({'markdown': ['md'], 'json': ['json']})} SELECT path, format FROM formats",
     "content_dedupe": "SELECT concat_ws(':', lang, md5(text)) AS content_key, count(*)::BIGINT AS n_files, min(doc_id) AS first_id FROM documents GROUP BY 1",
-    "kgram_hash": f"WITH {tokens_sql('benchmark', 'item_id')}, {grams_sql('tok', 5, 'g')} SELECT key AS item_id, pos, gram FROM g",
-    "winnow_fingerprints": f"""WITH {tokens_sql('benchmark', 'item_id')}, {grams_sql('tok', 5, 'g')},
-w AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY pos) AS n, min({{'gram': gram, 'back': -pos}}) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS least FROM g)
-SELECT DISTINCT key AS item_id, least.gram AS fp, -least.back AS pos FROM w WHERE n >= 6""",
+    "kgram_hash": f"""WITH {tokens_sql(DOCS, 'file')}, {grams_sql('tok', 5, 'g')}, marked AS (SELECT key, pos, min(pos) OVER (PARTITION BY key, gram) AS first FROM g)
+SELECT CAST(d.doc_id AS VARCHAR) AS file, count(t.key)::BIGINT AS n_grams, md5(coalesce(string_agg(CAST(t.first AS VARCHAR), ' ' ORDER BY t.pos), '')) AS digest FROM documents d LEFT JOIN marked t ON t.key = CAST(d.doc_id AS VARCHAR) GROUP BY d.doc_id""",
+    "winnow_fingerprints": f"""WITH {tokens_sql(DOCS, 'file')} SELECT CAST(d.doc_id AS VARCHAR) AS file, greatest(0, count(t.key) - 9)::BIGINT AS windows, 0::BIGINT AS bare, 0::BIGINT AS wrong FROM documents d LEFT JOIN tok t ON t.key = CAST(d.doc_id AS VARCHAR) GROUP BY d.doc_id""",
     "cross_runs": f"WITH {tokens_sql(DOCS, 'file')}, {grams_sql('tok', 40, 'g')}, {runs_sql('g', 'g', 'x.key < y.key', 40)} SELECT a AS file, b AS other_file, region, other, len FROM runs",
     "benchmark_contamination": f"{PROBES} SELECT a AS file, b AS other_file, region, other, len FROM runs",
     "self_runs_all": f"""WITH {tokens_sql("(SELECT 'page' || page_id AS file, html AS text FROM pages)", 'file')}, {grams_sql('tok', 10, 'g')}, {runs_sql('g', 'g', 'x.key = y.key AND x.pos < y.pos', 10)},
@@ -123,10 +123,19 @@ FROM runs JOIN it t ON t.key = a AND t.pos >= region AND t.pos < region + len GR
     "file_cap": """WITH known AS (SELECT count(*) AS n FROM documents WHERE lang = 'fr'), fresh AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE lang <> 'fr')
 SELECT d.doc_id AS file, d.lang = 'fr' OR f.place <= greatest(0, 500 - (SELECT n FROM known)) AS indexed FROM documents d LEFT JOIN fresh f USING (doc_id)""",
     "edit_before_lookup": "SELECT conv_id AS session, turn AS seq, md5(lag(text) OVER w) AS before, CASE WHEN row_number() OVER w = 1 THEN 'absent' ELSE 'content' END AS before_kind FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
-    "captured_before": """WITH e AS (SELECT user_id AS session, event_id AS seq, event_type, json_extract_string(props, '$.k') AS call_id FROM events),
-calls AS (SELECT session, call_id, max(seq) AS seq FROM e WHERE event_type = 'view' GROUP BY 1, 2),
-held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS age FROM calls) WHERE age <= 16)
-SELECT r.session, r.seq, CAST(h.seq AS VARCHAR) AS before, CASE WHEN h.seq IS NULL THEN 'unknown' ELSE 'content' END AS before_kind FROM e r LEFT JOIN held h USING (session, call_id) WHERE r.event_type = 'click'""",
+    "captured_before": """WITH RECURSIVE e AS (
+  SELECT user_id AS session, event_id AS seq, event_type = 'click' AS ends, coalesce(json_extract_string(props, '$.k'), '') AS call_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
+  FROM events WHERE event_type IN ('view', 'click')),
+walk AS (
+  SELECT session, 0::BIGINT AS n, []::STRUCT(id VARCHAR, seq BIGINT)[] AS held, NULL::BIGINT AS seq, false AS ends, NULL::BIGINT AS got FROM (SELECT DISTINCT session FROM e)
+  UNION ALL SELECT e.session, e.n,
+    CASE WHEN e.ends THEN list_filter(w.held, lambda x: x.id <> e.call_id)
+      WHEN len(list_filter(CASE WHEN len(w.held) >= 4 THEN w.held[2:] ELSE w.held END, lambda x: x.id = e.call_id)) > 0
+      THEN list_transform(CASE WHEN len(w.held) >= 4 THEN w.held[2:] ELSE w.held END, lambda x: CASE WHEN x.id = e.call_id THEN {'id': x.id, 'seq': e.seq} ELSE x END)
+      ELSE list_append(CASE WHEN len(w.held) >= 4 THEN w.held[2:] ELSE w.held END, {'id': e.call_id, 'seq': e.seq}) END,
+    e.seq, e.ends, list_filter(w.held, lambda x: x.id = e.call_id)[1].seq
+  FROM walk w JOIN e ON e.session = w.session AND e.n = w.n + 1)
+SELECT session, seq, CAST(got AS VARCHAR) AS before, CASE WHEN got IS NULL THEN 'unknown' ELSE 'content' END AS before_kind FROM walk WHERE ends""",
     "ledger_first_seen": """WITH e AS (SELECT user_id AS session, event_id AS seq, event_type, event_type || ':' || json_extract_string(props, '$.k') AS key, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY session, epoch, key ORDER BY seq) AS n FROM e WHERE event_type <> 'signup') SELECT session, seq, key, epoch::BIGINT AS epoch FROM r WHERE n = 1""",
     "delivery_routing": f"SELECT event_id, CASE WHEN event_type = 'error' THEN 'dropped' WHEN value * 20 <= 1500 AND event_type = 'click' THEN 'in-band' WHEN event_type = 'view' THEN 'next-turn' ELSE 'aside' END AS delivery, event_type NOT IN {any_of(C.READ_ONLY_EVENTS)} AS rescan FROM events",
@@ -140,7 +149,38 @@ SELECT doc_id, array_to_string(CASE WHEN n > 9 THEN list_append(cut, '… (' ||
 UNION ALL SELECT event_id, 2, 'b' || user_id, 'c' || user_id FROM events UNION ALL SELECT event_id, 3, 'c' || user_id, NULL FROM events""",
     "tool_paths": "SELECT url AS path, NULL::VARCHAR AS resolved FROM pages UNION ALL SELECT * FROM (VALUES ('~/a.ts', '/home/user/a.ts'), (' ', NULL), ('src/x.ts', 'src/x.ts'), ('~b', '~b')) v(path, resolved)",
 }
-SQL["posting_lists"] = f"WITH f AS ({SQL['winnow_fingerprints']}) SELECT fp, count(*)::BIGINT AS n, string_agg(item_id || ':' || pos, ',' ORDER BY item_id, pos) AS postings FROM f GROUP BY fp"
-SQL["report_text"] = f"""{PROBES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY len DESC, b, region, other) AS place, count(*) OVER (PARTITION BY a) AS n FROM runs)
-SELECT a AS edit_id, 'Your last change to ' || a || ' duplicates existing code:' || chr(10) || string_agg('- ' || a || ':' || (region + 1) || '-' || (region + len) || ' duplicates ' || b || ':' || (other + 1) || '-' || (other + len) || ' (' || len || ' lines)', chr(10) ORDER BY place) || chr(10) || 'Call or import the existing code, or move what both share into one helper. Leave it if the copy is meant.' AS text
-FROM ranked WHERE n <= 4 GROUP BY a"""
+SQL["posting_lists"] = f"""WITH {tokens_sql(DOCS, 'file')}, least AS (SELECT token, count(*)::BIGINT AS n, count(DISTINCT key)::BIGINT AS n_files, min({{'file': key, 'pos': pos}}) AS first FROM tok GROUP BY token)
+SELECT first.file AS first_file, first.pos AS first_pos, n, n_files FROM least"""
+
+ADVICE = "Call or import the existing code, or move what both share into one helper. Leave it if the copy is meant."
+SQL["report_text"] = f"""{PROBES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY len DESC, b, region, other) AS place, count(*) OVER (PARTITION BY a) AS n FROM runs),
+lines AS (SELECT a, place, n, '- ' || a || ', lines ' || (region + 1) || ' to ' || (region + len) || ': as in ' || b || ', lines ' || (other + 1) || ' to ' || (other + len) || ' (' || len || ' lines)' AS line FROM ranked),
+parts AS (SELECT a, n, 'What was just written to ' || a || ' is there already:' AS head, string_agg(line, chr(10) ORDER BY place) AS body, string_agg(line, chr(10) ORDER BY place) FILTER (place <= 4) AS top FROM lines GROUP BY a, n),
+whole AS (SELECT *, CASE WHEN n > 4 THEN concat_ws(chr(10), head, body, {quoted(ADVICE)}) END AS artifact FROM parts),
+named AS (SELECT *, substr(sha256(artifact), 1, 16) AS artifact_id FROM whole)
+SELECT a AS edit_id, concat_ws(chr(10), head, top, CASE WHEN n > 4 THEN '(' || (n - 4) || ' more not shown; all of them: artifact://' || artifact_id || ')' END, {quoted(ADVICE)}) AS text, artifact_id, artifact FROM named"""
+
+# New files: all runs to other files and within the file, trimmed to whole lines, kept in order unless a kept one overlaps by over half.
+GREEDY = f"""{PROBES.replace("WITH ", "WITH RECURSIVE ", 1)}, {runs_sql('ig', 'ig', 'x.key = y.key AND x.pos < y.pos', 20, 'self')},
+found AS (SELECT a, b, false AS own, region, other, len FROM runs UNION ALL SELECT a, a, true, other, region, least(len, other - region) FROM self WHERE least(len, other - region) >= 20),
+edges AS (SELECT key, line, min(pos) AS low, max(pos) AS high FROM it GROUP BY key, line),
+spot AS (SELECT it.key, it.pos, it.line, e.low, e.high FROM it JOIN edges e ON e.key = it.key AND e.line = it.line),
+lead AS (SELECT o.*, CASE WHEN s.low < region AND least(s.high, region + len - 1) - region + 1 <= region - s.low THEN least(s.high, region + len - 1) + 1 ELSE region END AS start, region + len AS stop FROM found o JOIN spot s ON s.key = o.a AND s.pos = region),
+tail AS (SELECT l.*, CASE WHEN start < stop AND s.high >= stop AND stop - greatest(s.low, start) <= s.high - stop + 1 THEN greatest(s.low, start) ELSE stop END AS ending FROM lead l JOIN spot s ON s.key = l.a AND s.pos = stop - 1),
+cut AS (SELECT a, b, own, start, other + start - region AS there, ending - start AS n FROM tail WHERE ending - start >= 20),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, own, b, start, there) AS rn FROM cut),
+walk AS (
+  SELECT a, 0::BIGINT AS rn, []::STRUCT(r BIGINT, n BIGINT, rn BIGINT)[] AS kept FROM (SELECT DISTINCT a FROM ranked)
+  UNION ALL SELECT w.a, c.rn, CASE WHEN len(list_filter(w.kept, lambda k: (least(k.r + k.n, c.start + c.n) - greatest(k.r, c.start)) * 2 > c.n)) > 0 THEN w.kept ELSE list_append(w.kept, {{'r': c.start, 'n': c.n, 'rn': c.rn}}) END
+  FROM walk w JOIN ranked c ON c.a = w.a AND c.rn = w.rn + 1),
+chosen AS (SELECT a, unnest(kept).rn AS rn FROM (SELECT a, arg_max(kept, rn) AS kept FROM walk GROUP BY a)),
+lined AS (SELECT key, pos, line FROM it UNION ALL SELECT key, pos, line FROM dt),
+told AS (SELECT c.a, c.b, c.n, c.start, s1.line AS start_line, s2.line AS end_line, o1.line AS other_start, o2.line AS other_end FROM ranked c JOIN chosen USING (a, rn)
+  JOIN it s1 ON s1.key = c.a AND s1.pos = c.start JOIN it s2 ON s2.key = c.a AND s2.pos = c.start + c.n - 1
+  JOIN lined o1 ON o1.key = c.b AND o1.pos = c.there JOIN lined o2 ON o2.key = c.b AND o2.pos = c.there + c.n - 1)"""
+SQL["greedy_matches"] = f"""{GREEDY}
+SELECT CAST(substr(a, 5) AS BIGINT) AS edit_id, a AS file, b AS other_file, start_line, end_line, other_start, other_end, n AS tokens, row_number() OVER (PARTITION BY a ORDER BY start_line, b, other_start, start) AS place FROM told"""
+# A key is the file, the other one and the tokens, so that equal ones of one edit count once.
+SQL["session_warnings"] = f"""{GREEDY}, keyed AS (SELECT DISTINCT t.a, t.b, (SELECT string_agg(it.token, ' ' ORDER BY it.pos) FROM it WHERE it.key = t.a AND it.pos >= t.start AND it.pos < t.start + t.n) AS body FROM told t),
+counted AS (SELECT CAST(substr(a, 5) AS BIGINT) AS item, a AS file, count(*)::BIGINT AS n_told FROM keyed GROUP BY a)
+SELECT item % 8 AS session, item AS seq, file, 0::BIGINT AS epoch, n_told FROM counted UNION ALL SELECT 0, item + 1000000, file, 1, n_told FROM counted WHERE item % 8 = 0"""

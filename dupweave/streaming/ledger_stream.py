@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -34,6 +35,30 @@ def first_seen_stream(warnings: DataFrame) -> DataFrame:
     return warnings.groupBy("session").applyInPandasWithState(step, f"session {session}, seq long, key string, epoch long", "epoch long, seen array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+def warning_stream(edits: DataFrame, index: DuplicateIndex, files: DataFrame, sink: str, checkpoint: str, told: str) -> StreamingQuery:
+    """A stream of edits to what their sessions are told, as Parquet in `sink`, one folder for each batch.
+
+    `told` is a folder of the keys that sessions were told, one part for each batch; a batch that runs again reads the parts
+    of earlier batches only, and overwrites its own.
+    """
+    from ..plans import warnings
+
+    def run(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        spark = batch.sparkSession
+        session = batch.schema["session"].dataType.simpleString()
+        schema = f"session {session}, key string, batch int"
+        known = spark.read.schema(schema).parquet(told).filter(F.col("batch") < number) if number else spark.createDataFrame([], schema)
+        found = warnings.new_matches(held, index.tokens, None, index.options.min_tokens, index.options.min_lines)
+        new = found.join(known.select("session", "key").distinct(), ["session", "key"], "left_anti").persist()
+        new.select("session", "key").write.mode("overwrite").parquet(f"{told}/batch={number}")
+        warnings.reported(new, held, files, index.options.reminder_mode).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        new.unpersist()
+        held.unpersist()
+
+    return edits.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def check_stream(edits: DataFrame, index: DuplicateIndex, sink: str, checkpoint: str) -> StreamingQuery:
     """Check a stream of edits (plans.index.EDIT) in order; matches go to `sink` as Parquet, one folder for each batch.
 

@@ -14,7 +14,7 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
-    assert plans.queries()[name](spark, SF).columns
+    assert plans.queries()[name](spark, SF).count() > 0
 
 
 def test_entry_gives_rows(spark):

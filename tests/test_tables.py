@@ -62,6 +62,19 @@ def test_check_stream_equals_batches(spark, tmp_path):
     assert [(r.edit_id, r.other_file) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(2, "x")]
 
 
+def test_warning_stream_tells_once(spark, tmp_path):
+    from dupweave.streaming.ledger_stream import warning_stream
+
+    source, corpus = str(tmp_path / "edits"), files(spark, {"a": text(0, 120)})
+    index = DuplicateIndex(spark, Options(), str(tmp_path / "index"))
+    index.put(corpus)
+    run = lambda: warning_stream(spark.readStream.schema(EDIT).parquet(source), index, corpus, str(tmp_path / "out"), str(tmp_path / "cp"), str(tmp_path / "told")).awaitTermination()
+    for k in (1, 2):
+        spark.createDataFrame([edit(k, "n", None, text(0, 60), "absent", seq=k), edit(k + 10, "n", None, text(0, 60), "absent", f"s{k}", seq=1)], EDIT).coalesce(1).write.mode("append").parquet(source)
+        run()
+    assert sorted(r.edit_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 11, 12]
+
+
 LEDGER = [("s", 1, False, "k"), ("s", 2, False, "k"), ("t", 3, False, "k"), ("s", 4, True, "x"), ("s", 5, False, "k"), ("s", 6, False, "l"), ("s", 7, False, "l")]
 
 
@@ -81,9 +94,9 @@ def test_report_limits(spark):
     m = lambda i, excerpt=None: (1, "f", 1, 9, f"o{i}", 2, 10, 50, f"k{i}", i, excerpt)
     schema = "edit_id long, file string, start_line int, end_line int, other_file string, other_start int, other_end int, tokens int, key string, place int, excerpt string"
     few = ledger.reports(spark.createDataFrame([m(1, "x ``` y"), m(2)], schema)).first()
-    assert few.omitted == 0 and few.artifact is None and "~~~~\nx ``` y\n~~~~" in few.text and "f:1-9 duplicates o1:2-10 (9 lines)" in few.text
+    assert few.omitted == 0 and few.artifact is None and "~~~~\nx ``` y\n~~~~" in few.text and "f, lines 1 to 9: as in o1, lines 2 to 10 (9 lines)" in few.text
     many = ledger.reports(spark.createDataFrame([m(i) for i in range(6)], schema)).first()
-    assert many.omitted == 2 and [x.other_file for x in many.shown] == ["o0", "o1", "o2", "o3"] and "o5" in many.artifact and "2 more duplicate(s) omitted" in many.text
+    assert many.omitted == 2 and [x.other_file for x in many.shown] == ["o0", "o1", "o2", "o3"] and "o5" in many.artifact and "(2 more not shown" in many.text
     long = ledger.reports(spark.createDataFrame([m(1, "z" * 9000)], schema)).first()
     assert "z" * 9000 in long.artifact and len(long.text) < 8192 and long.omitted == 0
 
@@ -203,6 +216,38 @@ def test_workspace_follows_the_work_tree(spark, work_tree, tmp_path):
     assert w.state == "unavailable"
 
 
+def test_captured_pre_images_are_those_of_open_calls(spark):
+    """A hundred calls, each answered at once, keep their pre-images; of calls left open the oldest go."""
+    calls = [("s", 2 * i, f"c{i}", "f", f"b{i}") for i in range(100)] + [("t", i, f"c{i}", "f", None if i == 20 else f"b{i}") for i in range(70)] + [("u", 5, "c", "f", "late"), ("v", 1, "c", "f", "x")]
+    results = [("s", 2 * i + 1, f"c{i}", "f") for i in range(100)] + [("t", 100 + i, f"c{i}", "f") for i in range(70)] + [("u", 4, "c", "f"), ("u", 6, "c", "f"), ("u", 7, "c", "f"), ("v", 2, "c", "g")]
+    c = spark.createDataFrame(calls, "session string, seq long, call_id string, file string, before string")
+    r = spark.createDataFrame(results, "session string, seq long, call_id string, file string")
+    got = {(x.session, x.seq): (x.before, x.before_kind) for x in maintenance.captured_befores(c, r, 64).collect()}
+    assert all(got["s", 2 * i + 1] == (f"b{i}", "content") for i in range(100))
+    assert [got["t", 100 + i][1] for i in range(70)] == ["unknown"] * 6 + ["content"] * 14 + ["absent"] + ["content"] * 49
+    assert [got["u", k] for k in (4, 6, 7)] == [(None, "unknown"), ("late", "content"), (None, "unknown")] and got["v", 2] == (None, "unknown")
+
+
+def test_requests_of_tool_results(spark):
+    schema = "session string, seq long, tool string, is_error boolean, resolved_path string, edits array<struct<path:string,source_path:string,is_error:boolean>>, before string, before_kind string, captured_path string"
+    rows = [("s", 1, "write", False, "/a", None, "x", "content", "/a"), ("s", 2, "write", False, "/a", None, "x", "content", "/b"), ("s", 3, "write", True, "/a", None, None, None, None), ("s", 4, "edit", False, None, [("/c", "/d", False), ("/e", None, True)], None, None, None), ("s", 5, "bash", False, "/a", None, None, None, None), ("s", 6, "write", False, "", None, None, None, None)]
+    got = {(r.seq, r.at): (r.file, r.before, r.before_kind, r.before_path) for r in maintenance.mutation_requests(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, 0): ("/a", "x", "content", None), (2, 0): ("/a", None, "unknown", None), (4, 0): ("/c", None, "unknown", "/d"), (4, 1): ("/d", None, "unknown", None)}
+
+
+def test_a_session_is_warned_once(spark, tmp_path):
+    """Check, ledger and report together: a copy is told once, again after a clearing, and in another session."""
+    from dupweave.plans import warnings
+
+    corpus = files(spark, {"a": text(0, 120), "b": text(200, 80)})
+    tokens = fingerprints.token_table(corpus)
+    e = [edit(1, "n", None, text(0, 60), "absent", "s", 1), edit(2, "n", None, text(0, 60), "absent", "s", 2), edit(3, "n", text(0, 60), text(0, 60) + "\n" + text(200, 60), "content", "s", 3), edit(4, "n", None, text(0, 60), "absent", "s", 5), edit(5, "n", None, text(0, 60), "absent", "t", 1)]
+    clears = spark.createDataFrame([("s", 4)], "session string, seq long")
+    got = {r.edit_id: r for r in warnings.session_warnings(spark.createDataFrame(e, EDIT), tokens, corpus, clears, 40, 5).collect()}
+    assert sorted(got) == [1, 3, 4, 5] and "as in a, lines 1 to 10" in got[1].text and "w0 w1 w2" in got[1].text and "as in b" in got[3].text and "as in a" not in got[3].text
+    assert all(r.delivery == "in-band" for r in got.values())
+
+
 def test_progress_is_throttled():
     from types import SimpleNamespace as Event
 
