@@ -6,12 +6,10 @@ a lost executor costs no earlier stage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from dupweave.llm import decontaminate, mixing, ngram_join, quality, sharding
-from dupweave.llm.common import ensure_checkpoint_dir, table
+from dupweave.llm.common import remove_folder, shared_folder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    ensure_checkpoint_dir(spark)
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    """All stages over documents. Of the stages' rows only what the next stage reads is kept; the last one's input stays."""
+    folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            path = f"{folder}/pipeline-{uuid.uuid4().hex}/{number}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs.write.parquet(f"{folder}/{number}")
+            docs = spark.read.parquet(f"{folder}/{number}")
+            remove_folder(spark, f"{folder}/{number - 1}")
     return docs
