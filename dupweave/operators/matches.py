@@ -188,7 +188,7 @@ def candidates(streams: DataFrame, corpus: DataFrame, min_tokens: int = C.MIN_TO
             yield _batch(rows)
 
     probes = streams.select(F.col("edit_id").cast("string").alias("file"), "hashes")
-    pairs = candidate_pairs(probes, corpus, min_tokens).select(F.col("file").alias("own_id"), F.col("other_file").alias("path"))
+    pairs = candidate_pairs(probes, corpus, min_tokens, named_alike=False).select(F.col("file").alias("own_id"), F.col("other_file").alias("path"))
     others = corpus.select(F.col("file").alias("path"), F.col("hashes").alias("others"), F.col("start_lines").alias("other_starts"), F.col("end_lines").alias("other_ends"))
     met = streams.join(pairs, F.col("edit_id").cast("string") == F.col("own_id")).filter(F.col("path") != F.col("file")).join(others, "path")
     both = met.select("edit_id", "hashes", "start_lines", "end_lines", "before", "path", "others", "other_starts", "other_ends", "new_before").mapInArrow(cross, CANDIDATES)

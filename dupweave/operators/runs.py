@@ -66,13 +66,17 @@ def self_runs_of(tokens: np.ndarray, least: int, most: int = C.MAX_SELF_OCCURREN
     return sorted(out)
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, min_tokens: int, both_ways: bool = True) -> DataFrame:
-    """Distinct (file, other_file) that share a fingerprint. Fingerprints are made distinct by file before they meet."""
+def candidate_pairs(left: DataFrame, right: DataFrame, min_tokens: int, both_ways: bool = True, named_alike: bool = True) -> DataFrame:
+    """Distinct (file, other_file) that share a fingerprint. Fingerprints are made distinct by file before they meet.
+
+    `named_alike`: equal names on both sides are one file, which doesn't meet itself.
+    """
     own = fingerprint_table(left, min_tokens).select("fp", "file").distinct()
     other = own if right is left else fingerprint_table(right, min_tokens).select("fp", "file").distinct()
     other = other.select(F.col("fp").alias("other_fp"), F.col("file").alias("other_file"))
     different = F.col("file") != F.col("other_file") if both_ways else F.col("file") < F.col("other_file")
-    return own.join(other, (F.col("fp") == F.col("other_fp")) & different).select("file", "other_file").distinct()
+    met = F.col("fp") == F.col("other_fp")
+    return own.join(other, met & different if named_alike else met).select("file", "other_file").distinct()
 
 
 def runs_of_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, min_tokens: int) -> DataFrame:
@@ -91,9 +95,32 @@ def runs_of_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, min_token
     return joined.mapInArrow(run, "file string, other_file string, region int, other int, len int")
 
 
+def content_groups(tokens: DataFrame) -> DataFrame:
+    """(file, rep): for each file the least one with the same tokens."""
+    same = [F.xxhash64(F.lit(k), "hashes").alias(f"h{k}") for k in (1, 2)]
+    keyed = tokens.select("file", F.size("hashes").alias("n"), *same)
+    least = keyed.groupBy("n", "h1", "h2").agg(F.min("file").alias("rep"))
+    return keyed.join(least, ["n", "h1", "h2"]).select("file", "rep")
+
+
 def cross_runs(tokens: DataFrame, min_tokens: int = C.MIN_TOKENS) -> DataFrame:
-    """All maximal runs between two files of one table, each pair of files once (file < other_file)."""
-    return runs_of_pairs(candidate_pairs(tokens, tokens, min_tokens, both_ways=False), tokens, tokens, min_tokens)
+    """All maximal runs between two files of one table, each pair of files once (file < other_file).
+
+    Equal files are compared once: runs are found between the least files of each content, and within it where it has several,
+    then handed to all pairs of files, which is as many rows as the result has.
+    """
+    tokens = tokens.filter(F.size("hashes") >= min_tokens)
+    groups = content_groups(tokens)
+    firsts = tokens.join(groups.filter(F.col("file") == F.col("rep")).select("file"), "file", "left_semi")
+    several = groups.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("rep").alias("file"), F.col("rep").alias("other_file"))
+    pairs = candidate_pairs(firsts, firsts, min_tokens, both_ways=False).unionByName(several)
+    found = runs_of_pairs(pairs, firsts, firsts, min_tokens)
+    left, right = (groups.select(F.col("rep").alias(f"{side}rep"), F.col("file").alias(f"{side}file")) for side in ("a", "b"))
+    each = found.join(left, F.col("file") == F.col("arep")).join(right, F.col("other_file") == F.col("brep"))
+    each = each.filter((F.col("file") != F.col("other_file")) | (F.col("afile") < F.col("bfile")))
+    turned = F.col("afile") > F.col("bfile")
+    either = lambda x, y: F.when(turned, y).otherwise(x)
+    return each.select(either(F.col("afile"), F.col("bfile")).alias("file"), either(F.col("bfile"), F.col("afile")).alias("other_file"), either(F.col("region"), F.col("other")).alias("region"), either(F.col("other"), F.col("region")).alias("other"), "len")
 
 
 def runs_against(probes: DataFrame, corpus: DataFrame, min_tokens: int = C.MIN_TOKENS) -> DataFrame:
