@@ -25,6 +25,13 @@ FORMAT_EXTENSIONS = {
     "perl": "pl pm", "php": "php phtml", "powershell": "ps1 psm1", "properties": "properties", "protobuf": "proto", "python": "py pyw pyi", "r": "r R", "ruby": "rb rake",
     "rust": "rs", "sass": "sass", "scala": "scala sc", "scss": "scss", "sql": "sql", "svelte": "svelte", "swift": "swift", "toml": "toml", "tsx": "tsx", "txt": "txt",
     "typescript": "ts mts cts", "vbnet": "vb", "vue": "vue", "astro": "astro", "yaml": "yaml yml", "zig": "zig",
+    "abap": "abap", "actionscript": "as", "ada": "ada adb ads", "apl": "apl", "applescript": "applescript", "asciidoc": "adoc asciidoc", "asm6502": "asm s", "aspnet": "aspx asax", "autohotkey": "ahk",
+    "basic": "bas", "batch": "bat cmd", "bicep": "bicep", "bison": "y yy", "brainfuck": "bf", "cmake": "cmake", "cobol": "cob cbl", "coffeescript": "coffee", "crystal": "cr", "d": "d", "django": "jinja jinja2 j2",
+    "dot": "dot gv", "ejs": "ejs", "erb": "erb", "fortran": "f f77 f90 f95", "gherkin": "feature", "glsl": "glsl vert frag", "haml": "haml", "handlebars": "hbs handlebars", "haxe": "hx", "hcl": "tf hcl",
+    "http": "http", "icon": "icn", "idris": "idr", "io": "io", "lisp": "lisp cl el", "liquid": "liquid", "livescript": "ls", "matlab": "matlab", "mermaid": "mmd", "nim": "nim nims", "nix": "nix", "nsis": "nsi nsh",
+    "ocaml": "ml mli", "pascal": "pas pp dpr", "prolog": "pro prolog", "pug": "pug jade", "puppet": "epp", "purescript": "purs", "qml": "qml", "racket": "rkt", "reason": "re rei", "rest": "rst",
+    "sas": "sas", "scheme": "scm ss", "smalltalk": "st", "smarty": "tpl", "solidity": "sol", "sparql": "rq", "stylus": "styl", "systemd": "service", "tcl": "tcl", "textile": "textile", "turtle": "ttl", "twig": "twig",
+    "v": "vsh", "vala": "vala", "velocity": "vm", "verilog": "v sv svh", "vhdl": "vhd vhdl", "vim": "vim", "wasm": "wat wast", "wiki": "wiki", "xquery": "xq xquery", 
 }
 
 # Directories that are never looked into.

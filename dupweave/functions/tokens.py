@@ -102,8 +102,18 @@ def prose_streams(texts: pa.Array) -> Iterator[Stream]:
 
 # What lexers skip and read, by family.
 _C_COMMENT, _HASH_COMMENT, _DASH_COMMENT, _XML_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)", r"#[^\n]*", r"--[^\n]*|/\*.*?(?:\*/|\Z)", r"<!--.*?(?:-->|\Z)"
+_SEMICOLON_COMMENT, _PERCENT_COMMENT, _BANG_COMMENT, _QUOTE_COMMENT, _PAREN_COMMENT = r";[^\n]*", r"%[^\n]*", r"![^\n]*", r"'[^\n]*", r"\(\*.*?(?:\*\)|\Z)"
 _TEXT = r'"""(?:.*?)"""|\'\'\'(?:.*?)\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`'
-_COMMENTS = {_HASH_COMMENT: "bash elixir julia makefile perl powershell python r ruby yaml toml graphql", _DASH_COMMENT: "sql lua haskell elm", _XML_COMMENT: "markup vue svelte astro markdown"}
+_COMMENTS = {
+    _HASH_COMMENT: "bash elixir julia makefile perl powershell python r ruby yaml toml graphql cmake coffeescript crystal gherkin hcl nim nix puppet tcl systemd turtle sparql",
+    _DASH_COMMENT: "sql lua haskell elm ada vhdl idris purescript applescript",
+    _XML_COMMENT: "markup vue svelte astro markdown aspnet",
+    _SEMICOLON_COMMENT: "clojure lisp scheme racket asm6502 autohotkey wasm",
+    _PERCENT_COMMENT: "erlang latex matlab prolog",
+    _BANG_COMMENT: "fortran",
+    _QUOTE_COMMENT: "vbnet basic",
+    _PAREN_COMMENT: "ocaml pascal",
+}
 _FAMILY = {f: comment for comment, names in _COMMENTS.items() for f in names.split()}
 _LEXERS: dict[str, re.Pattern] = {}
 _SEGMENT = re.compile(r"<(script|style)\b[^>]*>(.*?)</\1\s*>|^```([^\n]*)\n(.*?)^```", re.S | re.M | re.I)

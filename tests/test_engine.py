@@ -97,6 +97,11 @@ def test_comments_and_layout_do_not_count():
     assert code_stream("1", "c").hashes[0] != code_stream("'1'", "c").hashes[0]
 
 
+@pytest.mark.parametrize(("format_", "mark"), [("python", "#"), ("sql", "--"), ("clojure", ";"), ("erlang", "%"), ("fortran", "!"), ("vbnet", "'"), ("zig", "//")])
+def test_line_comments_by_family(format_, mark):
+    assert code_stream(f"a b {mark} note, and more\nc", format_).hashes.tolist() == code_stream("a b\nc", format_).hashes.tolist()
+
+
 def test_block_formats_have_separators():
     s = code_stream("<p>a</p>\n<script>\nlet x\n</script><style>p{}</style>", "vue")
     assert (s.hashes == C.SEPARATOR).sum() == 2 and s.hashes[0] and s.hashes[-1] and (np.diff(s.start_lines[s.hashes != 0][-8:]) >= 0).any()
