@@ -19,12 +19,24 @@ def tokens(text):
     return [t for t, _ in found], [i for _, i in found]
 
 
+GRAMS = {}
+
+
+def grams(b, least):
+    """Places by run of `least` tokens; kept, with the list that it is of."""
+    if (id(b), least) not in GRAMS:
+        at = defaultdict(list)
+        for j in range(len(b) - least + 1):
+            at[tuple(b[j : j + least])].append(j)
+        GRAMS[id(b), least] = b, at
+    return GRAMS[id(b), least][1]
+
+
 def shared(a, b, least):
     """Maximal runs (i, j, n) by extending from equal grams."""
-    at = defaultdict(list)
-    for j in range(len(b) - least + 1):
-        at[tuple(b[j : j + least])].append(j)
-    out = []
+    at, out = grams(b, least), []
+    if grams(a, least).keys().isdisjoint(at):
+        return out
     for i in range(len(a) - least + 1):
         for j in at.get(tuple(a[i : i + least]), ()):
             if i and j and a[i - 1] == b[j - 1]:
