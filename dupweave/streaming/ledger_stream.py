@@ -21,15 +21,13 @@ def first_seen_stream(warnings: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         epoch, seen = state.get if state.exists else (0, [])
-        known, out = set(seen), []
-        for row in pd.concat(frames).sort_values("seq", kind="stable").itertuples(index=False):
-            if row.is_clear:
-                epoch, known = epoch + 1, set()
-            elif row.key not in known:
-                known.add(row.key)
-                out.append((key[0], row.seq, row.key, epoch))
-        state.update((epoch, sorted(known)))
-        yield pd.DataFrame(out, columns=["session", "seq", "key", "epoch"])
+        rows = pd.concat(frames).sort_values("seq", kind="stable")
+        rows["epoch"] = epoch + rows["is_clear"].astype("int64").cumsum()
+        told = rows[~rows["is_clear"].astype(bool)].drop_duplicates(["epoch", "key"])
+        new = told[~((told["epoch"] == epoch) & told["key"].isin(seen))]
+        last = int(rows["epoch"].iloc[-1]) if len(rows) else epoch
+        state.update((last, sorted({*new.loc[new["epoch"] == last, "key"], *(seen if last == epoch else [])})))
+        yield new[["session", "seq", "key", "epoch"]]
 
     session = warnings.schema["session"].dataType.simpleString()
     return warnings.groupBy("session").applyInPandasWithState(step, f"session {session}, seq long, key string, epoch long", "epoch long, seen array<string>", "append", GroupStateTimeout.NoTimeout)

@@ -235,6 +235,34 @@ def test_requests_of_tool_results(spark):
     assert got == {(1, 0): ("/a", "x", "content", None), (2, 0): ("/a", None, "unknown", None), (4, 0): ("/c", None, "unknown", "/d"), (4, 1): ("/d", None, "unknown", None)}
 
 
+def test_events_to_edits(spark, tmp_path):
+    from dupweave.sources import events
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.ts").write_text("old")
+    (root / "b.ts").write_text("b text")
+    a = str(root / "a.ts")
+    rows = [
+        {"session": "s", "seq": 1, "name": "tool_call", "call_id": "1", "tool": "write", "path": a},
+        {"session": "s", "seq": 2, "name": "tool_result", "call_id": "1", "tool": "write", "resolved_path": a},
+        {"session": "s", "seq": 3, "name": "tool_result", "call_id": "2", "tool": "edit", "edits": [{"path": "b.ts", "source_path": "c.ts"}, {"path": "x.ts", "is_error": True}]},
+        {"session": "s", "seq": 4, "name": "tool_result", "call_id": "3", "tool": "bash"},
+        {"session": "s", "seq": 5, "name": "tool_result", "call_id": "4", "tool": "read"},
+        {"session": "s", "seq": 6, "name": "session_switch"},
+        {"session": "s", "seq": 7, "name": "tool_result", "call_id": "9", "tool": "write", "resolved_path": "/elsewhere/f.ts"},
+    ]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "1.json").write_text("\n".join(map(json.dumps, rows)))
+    e = events.read_events(spark, str(tmp_path / "log"))
+    calls = events.captured_calls(e).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else spark.createDataFrame(events.captured_calls(e).collect(), "session string, seq long, call_id string, file string, before string, kind string")
+    (root / "a.ts").write_text("new")
+    got = {(r.seq, r.file): (r.before, r.before_kind, r.before_path, r.after) for r in events.edits_of(events.requests(e, calls), str(root)).collect()}
+    assert got == {(2000, "a.ts"): ("old", "content", None, "new"), (3000, "b.ts"): (None, "unknown", "c.ts", "b text"), (3001, "c.ts"): (None, "unknown", None, None)}
+    assert [(r.session, r.seq) for r in events.clears(e).collect()] == [("s", 6)] and [r.seq for r in events.rescans(e).collect()] == [4]
+    assert events.read_event_stream(spark, str(tmp_path / "log")).isStreaming
+
+
 def test_a_session_is_warned_once(spark, tmp_path):
     """Check, ledger and report together: a copy is told once, again after a clearing, and in another session."""
     from dupweave.plans import warnings
