@@ -190,9 +190,9 @@ class ItemIndex:
     def leaks(self, texts: pa.Array) -> list[list[dict]]:
         """For each text its leaks: item id, edits, and where the part begins and ends (bytes of the normalised text)."""
         out: list[list[dict]] = [[] for _ in range(len(texts))]
-        offsets, data = normalised(texts)
-        for a, b in slices(offsets):
-            self._slice(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], out[a:b])
+        for a, b in slices(text_bytes(texts)[0]):
+            found = out[a:b]
+            self._slice(*normalised(texts.slice(a, b - a)), found)
         for found in out:
             found.sort(key=lambda x: (x["item_id"], x["edits"], x["start"]))
         return out

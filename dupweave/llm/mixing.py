@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import fresh, hex_fraction, ref, row_key
-from .words import text_bytes, words_per_text
+from .words import words_per_text
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -44,8 +44,7 @@ HALF = "8" + "0" * (CELL_DIGITS - 1)
 
 @F.arrow_udf(LongType())
 def _words(texts: pa.Array) -> pa.Array:
-    offsets, data = text_bytes(texts)
-    return pa.array(words_per_text(offsets, data), pa.int64())
+    return pa.array(words_per_text(texts), pa.int64())
 
 
 def word_count(text: Column) -> Column:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -65,10 +65,15 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def words_per_text(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    starts, _ = runs(~IS_SPACE[data], offsets)
-    at = np.searchsorted(starts, offsets)
-    return np.diff(at)
+def words_per_text(texts: pa.Array) -> np.ndarray:
+    """The number of runs without white space of each text."""
+    offsets, data = text_bytes(texts)
+    counts = np.zeros(len(offsets) - 1, np.int64)
+    for a, b in slices(offsets):
+        own = offsets[a : b + 1] - offsets[a]
+        starts, _ = runs(~IS_SPACE[data[offsets[a] : offsets[b]]], own)
+        counts[a:b] = np.diff(np.searchsorted(starts, own))
+    return counts
 
 
 _powers = [np.zeros(0, U), np.zeros(0, U)]
@@ -118,11 +123,12 @@ def word_slices(texts: pa.Array, lower: bool = True) -> Iterator[Words]:
     """Words of the lower-cased texts; without `lower` only ASCII is lowered, for the hashes, and bytes keep their places."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    if lower:
-        texts = pc.utf8_lower(texts.cast(pa.large_utf8()))
     offsets, data = text_bytes(texts)
     for a, b in slices(offsets):
-        own, bytes_ = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
+        if lower:
+            own, bytes_ = text_bytes(pc.utf8_lower(texts.slice(a, b - a).cast(pa.large_utf8())))
+        else:
+            own, bytes_ = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
         starts, ends = runs(IS_WORD[bytes_], own)
         up, down = powers(len(bytes_) + 1)
         plain = bytes_ if lower else LOWERED[bytes_]
