@@ -10,9 +10,9 @@ through the other, halves being a bit of the id's hash: short documents stand at
 shifts words between neighbours of like size and the words taken stay near the target.
 
 The running sum is split in two, for a source may hold any share of all rows: a cell is (source, size
-band, hash bucket); cells are counted with map-side combining, the counts (at most bands x buckets rows
-a source, some 16 ** CELL_DIGITS x 60) are summed up in order, and rows are numbered only within their cell. The targets
-take one row a source.
+band, hash bucket); cells are counted with map-side combining, the counts are summed up in order over a source's bands
+(some 120 rows) and over a band's cells (16 ** CELL_DIGITS at most), and rows are numbered only within their cell. The
+targets take one row a source.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; repeated
 rows are separate rows (each is sampled); ties in size are ordered by a hash of the id, then by the text's digest and
@@ -79,12 +79,16 @@ def _drawn(docs: DataFrame, weights, share: float, cap: float, seed: str, id_col
     rows = docs.withColumn(f"{p}key", key).withColumn(f"{p}size", word_count(ref(text_col))).withColumn(f"{p}hash", digest)
     rows = rows.withColumn(f"{p}band", F.floor(F.log2(F.col(f"{p}size") + 1) * 8 + F.lit(1e-9))).withColumn(f"{p}cell", F.substring(f"{p}hash", 1, CELL_DIGITS))
 
-    cells = rows.groupBy(F.col(f"{p}key").alias("key"), F.col(f"{p}band").alias("band"), F.col(f"{p}cell").alias("cell")).agg(F.count(F.lit(1)).alias("rows"), F.sum(f"{p}size").alias("words"))
-    targets = source_targets(cells.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, cap)
+    cells = rows.groupBy(F.col(f"{p}key").alias("key"), F.col(f"{p}band").alias("band"), F.col(f"{p}cell").alias("cell")).agg(F.count(F.lit(1)).alias("rows"), F.sum(f"{p}size").alias("words")).withColumn("falls", F.col("cell") >= HALF)
+    # Sums in two steps: over a source's bands, of which there are few, then over a band's cells.
+    bands = cells.groupBy("key", "falls", "band").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words"))
+    targets = source_targets(bands.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, cap)
+    earlier = lambda window: F.coalesce(F.sum("rows").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bands = bands.select("key", "falls", "band", earlier(Window.partitionBy("key").orderBy("falls", F.when(F.col("falls"), -F.col("band")).otherwise(F.col("band")))).alias("before_band"))
     up = lambda cell, value: F.when(cell < HALF, value).otherwise(-value)
-    order = Window.partitionBy("key").orderBy(F.col("cell") >= HALF, up(F.col("cell"), F.col("band")), "cell").rowsBetween(Window.unboundedPreceding, -1)
     offset = hex_fraction(F.md5(F.concat(F.lit(f"{seed}:offset:"), F.col("key"))), 1, 5) / F.lit(float(OFFSET_STEPS))
-    placed = cells.withColumn("before", F.coalesce(F.sum("rows").over(order), F.lit(0))).join(targets, "key").withColumn("offset", offset)
+    placed = cells.withColumn("inside", earlier(Window.partitionBy("key", "falls", "band").orderBy("cell"))).join(bands, ["key", "falls", "band"]).join(targets, "key")
+    placed = placed.withColumn("before", F.col("before_band") + F.col("inside")).withColumn("offset", offset)
     placed = placed.select(*[F.col(c).alias(f"{p}c_{c}") for c in ("key", "band", "cell", "before", "source_size", "target", "offset")])
 
     plain = [ref(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
