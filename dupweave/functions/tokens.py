@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -126,10 +127,19 @@ def _lexer(comment: str) -> re.Pattern:
 
 
 def token_hash(kind: str, text: str) -> int:
+    return _short_hash(kind, text) if len(text) <= SHORT else _hash(kind, text)
+
+
+def _hash(kind: str, text: str) -> int:
     h = xxhash.xxh3_64_intdigest(f"{kind}\xff{text}")
     return (h or 1) - ((h >> 63) << 64)
 
 
+#: Most tokens are short and come again: a bounded number of their hashes is kept.
+SHORT = 64
+_short_hash = lru_cache(maxsize=1 << 16)(_hash)
+
+
 def _lex(text: str, line: int, format_: str) -> list[tuple[int, int, int]]:
     out, last, at = [], 0, line
     for m in _lexer(_FAMILY.get(format_, _C_COMMENT)).finditer(text):
