@@ -8,9 +8,9 @@ no run crosses.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,39 +116,59 @@ _COMMENTS = {
     _PAREN_COMMENT: "ocaml pascal",
 }
 _FAMILY = {f: comment for comment, names in _COMMENTS.items() for f in names.split()}
-_LEXERS: dict[str, re.Pattern] = {}
 _SEGMENT = re.compile(r"<(script|style)\b[^>]*>(.*?)</\1\s*>|^```([^\n]*)\n(.*?)^```", re.S | re.M | re.I)
 
 
-def _lexer(comment: str) -> re.Pattern:
-    if comment not in _LEXERS:
-        _LEXERS[comment] = re.compile(rf"(?P<comment>{comment})|(?P<string>{_TEXT})|(?P<number>\d[\w.]*)|(?P<word>\w+)|(?P<mark>[^\w\s])", re.S)
-    return _LEXERS[comment]
+class _Lexicon(dict):
+    """Token text -> number, for a family of comments: kind, hash and line breaks of a text are worked out once.
 
+    Alone, a token's text matches as it did in its place. Comments and line ends have hash 0 and aren't tokens.
+    """
 
-def token_hash(kind: str, text: str) -> int:
-    return _short_hash(kind, text) if len(text) <= SHORT else _hash(kind, text)
+    held = 0
 
+    def __init__(self, comment: str) -> None:
+        kinds = {"comment": comment, "string": _TEXT, "number": r"\d[\w.]*", "word": r"\w+", "mark": r"[^\w\s]", "end": r"\n"}
+        self.kind = re.compile("|".join(f"(?P<{k}>{pattern})" for k, pattern in kinds.items()), re.S)
+        self.split = re.compile("|".join(kinds.values()), re.S).findall
+        self.hashes, self.breaks = array("q"), array("q")
 
-def _hash(kind: str, text: str) -> int:
-    h = xxhash.xxh3_64_intdigest(f"{kind}\xff{text}")
-    return (h or 1) - ((h >> 63) << 64)
+    def __missing__(self, text: str) -> int:
+        kind = self.kind.match(text).lastgroup
+        number = self[text] = len(self.hashes)
+        self.hashes.append(0 if kind in ("comment", "end") else token_hash(kind, text))
+        self.breaks.append(text.count("\n"))
+        _Lexicon.held += ENTRY_BYTES + len(text)
+        return number
+
+
+#: A worker's lexicons hold about this much at most before the next file; then they begin anew.
+LEXICON_BYTES, ENTRY_BYTES = 1 << 25, 200
+_LEXICONS: dict[str, _Lexicon] = {}
 
 
-#: Most tokens are short and come again: a bounded number of their hashes is kept.
-SHORT = 64
-_short_hash = lru_cache(maxsize=1 << 16)(_hash)
+def _lexicon(comment: str) -> _Lexicon:
+    if _Lexicon.held > LEXICON_BYTES:
+        _LEXICONS.clear()
+        _Lexicon.held = 0
+    if comment not in _LEXICONS:
+        _LEXICONS[comment] = _Lexicon(comment)
+    return _LEXICONS[comment]
+
+
+def token_hash(kind: str, text: str) -> int:
+    h = xxhash.xxh3_64_intdigest(f"{kind}\xff{text}")
+    return (h or 1) - ((h >> 63) << 64)
 
 
-def _lex(text: str, line: int, format_: str) -> list[tuple[int, int, int]]:
-    out, last, at = [], 0, line
-    for m in _lexer(_FAMILY.get(format_, _C_COMMENT)).finditer(text):
-        at += text.count("\n", last, m.start())
-        last = m.start()
-        kind = m.lastgroup
-        if kind != "comment":
-            out.append((token_hash(kind, m.group().strip()), at, at + m.group().count("\n")))
-    return out
+def _lex(text: str, line: int, format_: str) -> np.ndarray:
+    """Rows of hashes, first and last lines; `line` is the text's first."""
+    lexicon = _lexicon(_FAMILY.get(format_, _C_COMMENT))
+    found = lexicon.split(text)
+    at = np.fromiter(map(lexicon.__getitem__, found), np.int64, len(found))
+    hashes, breaks = (np.frombuffer(column, np.int64)[at] if len(at) else at for column in (lexicon.hashes, lexicon.breaks))
+    ends = line + np.cumsum(breaks)
+    return np.stack((hashes, ends - breaks, ends))[:, hashes != 0]
 
 
 def code_stream(text: str | None, format_: str) -> Stream:
@@ -168,17 +188,19 @@ def code_stream(text: str | None, format_: str) -> Stream:
             parts.insert(0, _lex("".join([*outside, text[last:]]), 1, format_))
     else:
         parts.append(_lex(text, 1, format_))
-    rows: list[tuple[int, int, int]] = []
-    for part in parts:
-        if part and rows:
-            rows.append((C.SEPARATOR, rows[-1][2], rows[-1][2]))
-        rows += part
-    table = np.array(rows, np.int64).reshape(-1, 3)
-    return Stream(table[:, 0], table[:, 1].astype(np.int32), table[:, 2].astype(np.int32))
+    rows = [np.zeros((3, 0), np.int64)]
+    for part in (p for p in parts if p.shape[1]):
+        if len(rows) > 1:
+            end = rows[-1][2, -1]
+            rows.append(np.array([[C.SEPARATOR], [end], [end]]))
+        rows.append(part)
+    hashes, starts, ends = np.concatenate(rows, axis=1)
+    return Stream(hashes, starts.astype(np.int32), ends.astype(np.int32))
 
 
 def streams(texts: pa.Array, formats: list[str | None]) -> Iterator[Stream]:
     """A stream for each text: code formats by the lexer, anything else as prose."""
-    prose = prose_streams(texts)
-    for text, stream, name in zip(texts, prose, formats, strict=True):
-        yield code_stream(text.as_py(), name) if name in C.FORMAT_EXTENSIONS and name != "txt" else stream
+    code = [name in C.FORMAT_EXTENSIONS and name != "txt" for name in formats]
+    prose = prose_streams(texts.filter(pa.array([not c for c in code], pa.bool_())) if any(code) else texts)
+    for text, name, is_code in zip(texts, formats, code, strict=True):
+        yield code_stream(text.as_py(), name) if is_code else next(prose)

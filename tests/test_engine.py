@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from dupweave.functions import constants as C
+from dupweave.functions import tokens
 from dupweave.functions.tokens import code_stream, prose_streams
 from dupweave.operators import fingerprints, runs
 from dupweave.operators.diff import diff_tokens
@@ -209,3 +211,30 @@ def test_rewrites_beyond_the_diffs_bound(new):
     at = 150 + 2 + len(pair) + 1
     fresh = [(r, o) for r, o in own if r[0] >= at]
     assert own == fresh and len(fresh) == (1 if new else 0)
+
+
+def lexed_by_definition(text, format_):
+    """(hash, first line, last line) of each token, match by match."""
+    kinds = {"comment": tokens._FAMILY.get(format_, tokens._C_COMMENT), "string": tokens._TEXT, "number": r"\d[\w.]*", "word": r"\w+", "mark": r"[^\w\s]"}
+    pattern = re.compile("|".join(f"(?P<{k}>{p})" for k, p in kinds.items()), re.S)
+    for m in pattern.finditer(text):
+        if m.lastgroup != "comment":
+            first = text.count("\n", 0, m.start())
+            yield tokens.token_hash(m.lastgroup, m.group()), first, first + m.group().count("\n")
+
+
+@pytest.mark.parametrize("format_", ["typescript", *(names.split()[0] for names in tokens._COMMENTS.values())])
+def test_code_tokens_by_definition(format_, monkeypatch):
+    monkeypatch.setattr(tokens, "LEXICON_BYTES", 20_000)
+    pieces = ["/*", "*/", "//", "#", "--", "<!--", "-->", ";", "%", "!", "'", '"', "`", '"""', "'''", "\\", "(*", "*)", "\n", "\r\n", "\n\n  ", " ", "\t", "a1", "été", "1.5e", "=", "٣x", "\u2028", "名"]
+    draw = random.Random(7)
+    for _ in range(400):
+        text = "".join(draw.choices(pieces, k=draw.randrange(40)))
+        assert [tuple(row) for row in tokens._lex(text, 0, format_).T] == list(lexed_by_definition(text, format_))
+
+
+def test_streams_keep_the_order_of_code_and_prose():
+    texts = pa.array(["a b", "x = 1 // y", None, None, "c", ""])
+    formats = [None, "typescript", "typescript", None, "txt", "python"]
+    found = [len(s.hashes) for s in tokens.streams(texts, formats)]
+    assert found == [2, 3, 0, 0, 1, 0]
