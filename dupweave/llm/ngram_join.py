@@ -228,7 +228,7 @@ def _verify(similarity: float, trees: int):
 
 
 class NgramJoin:
-    """The join of one table with itself. `rows` is checkpointed: id, text key, set id and trie prefixes."""
+    """The join of one table with itself. `rows` (id, text key, set id, trie prefixes) and `sets` are checkpointed."""
 
     def __init__(self, docs: DataFrame, *, similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text"):
         ensure_checkpoint_dir(docs.sparkSession)
@@ -240,7 +240,7 @@ class NgramJoin:
         self.rows = self.source.mapInArrow(_signatures(trees, self.shallow, self.deep), schema).checkpoint()
         #: One row a set; the first row (by id, null last, and text) stands for it.
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-        self.sets = self.rows.filter("sid is not null").groupBy("sid").agg(first, F.count(F.lit(1)).alias("copies"), F.min("prefixes").alias("prefixes"), F.min("n").alias("n"))
+        self.sets = self.rows.filter("sid is not null").groupBy("sid").agg(first, F.count(F.lit(1)).alias("copies"), F.min("prefixes").alias("prefixes"), F.min("n").alias("n")).checkpoint()
         self.links = self._links().checkpoint()
 
     def nodes(self) -> DataFrame:
@@ -250,7 +250,8 @@ class NgramJoin:
         prefix = lambda level: F.get("prefixes", F.col("tree") * levels + level).alias("prefix")
         left, cut = self.sets.filter("n > 0").select("sid", "n", trees, "prefixes").select("sid", "n", "tree", prefix(0)), None
         for level in range(levels):
-            count = left.groupBy(F.col("prefix").alias("node")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+            # Cut here: the join then reads both sides from exchanges of their own, which Spark can split where a node is crowded.
+            count = left.groupBy(F.col("prefix").alias("node")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").checkpoint()
             met = left.join(count, F.col("prefix") == F.col("node")).select("sid", "n", "tree", "prefix", "m").checkpoint()
             sparse = (met if level == levels - 1 else met.filter(F.col("m") <= SPARSE)).select("sid", "n", "prefix")
             cut = sparse if cut is None else cut.unionByName(sparse)
