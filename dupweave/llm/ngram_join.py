@@ -40,8 +40,9 @@ SIMILARITY = 0.8
 NGRAM = 5
 TREES, DEPTH, RECALL = 16, 8, 0.995
 SHALLOW, SPARSE = 3, 32
-#: Of texts that meet a representative in one task, in shingles; of differences in one block, each set with SET_WEIGHT.
-TASK_SHINGLES = 2_000_000
+#: Of texts that meet a representative in one task, in shingles, but for at least TASK_SETS texts, so that copies of the
+#: representative stay few beside them; of differences in one block, each set with SET_WEIGHT.
+TASK_SHINGLES, TASK_SETS = 50_000, 8
 BLOCK_WEIGHT, SET_WEIGHT = 200_000, 200
 COLUMNS_AT_ONCE = 8192
 
@@ -267,8 +268,9 @@ class NgramJoin:
         nodes = self.nodes()
         h = [F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
         full = nodes.groupBy("prefix").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.min("sid").alias("rep"), *h)
-        once = full.groupBy("m", "x1", "x2").agg(F.min(F.struct("prefix", "size", "rep")).alias("node")).select("node.*")
-        once = once.select(F.col("prefix").alias("own"), F.ceil(F.col("size") / TASK_SHINGLES).cast("int").alias("tasks"), "rep")
+        once = full.groupBy("m", "x1", "x2").agg(F.min(F.struct("prefix", "size", "rep")).alias("node")).select("m", "node.*")
+        tasks = F.least(F.ceil(F.col("size") / TASK_SHINGLES), F.ceil(F.col("m") / TASK_SETS)).cast("int").alias("tasks")
+        once = once.select(F.col("prefix").alias("own"), tasks, "rep")
         looked = F.when(F.col("own").isNotNull(), F.struct("prefix", "tasks", (F.col("sid") == F.col("rep")).alias("is_rep")))
         members = nodes.join(once, F.col("prefix") == F.col("own"), "left").groupBy("sid").agg(F.collect_list("prefix").alias("tries"), F.collect_list(looked).alias("nodes"))
         wanted = members.join(self.sets.select("sid", "first"), "sid").select("sid", "tries", "nodes", F.col("first.doc_id").alias("own_id"), F.col("first.text_key").alias("own_key"))
