@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.tokens import run_hashes
+from ..functions.tokens import Stream, run_hashes, streams
 
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -50,8 +50,6 @@ def token_table(files: DataFrame) -> DataFrame:
     """(file, format, text) -> (file, hashes, start_lines, end_lines); other formats than code's are prose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ..functions.tokens import streams
-
         for batch in batches:
             rows, names = [], batch.column(0).to_pylist()
             for name, s in zip(names, streams(batch.column(2), batch.column(1).to_pylist()), strict=True):
@@ -97,6 +95,32 @@ def fingerprint_table(tokens: DataFrame, min_tokens: int = C.MIN_TOKENS) -> Data
     return tokens.select("file", "hashes").mapInArrow(run, "fp long, file string, pos int")
 
 
+def stream_columns(files: DataFrame) -> list[str]:
+    """The columns from which batch_streams() reads the streams of files, given as texts or as a token table."""
+    return ["format", "text"] if "text" in files.columns else ["hashes", "start_lines", "end_lines"]
+
+
+def batch_streams(columns: list[pa.Array]) -> Iterator[Stream]:
+    """A stream for each row, from the columns that stream_columns() names."""
+    if len(columns) == 2:
+        yield from streams(columns[1], columns[0].to_pylist())
+    else:
+        yield from map(Stream, *map(list_arrays, columns))
+
+
+def distinct_fingerprints(files: DataFrame, min_tokens: int = C.MIN_TOKENS) -> DataFrame:
+    """(fp, file): each fingerprint of a file once; files as texts or as a token table."""
+    k, w = gram_and_window(min_tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(winnow(s.hashes, k, w)[0]) for s in batch_streams(batch.columns[1:])]
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)), batch.column(0).take(rows)], names=["fp", "file"])
+
+    return files.select("file", *stream_columns(files)).mapInArrow(run, "fp long, file string")
+
+
 def exploded_tokens(texts: DataFrame, key: str) -> DataFrame:
     """(key, pos, token, line) of prose, in Spark's own expressions: for small tables and cross-checks."""
     lines = texts.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "body"))

@@ -133,7 +133,7 @@ def posting_lists(spark: SparkSession, d: str) -> DataFrame:
 
 def cross_runs(spark: SparkSession, d: str) -> DataFrame:
     """All maximal runs of at least 40 tokens between two documents."""
-    found = runs.cross_runs(corpus.document_tokens(spark, d))
+    found = runs.cross_runs(corpus.document_files(spark, d), keep=corpus.kept)
     return found.select("file", "other_file", F.col("region").cast("long").alias("region"), F.col("other").cast("long").alias("other"), F.col("len").cast("long").alias("len"))
 
 
