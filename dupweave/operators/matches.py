@@ -2,27 +2,24 @@
 
 edits: (edit_id, file, format, before, before_kind, after). before_kind says `content`, `absent` (a new file) or
 `unknown` (the indexed version counts, if there is one). Pairs of an edit and a corpus file meet by shared
-fingerprints; then each pair is one row of arrays for a kernel, and what is left per edit are its candidates.
+fingerprints, in groups of rows for a kernel, and what is left per edit are its candidates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import constants as C
 from .diff import TokenDiff, diff_tokens
-from .fingerprints import gram_and_window, gram_hashes, list_arrays, token_table
-from .runs import candidate_pairs, common_runs, self_runs_of
-
-CANDIDATES = "edit_id long, is_self boolean, path string, region int, other int, len int, start_line int, end_line int, other_start int, other_end int, tokens array<long>"
-
+from .fingerprints import batch_streams, distinct_fingerprints, gram_and_window, gram_hashes, list_arrays, stream_columns, winnow
+from .runs import Grams, among, as_it_is, blocks, cells, home, numbered_grams, self_runs_of, several_files, shared_runs
 
 def trim_partial_lines(start_lines: np.ndarray, end_lines: np.ndarray, start: int, length: int) -> tuple[int, int]:
     """(start, length) without a first or last line of which the run holds no more tokens than it leaves out."""
@@ -75,18 +72,58 @@ class Edit:
         lines = self.end_lines[start + left - 1] - self.start_lines[start] + 1
         return (start, other + start - region, left) if lines >= self.min_lines else None
 
+    @cached_property
+    def line_edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the first one after it that begins on another line, and the first of those before it that end on its last line."""
+        n = len(self.after)
+        change = np.flatnonzero(np.diff(self.start_lines)) + 1
+        ahead = np.append(change, n)[np.searchsorted(change, np.arange(n), "right")]
+        change = np.flatnonzero(np.diff(self.end_lines)) + 1
+        return ahead, np.append(0, change)[np.searchsorted(change, np.arange(n), "right")]
+
+    def considered_runs(self, found: np.ndarray) -> np.ndarray:
+        """What considered() says of rows (region, other, length), without those that don't count."""
+        if not len(found):
+            return found
+        (region, other, length), size, (ahead, back) = found.T, len(self.after), self.line_edges
+        start, end = region, region + length
+        cut = (start > 0) & (self.end_lines[start - 1] == self.start_lines[start])
+        inside = np.minimum(ahead[start], end) - start
+        start = start + np.where(cut & (inside <= start - back[start - 1]), inside, 0)
+        after = np.minimum(end, size - 1)
+        cut = (start < end) & (end < size) & (self.start_lines[after] == self.end_lines[end - 1])
+        inside = end - np.maximum(start, back[end - 1])
+        end = end - np.where(cut & (inside <= ahead[after] - end), inside, 0)
+        left = end - start
+        counts = (left >= self.min_tokens) & (self.new_before[end] > self.new_before[np.minimum(start, size)])
+        counts &= self.end_lines[end - 1] - self.start_lines[np.minimum(start, size - 1)] + 1 >= self.min_lines
+        return np.stack((start, other + start - region, left), axis=1)[counts]
+
+    def met(self, own: Grams, counterpart: Grams, before: Grams | None) -> np.ndarray:
+        """Rows (region, other, length) shared with another file, without those whose counterpart was duplicated by `before` already."""
+        found = self.considered_runs(shared_runs(own, counterpart, self.min_tokens))
+        if not len(found) or before is None:
+            return found
+        edge = np.zeros(len(counterpart.codes) + self.min_tokens, np.int64)
+        known = shared_runs(before, counterpart, self.min_tokens)
+        np.add.at(edge, known[:, 1], 1)
+        np.add.at(edge, known[:, 1] + known[:, 2], -1)
+        total = np.concatenate(([0], np.cumsum(np.cumsum(edge) == 0)))
+        return found[total[found[:, 1] + found[:, 2]] - total[found[:, 1]] >= self.min_tokens]
+
     def cross(self, counterpart: np.ndarray) -> list[tuple[int, int, int]]:
         """Runs shared with another file, without those whose counterpart was duplicated by `before` already."""
         if self.hopeless:
             return []
-        found = [c for r in common_runs(self.after, counterpart, self.min_tokens) if (c := self.considered(*r))]
-        if not found or self.before is None:
-            return found
-        free = np.ones(len(counterpart), np.int64)
-        for _, other, length in common_runs(self.before, counterpart, self.min_tokens):
-            free[other : other + length] = 0
-        total = np.concatenate(([0], np.cumsum(free)))
-        return [(r, o, n) for r, o, n in found if total[o + n] - total[o] >= self.min_tokens]
+        own, other, *before = numbered_grams([self.after, counterpart, *([] if self.before is None else [self.before])], self.min_tokens)
+        return [tuple(r) for r in self.met(own, other, before[0] if before else None).tolist()]
+
+    def probes(self) -> np.ndarray:
+        """The fingerprints of `after` that stand for a window with a new token, as every run that is reported holds one."""
+        k, w = gram_and_window(self.min_tokens)
+        fps, places = winnow(self.after, k, w)
+        new = self.new_before[np.minimum(places + k + w - 1, len(self.after))] > self.new_before[np.maximum(places - w + 1, 0)]
+        return np.unique(fps[new])
 
     def own(self) -> list[tuple[int, int, int]]:
         """Runs within `after`; the region is the later side if that has a new token, else the earlier one."""
@@ -123,77 +160,155 @@ class Edit:
         return covered
 
 
-def edit_streams(edits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(edit_id, file, hashes, start_lines, end_lines, before): streams of the edits; before is null where all is new.
+def with_befores(edits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(edit_id, file, format, text, before, before_format, before_hashes) of edits: all of before's are null where all is new.
 
-    An unknown pre-image is the indexed version of the file, joined by name.
+    An unknown pre-image is the indexed version of the file, joined by name: its text or, from a token table, its hashes.
     """
-    side = lambda column: token_table(edits.filter(F.col(column).isNotNull()).select(F.col("edit_id").cast("string").alias("file"), "format", F.col(column).alias("text")))
-    after = side("after").select(F.col("file").alias("own_id"), "hashes", "start_lines", "end_lines")
-    before = side("before").select(F.col("file").alias("before_id"), F.col("hashes").alias("given"))
-    indexed = corpus.select(F.col("file").alias("indexed_file"), F.col("hashes").alias("indexed"))
-    joined = edits.select("edit_id", "file", "before_kind", F.coalesce("before_path", "file").alias("earlier")).join(after, F.col("edit_id").cast("string") == F.col("own_id"))
-    joined = joined.join(before, F.col("edit_id").cast("string") == F.col("before_id"), "left").join(indexed, F.col("earlier") == F.col("indexed_file"), "left")
-    streams = joined.select("edit_id", "file", "hashes", "start_lines", "end_lines", F.when(F.col("before_kind") == "content", F.col("given")).when(F.col("before_kind") == "unknown", F.col("indexed")).alias("before"))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = [count_new(a, None if b is None else diff_tokens(a, b)) for a, b in zip(list_arrays(batch.column(2)), _befores(batch.column(5)), strict=True)]
-            bounds = np.concatenate(([0], np.cumsum([len(n) for n in new])))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([*new, np.zeros(0, np.int64)]), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "new_before"])
+    edits = edits.filter(F.col("after").isNotNull()).withColumn("text", F.col("after"))
+    none, no_hashes = F.lit(None).cast("string"), F.lit(None).cast("array<bigint>")
+    kind = F.coalesce("before_kind", F.lit("absent"))
+    given = edits.filter(kind != "unknown").select("edit_id", "file", "format", "text", F.when(F.col("before_kind") == "content", F.col("before")).alias("before"), F.col("format").alias("before_format"), no_hashes.alias("before_hashes"))
+    texts = "text" in corpus.columns
+    found = [F.coalesce("text", F.lit("")), F.col("format"), no_hashes] if texts else [none, none, F.col("hashes")]
+    indexed = corpus.select(F.col("file").alias("indexed_file"), *[c.alias(n) for c, n in zip(found, ("before", "before_format", "before_hashes"), strict=True)])
+    unknown = edits.filter(kind == "unknown").drop("before").join(indexed, F.coalesce("before_path", "file") == F.col("indexed_file"), "left")
+    return given.unionByName(unknown.select(given.columns))
 
-    # One diff for each edit, before it meets any counterpart.
-    return streams.mapInArrow(counted, StructType([*streams.schema.fields, StructField("new_before", ArrayType(IntegerType()))]))
 
+def _befores(texts: pa.Array, formats: pa.Array, hashes: pa.Array) -> Iterator[np.ndarray | None]:
+    """The tokens before an edit, from its text or as they are given; None where all is new."""
+    given, known = texts.is_valid().to_pylist(), hashes.is_valid().to_pylist()
+    rows = zip(batch_streams([formats, texts]), list_arrays(hashes), given, known, strict=True)
+    return (s.hashes if is_text else h if is_known else None for s, h, is_text, is_known in rows)
 
-def _rows(edit: Edit, edit_id: int, is_self: bool, path: str, found: list[tuple[int, int, int]], starts: np.ndarray, ends: np.ndarray) -> list[tuple]:
-    return [(edit_id, is_self, path, r, o, n, int(edit.start_lines[r]), int(edit.end_lines[r + n - 1]), int(starts[o]), int(ends[o + n - 1]), edit.after[r : r + n].tolist()) for r, o, n in found]
 
+OWN = "array<struct<region:int,other:int,len:int,start_line:int,end_line:int,other_start:int,other_end:int,key:string>>"
+RUN = ["region", "other", "len", "start_line", "end_line", "other_start", "other_end", "key"]
+RUN_TYPE = pa.struct([(c, pa.string() if c == "key" else pa.int32()) for c in RUN])
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.bool_(), pa.string(), *[pa.int32()] * 7, pa.list_(pa.int64())]
-    names = ["edit_id", "is_self", "path", "region", "other", "len", "start_line", "end_line", "other_start", "other_end", "tokens"]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
+def _run(edit: Edit, file: str | None, path: str | None, r: int, o: int, n: int, starts: np.ndarray, ends: np.ndarray) -> tuple:
+    """A run's columns as RUN names them; the key is match_key()'s."""
+    parts = (file, path, " ".join(map(str, edit.after[r : r + n].tolist())))
+    key = hashlib.md5("\u0001".join(p for p in parts if p is not None).encode()).hexdigest()[:16]
+    return r, o, n, int(edit.start_lines[r]), int(edit.end_lines[r + n - 1]), int(starts[o]), int(ends[o + n - 1]), key
 
-def _befores(column: pa.Array) -> list[np.ndarray | None]:
-    valid = column.is_valid().to_pylist()
-    return [x if ok else None for ok, x in zip(valid, list_arrays(column), strict=True)]
 
+def prepared(edits: DataFrame, min_tokens: int, min_lines: int) -> DataFrame:
+    """(edit_id, file, new, fps, own) of edits with something new: a bit for each token, the fingerprints to look up, and runs within the file.
 
-def candidates(streams: DataFrame, corpus: DataFrame, min_tokens: int = C.MIN_TOKENS, min_lines: int = C.MIN_LINES) -> DataFrame:
-    """Reportable runs of each edit, against other files and within the file."""
+    Here each edit is diffed once, before it meets any counterpart. edits: from with_befores().
+    """
 
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, paths = batch.column(0).to_pylist(), batch.column(5).to_pylist()
-            columns = [list_arrays(batch.column(k)) for k in (1, 2, 3, 6, 7, 8, 9)]
-            rows = []
-            for i, before in enumerate(_befores(batch.column(4))):
-                own, starts, ends, other, other_starts, other_ends, new = (c[i] for c in columns)
-                edit = Edit(own, starts, ends, before, min_tokens, min_lines, new)
-                rows += _rows(edit, ids[i], False, paths[i], edit.cross(other), other_starts, other_ends)
-            yield _batch(rows)
+            ids, files, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for i, (s, before) in enumerate(zip(batch_streams(batch.columns[2:4]), _befores(batch.column(4), batch.column(5), batch.column(6)), strict=True)):
+                edit = Edit(s.hashes, s.start_lines, s.end_lines, before, min_tokens, min_lines)
+                if not edit.hopeless:
+                    own = {}
+                    for r, o, n in sorted(edit.own()):
+                        own.setdefault((r, n), o)
+                    listed = [dict(zip(RUN, _run(edit, files[i], files[i], r, o, n, s.start_lines, s.end_lines), strict=True)) for (r, n), o in own.items()]
+                    rows.append((ids[i], files[i], np.packbits(np.diff(edit.new_before).astype(bool)).tobytes(), edit.probes().view(np.int64), listed))
+            kinds = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(RUN_TYPE)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["edit_id", "file", "new", "fps", "own"])
+
+    return edits.mapInArrow(run, f"edit_id long, file string, new binary, fps array<long>, own {OWN}")
+
+
+def _meeting(ready: DataFrame, corpus: DataFrame, copies: DataFrame, min_tokens: int) -> DataFrame:
+    """(fp, edit_id, file, several, weight): fingerprints that edits share with contents of other files; edit_id is null in the files' rows."""
+    left = ready.select(F.explode("fps").alias("fp"), "edit_id", "file")
+    right = distinct_fingerprints(corpus, min_tokens).select("fp", F.lit(None).cast("long").alias("edit_id"), "file")
+    side, many = F.col("edit_id").isNotNull(), Window.partitionBy("fp")
+    ends = [f(F.when(side == of, F.col("file"))).over(many).alias(name) for f, of, name in ((F.min, True, "a"), (F.max, True, "b"), (F.min, False, "c"), (F.max, False, "d"))]
+    # A file doesn't meet itself: what has no other name on the other side goes.
+    met = left.unionByName(right).select("*", *ends).filter("a is not null and c is not null").filter(~F.when(side, (F.col("c") == F.col("d")) & (F.col("c") == F.col("file"))).otherwise((F.col("a") == F.col("b")) & (F.col("a") == F.col("file"))))
+    named = copies.select("rep", F.explode("members").alias("member"))
+    met = met.join(named, (F.col("file") == F.col("member")) & ~side, "left").select("fp", "edit_id", F.coalesce("rep", "file").alias("file"), F.col("rep").isNotNull().alias("several")).distinct()
+    digest = F.bit_xor(F.coalesce(F.xxhash64("edit_id", F.when(~side, F.col("file"))), F.lit(0).cast("long"))).over(many)
+    met = met.withColumn("digest", digest).drop("fp").withColumnRenamed("digest", "fp").distinct()
+    return met.withColumn("weight", F.count(F.lit(1)).over(many))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """(edit_id, rep, home): edits and contents of files that share a fingerprint, and the group in which they meet. met: from _meeting()."""
+    side = F.col("edit_id").isNotNull()
+    edited = met.filter(side).select("fp", "edit_id", F.col("file").alias("edited"), "weight")
+    others = met.filter(~side).select(F.col("fp").alias("other_fp"), F.col("file").alias("rep"), "several")
+    found = edited.join(others, F.col("fp") == F.col("other_fp")).filter((F.col("edited") != F.col("rep")) | F.col("several"))
+    return found.groupBy("edit_id", "rep").agg(F.max(home()).alias("home"))
+
+
+def candidates(edits: DataFrame, corpus: DataFrame, min_tokens: int = C.MIN_TOKENS, min_lines: int = C.MIN_LINES, keep: Callable[[DataFrame], DataFrame] = as_it_is) -> DataFrame:
+    """Reportable runs of each edit, against other files and within the file. Left out are those that suppression drops for certain.
+
+    That are runs of one region and length after the first in order: what suppresses the first suppresses them, or the first does.
+    So of files with equal streams only the first counts that isn't the edit's own file. Edits and files meet in groups, as in runs.cross_runs().
+    """
+    edits = with_befores(edits, corpus)
+    ready = keep(prepared(edits, min_tokens, min_lines))
+    copies = keep(several_files(corpus, min_tokens, with_lines=True))
+    met = keep(_meeting(ready, corpus, copies, min_tokens))
+    dealt = _pairs(met).select("home", blocks("edit_id").alias("low"), blocks("rep").alias("high"), "edit_id", "rep")
+    keys = ["home", "low", "high"]
+    lists = ["hashes", "start_lines", "end_lines"]
+    kinds = {"edit_id": "long", "partners": "array<string>", "new": "binary", "second": "string", "format": "string", "text": "string", "before": "string", "before_format": "string", "before_hashes": "array<bigint>", "hashes": "array<bigint>", "start_lines": "array<int>", "end_lines": "array<int>"}
+    shaped = lambda df: df.select(*keys, "file", *[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+    files = corpus.select("file", *stream_columns(corpus))
+    if keep is not as_it_is:
+        edits, files = among(edits, "edit_id", met.filter("edit_id is not null").select("edit_id")), among(files, "file", met.filter("edit_id is null").select("file"))
+    left = dealt.groupBy(*keys, "edit_id").agg(F.collect_list("rep").alias("partners")).join(ready.select("edit_id", "new"), "edit_id").join(edits, "edit_id")
+    seconds = copies.select(F.col("rep").alias("of"), F.col("members")[1].alias("second"))
+    right = dealt.select(*keys, "rep").distinct().join(files, F.col("rep") == F.col("file")).join(seconds, F.col("file") == F.col("of"), "left")
+    names = ["edit_id", "file", "is_self", "path", *RUN]
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+        c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        befores, given = _befores(c["before"], c["before_format"], c["before_hashes"]), c["hashes"].is_valid().to_pylist()
+        told = zip(batch_streams([c["format"], c["text"]]), batch_streams([c[x] for x in lists]), given, strict=True)
+        return zip(*(c[x].to_pylist() for x in ("file", "edit_id", "partners", "new", "second")), befores, (t if known else s for s, t, known in told), strict=True)
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, files = batch.column(0).to_pylist(), batch.column(5).to_pylist()
-            columns = [list_arrays(batch.column(k)) for k in (1, 2, 3, 6)]
-            rows = []
-            for i, before in enumerate(_befores(batch.column(4))):
-                own, starts, ends, new = (c[i] for c in columns)
-                edit = Edit(own, starts, ends, before, min_tokens, min_lines, new)
-                rows += _rows(edit, ids[i], True, files[i], edit.own(), starts, ends)
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for cell in cells(batches, 3, read):
+            place = {row[0]: i for i, row in enumerate(cell) if row[1] is None}
+            befores = [i for i, row in enumerate(cell) if row[5] is not None]
+            streams = [row[6].hashes for row in cell] + [cell[i][5] for i in befores]
+            grams = numbered_grams(streams, min_tokens, sides=np.array([row[1] is None for row in cell] + [False] * len(befores)))
+            earlier = {i: grams[len(cell) + k] for k, i in enumerate(befores)}
+            for i, (file, edit_id, partners, new, _, before, s) in enumerate(cell):
+                if edit_id is None:
+                    continue
+                new_before = np.concatenate(([0], np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=len(s.hashes)), dtype=np.int64)))
+                edit, least = Edit(s.hashes, s.start_lines, s.end_lines, before, min_tokens, min_lines, new_before), {}
+                for partner in partners:
+                    k = place[partner]
+                    path = cell[k][4] if partner == file else partner
+                    if path is not None:
+                        found = edit.met(grams[i], grams[k], earlier.get(i))
+                        found = found[np.lexsort((found[:, 1], found[:, 2], found[:, 0]))]
+                        first = np.concatenate(([True], np.any(found[1:, [0, 2]] != found[:-1, [0, 2]], axis=1)))[: len(found)]
+                        for r, o, n in found[first].tolist():
+                            if (r, n) not in least or path < least[r, n][0]:
+                                least[r, n] = (path, o, k)
+                for (r, n), (path, o, k) in least.items():
+                    rows.append((edit_id, file, False, path, *_run(edit, file, path, r, o, n, cell[k][6].start_lines, cell[k][6].end_lines)))
+            if len(rows) >= 10_000:
+                yield _batch(rows)
+                rows = []
+        if rows:
             yield _batch(rows)
 
-    probes = streams.select(F.col("edit_id").cast("string").alias("file"), "hashes")
-    pairs = candidate_pairs(probes, corpus, min_tokens, named_alike=False).select(F.col("file").alias("own_id"), F.col("other_file").alias("path"))
-    others = corpus.select(F.col("file").alias("path"), F.col("hashes").alias("others"), F.col("start_lines").alias("other_starts"), F.col("end_lines").alias("other_ends"))
-    met = streams.join(pairs, F.col("edit_id").cast("string") == F.col("own_id")).filter(F.col("path") != F.col("file")).join(others, "path")
-    both = met.select("edit_id", "hashes", "start_lines", "end_lines", "before", "path", "others", "other_starts", "other_ends", "new_before").mapInArrow(cross, CANDIDATES)
-    alone = streams.select("edit_id", "hashes", "start_lines", "end_lines", "before", "file", "new_before").mapInArrow(within, CANDIDATES)
-    return both.unionByName(alone)
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.string(), pa.bool_(), pa.string(), *(f.type for f in RUN_TYPE)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)], names=names)
+
+    dealt_out = shaped(left).unionByName(shaped(right)).repartition(*keys).sortWithinPartitions(*keys)
+    both = dealt_out.mapInArrow(cross, "edit_id long, file string, is_self boolean, path string, " + ", ".join(f"{c} {'string' if c == 'key' else 'int'}" for c in RUN))
+    return both.unionByName(ready.select("edit_id", "file", F.lit(True).alias("is_self"), F.col("file").alias("path"), F.inline("own")))
 
 
 def without_overlaps(found: Column) -> Column:
@@ -213,19 +328,17 @@ def match_key(file: Column, other: Column, tokens: Column) -> Column:
 
 def suppressed(found: DataFrame) -> DataFrame:
     """Candidates left after suppression, longest first, others' files before the own one, then by path, region and place."""
-    order = F.struct((-F.col("len")).alias("rank"), "is_self", "path", "region", "other", "len", "start_line", "end_line", "other_start", "other_end", "tokens")
-    listed = found.groupBy("edit_id").agg(F.array_sort(F.collect_list(order)).alias("found"))
-    return listed.select("edit_id", F.explode(without_overlaps(F.col("found"))).alias("m")).select("edit_id", "m.*").drop("rank")
+    order = F.struct((-F.col("len")).alias("rank"), "is_self", "path", *RUN)
+    listed = found.groupBy("edit_id", "file").agg(F.array_sort(F.collect_list(order)).alias("found"))
+    return listed.select("edit_id", "file", F.explode(without_overlaps(F.col("found"))).alias("m")).select("edit_id", "file", "m.*").drop("rank")
 
 
-def new_duplicates(edits: DataFrame, corpus: DataFrame, min_tokens: int = C.MIN_TOKENS, min_lines: int = C.MIN_LINES) -> DataFrame:
+def new_duplicates(edits: DataFrame, corpus: DataFrame, min_tokens: int = C.MIN_TOKENS, min_lines: int = C.MIN_LINES, keep: Callable[[DataFrame], DataFrame] = as_it_is) -> DataFrame:
     """(edit_id, file, start_line, end_line, other_file, other_start, other_end, tokens, key, place) of what each edit duplicates anew.
 
-    corpus: the token table of the index. place numbers the matches of an edit in their final order.
+    corpus: the token table of the index, or files (file, format, text), which move less; `keep` writes small tables that are
+    read several times. place numbers the matches of an edit in their final order.
     """
-    from pyspark.sql import Window
-
-    streams = edit_streams(edits, corpus)
-    kept = suppressed(candidates(streams, corpus, min_tokens, min_lines)).join(edits.select("edit_id", "file"), "edit_id")
+    kept = suppressed(candidates(edits, corpus, min_tokens, min_lines, keep))
     order = Window.partitionBy("edit_id").orderBy("start_line", "path", "other_start", "region")
-    return kept.select("edit_id", "file", "start_line", "end_line", F.col("path").alias("other_file"), "other_start", "other_end", F.col("len").alias("tokens"), match_key(F.col("file"), F.col("path"), F.col("tokens")).alias("key"), F.row_number().over(order).alias("place"))
+    return kept.select("edit_id", "file", "start_line", "end_line", F.col("path").alias("other_file"), "other_start", "other_end", F.col("len").alias("tokens"), "key", F.row_number().over(order).alias("place"))

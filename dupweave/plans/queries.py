@@ -243,7 +243,7 @@ def insert_edit_matches(spark: SparkSession, d: str) -> DataFrame:
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     half = F.array_join(F.slice(lines, F.lit(1), F.ceil(F.size(lines) / 2).cast("int")), "\n")
     edits = docs.select(F.col("doc_id").alias("edit_id"), F.col("doc_id").cast("string").alias("file"), F.lit("txt").alias("format"), half.alias("before"), F.lit("content").alias("before_kind"), F.lit(None).cast("string").alias("before_path"), F.col("text").alias("after"))
-    return matches.new_duplicates(edits, corpus.document_tokens(spark, d), C.MIN_TOKENS, 1)
+    return matches.new_duplicates(edits, corpus.document_files(spark, d), C.MIN_TOKENS, 1, corpus.kept)
 
 
 def conversation_edits(spark: SparkSession, d: str) -> DataFrame:

@@ -64,3 +64,8 @@ def test_cross_runs_stores_and_moves_little(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     found = queries.cross_runs(spark, SF)
     assert found.count() and stored(tmp_path) < documents_size()
+
+
+def test_insert_edit_matches_stores_little(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    assert queries.insert_edit_matches(spark, SF).count() and stored(tmp_path) < documents_size()
