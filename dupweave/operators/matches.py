@@ -8,6 +8,7 @@ fingerprints, in groups of rows for a kernel, and what is left per edit are its
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from .diff import TokenDiff, diff_tokens
 from .fingerprints import batch_streams, distinct_fingerprints, gram_and_window, gram_hashes, list_arrays, stream_columns, winnow
-from .runs import Grams, among, as_it_is, blocks, cells, home, numbered_grams, self_runs_of, several_files, shared_runs
+from .runs import Grams, among, as_it_is, blocks, cells, end_to_end, home, numbered_grams, self_runs_of, several_files, shared_runs
 
 def trim_partial_lines(start_lines: np.ndarray, end_lines: np.ndarray, start: int, length: int) -> tuple[int, int]:
     """(start, length) without a first or last line of which the run holds no more tokens than it leaves out."""
@@ -279,23 +280,28 @@ def candidates(edits: DataFrame, corpus: DataFrame, min_tokens: int = C.MIN_TOKE
             streams = [row[6].hashes for row in cell] + [cell[i][5] for i in befores]
             grams = numbered_grams(streams, min_tokens, sides=np.array([row[1] is None for row in cell] + [False] * len(befores)))
             earlier = {i: grams[len(cell) + k] for k, i in enumerate(befores)}
+            others = sorted(place)
+            rank = {name: float(k) for k, name in enumerate(others)}
+            joined, bounds = end_to_end([grams[place[name]] for name in others], min_tokens)
             for i, (file, edit_id, partners, new, _, before, s) in enumerate(cell):
                 if edit_id is None:
                     continue
                 new_before = np.concatenate(([0], np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=len(s.hashes)), dtype=np.int64)))
-                edit, least = Edit(s.hashes, s.start_lines, s.end_lines, before, min_tokens, min_lines, new_before), {}
-                for partner in partners:
-                    k = place[partner]
-                    path = cell[k][4] if partner == file else partner
-                    if path is not None:
-                        found = edit.met(grams[i], grams[k], earlier.get(i))
-                        found = found[np.lexsort((found[:, 1], found[:, 2], found[:, 0]))]
-                        first = np.concatenate(([True], np.any(found[1:, [0, 2]] != found[:-1, [0, 2]], axis=1)))[: len(found)]
-                        for r, o, n in found[first].tolist():
-                            if (r, n) not in least or path < least[r, n][0]:
-                                least[r, n] = (path, o, k)
-                for (r, n), (path, o, k) in least.items():
-                    rows.append((edit_id, file, False, path, *_run(edit, file, path, r, o, n, cell[k][6].start_lines, cell[k][6].end_lines)))
+                edit = Edit(s.hashes, s.start_lines, s.end_lines, before, min_tokens, min_lines, new_before)
+                paths, ranks, wanted = dict.fromkeys(partners), np.arange(len(others), dtype=float), np.zeros(len(others), bool)
+                for name in paths:
+                    paths[name], k = cell[place[name]][4] if name == file else name, int(rank[name])
+                    wanted[k] = paths[name] is not None
+                    ranks[k] = bisect_left(others, paths[name]) - 0.5 if wanted[k] and name == file else k
+                found = edit.met(grams[i], joined, earlier.get(i))
+                of = np.searchsorted(bounds, found[:, 1], "right") - 1
+                found, of = found[wanted[of]], of[wanted[of]]
+                order = np.lexsort((found[:, 1], ranks[of], found[:, 2], found[:, 0]))
+                found, of = found[order], of[order]
+                first = np.concatenate(([True], np.any(found[1:, [0, 2]] != found[:-1, [0, 2]], axis=1)))[: len(found)]
+                for (r, o, n), k in zip(found[first].tolist(), of[first].tolist(), strict=True):
+                    other = cell[place[others[k]]][6]
+                    rows.append((edit_id, file, False, paths[others[k]], *_run(edit, file, paths[others[k]], r, o - int(bounds[k]), n, other.start_lines, other.end_lines)))
             if len(rows) >= 10_000:
                 yield _batch(rows)
                 rows = []

@@ -69,3 +69,8 @@ def test_cross_runs_stores_and_moves_little(spark, tmp_path):
 def test_insert_edit_matches_stores_little(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     assert queries.insert_edit_matches(spark, SF).count() and stored(tmp_path) < documents_size()
+
+
+def test_conversation_edits_stores_little(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    assert queries.conversation_edits(spark, SF).count() and stored(tmp_path) < documents_size()
