@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from .diff import TokenDiff, diff_tokens
 from .fingerprints import batch_streams, distinct_fingerprints, gram_and_window, gram_hashes, list_arrays, stream_columns, winnow
-from .runs import Grams, among, as_it_is, blocks, cells, end_to_end, home, numbered_grams, self_runs_of, several_files, shared_runs
+from .runs import Grams, all_self_runs, among, as_it_is, blocks, cells, end_to_end, home, numbered_grams, several_files, shared_runs
 
 def trim_partial_lines(start_lines: np.ndarray, end_lines: np.ndarray, start: int, length: int) -> tuple[int, int]:
     """(start, length) without a first or last line of which the run holds no more tokens than it leaves out."""
@@ -127,32 +127,37 @@ class Edit:
         return np.unique(fps[new])
 
     def own(self) -> list[tuple[int, int, int]]:
-        """Runs within `after`; the region is the later side if that has a new token, else the earlier one."""
+        """Runs within `after`, of one region and length the one with the first counterpart; the region is the later side if that has a new token, else the earlier one."""
         if self.hopeless:
             return []
-        found = []
-        for p, q, n in self_runs_of(self.after, self.min_tokens):
-            region, other = (q, p) if self.has_new(q, n) else (p, q)
-            if self.has_new(region, n) and (c := self.considered(region, other, n)):
-                found.append(c)
-        if not found or self.before is None:
-            return found
-        total = np.concatenate(([0], np.cumsum(~self._own_before())))
-        return [(r, o, n) for r, o, n in found if total[r + n] - total[r] >= self.min_tokens]
+        kept = np.zeros((0, 3), np.int64)
+        for found in all_self_runs(self.after, self.min_tokens):
+            p, q, n = found.T
+            later = self.new_before[q + n] > self.new_before[q]
+            found = self.considered_runs(np.stack((np.where(later, q, p), np.where(later, p, q), n), axis=1))
+            kept = np.concatenate((kept, found))
+            kept = kept[np.lexsort((kept[:, 1], kept[:, 2], kept[:, 0]))]
+            kept = kept[np.concatenate(([True], np.any(kept[1:, [0, 2]] != kept[:-1, [0, 2]], axis=1)))[: len(kept)]]
+        if len(kept) and self.before is not None:
+            total = np.concatenate(([0], np.cumsum(~self._own_before())))
+            kept = kept[total[kept[:, 0] + kept[:, 2]] - total[kept[:, 0]] >= self.min_tokens]
+        return [tuple(r) for r in kept.tolist()]
 
     def _own_before(self) -> np.ndarray:
         """Tokens of `after` that came from a side of a run within `before`; if the diff was capped, by their grams too."""
         covered = np.zeros(len(self.after), bool)
         k, _ = gram_and_window(self.min_tokens)
-        known = set()
-        grams = gram_hashes(self.before, k) if self.diff.capped else None
-        for p, q, n in self_runs_of(self.before, self.min_tokens):
-            targets = np.concatenate((self.diff.target[p : p + n], self.diff.target[q : q + n]))
-            covered[targets[targets >= 0]] = True
-            if grams is not None:
-                known.update(grams[p : p + n - k + 1].tolist())
-        if known:
-            within = np.isin(gram_hashes(self.after, k), np.array(sorted(known), np.uint64))
+        sides, known = np.zeros(len(self.before) + 1, np.int64), np.zeros(len(self.before) + 1, np.int64)
+        for found in all_self_runs(self.before, self.min_tokens):
+            p, q, n = found.T
+            for edge, start, length in ((sides, p, n), (sides, q, n), (known, p, n - k + 1)):
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + length, -1)
+        targets = self.diff.target[np.cumsum(sides)[:-1] > 0]
+        covered[targets[targets >= 0]] = True
+        if self.diff.capped and known.any():
+            grams = gram_hashes(self.before, k)
+            within = np.isin(gram_hashes(self.after, k), np.unique(grams[np.cumsum(known)[: len(grams)] > 0]))
             edge = np.zeros(len(self.after) + 1, np.int64)
             at = np.flatnonzero(within)
             np.add.at(edge, at, 1)
@@ -208,10 +213,7 @@ def prepared(edits: DataFrame, min_tokens: int, min_lines: int) -> DataFrame:
             for i, (s, before) in enumerate(zip(batch_streams(batch.columns[2:4]), _befores(batch.column(4), batch.column(5), batch.column(6)), strict=True)):
                 edit = Edit(s.hashes, s.start_lines, s.end_lines, before, min_tokens, min_lines)
                 if not edit.hopeless:
-                    own = {}
-                    for r, o, n in sorted(edit.own()):
-                        own.setdefault((r, n), o)
-                    listed = [dict(zip(RUN, _run(edit, files[i], files[i], r, o, n, s.start_lines, s.end_lines), strict=True)) for (r, n), o in own.items()]
+                    listed = [dict(zip(RUN, _run(edit, files[i], files[i], r, o, n, s.start_lines, s.end_lines), strict=True)) for r, o, n in edit.own()]
                     rows.append((ids[i], files[i], np.packbits(np.diff(edit.new_before).astype(bool)).tobytes(), edit.probes().view(np.int64), listed))
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(RUN_TYPE)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["edit_id", "file", "new", "fps", "own"])
