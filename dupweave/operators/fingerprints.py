@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,13 +108,14 @@ def batch_streams(columns: list[pa.Array]) -> Iterator[Stream]:
         yield from map(Stream, *map(list_arrays, columns))
 
 
-def distinct_fingerprints(files: DataFrame, min_tokens: int = C.MIN_TOKENS) -> DataFrame:
-    """(fp, file): each fingerprint of a file once; files as texts or as a token table."""
+def distinct_fingerprints(files: DataFrame, min_tokens: int = C.MIN_TOKENS, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(fp, file): each fingerprint of a file once; files as texts or as a token table. `wanted` tells which fingerprints are looked for."""
     k, w = gram_and_window(min_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(winnow(s.hashes, k, w)[0]) for s in batch_streams(batch.columns[1:])]
+            found = found if wanted is None else [f[wanted(f)] for f in found]
             rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)), batch.column(0).take(rows)], names=["fp", "file"])
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from .diff import TokenDiff, diff_tokens
 from .fingerprints import batch_streams, distinct_fingerprints, gram_and_window, gram_hashes, list_arrays, stream_columns, winnow
-from .runs import Grams, all_self_runs, among, as_it_is, blocks, cells, end_to_end, home, numbered_grams, several_files, shared_runs
+from .runs import Grams, all_self_runs, among, as_it_is, bitmap, cells, end_to_end, held, n_blocks, numbered_grams, several_files, shared_runs
 
 def trim_partial_lines(start_lines: np.ndarray, end_lines: np.ndarray, start: int, length: int) -> tuple[int, int]:
     """(start, length) without a first or last line of which the run holds no more tokens than it leaves out."""
@@ -189,6 +189,33 @@ def _befores(texts: pa.Array, formats: pa.Array, hashes: pa.Array) -> Iterator[n
     return (s.hashes if is_text else h if is_known else None for s, h, is_text, is_known in rows)
 
 
+#: The codec of packed rows.
+ZSTD = "zstd"
+
+
+def packed(parts: Iterable[bytes | None]) -> bytes:
+    """Parts, some of them none, as one compressed value; what parts share is stored once."""
+    parts = list(parts)
+    body = b"".join(p for p in parts if p is not None)
+    return np.array([len(parts), *(-1 if p is None else len(p) for p in parts)], np.int64).tobytes() + pa.Codec(ZSTD, compression_level=3).compress(body, asbytes=True)
+
+
+def unpacked(data: bytes) -> list[bytes | None]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    sizes = np.frombuffer(data, np.int64, n, 8).tolist()
+    total = sum(x for x in sizes if x > 0)
+    body = pa.Codec(ZSTD).decompress(data[8 * n + 8 :], total, asbytes=True) if total else b""
+    out, at = [], 0
+    for x in sizes:
+        out.append(None if x < 0 else body[at : at + x])
+        at += max(0, x)
+    return out
+
+
+def packed_texts(texts: pa.Array) -> pa.Array:
+    return pa.array([packed([None if t is None else t.encode()]) for t in texts.to_pylist()], pa.binary())
+
+
 OWN = "array<struct<region:int,other:int,len:int,start_line:int,end_line:int,other_start:int,other_end:int,key:string>>"
 RUN = ["region", "other", "len", "start_line", "end_line", "other_start", "other_end", "key"]
 RUN_TYPE = pa.struct([(c, pa.string() if c == "key" else pa.int32()) for c in RUN])
@@ -202,108 +229,140 @@ def _run(edit: Edit, file: str | None, path: str | None, r: int, o: int, n: int,
 
 
 def prepared(edits: DataFrame, min_tokens: int, min_lines: int) -> DataFrame:
-    """(edit_id, file, new, fps, own) of edits with something new: a bit for each token, the fingerprints to look up, and runs within the file.
+    """(edit_id, file, new, fps, own, format, before_format, packed) of edits with something new: a bit for each token, the fingerprints to look up, runs within the file, and the texts.
 
-    Here each edit is diffed once, before it meets any counterpart. edits: from with_befores().
+    Here each edit is diffed once, before it meets any counterpart, and read for the last time. edits: from with_befores().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, files, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for i, (s, before) in enumerate(zip(batch_streams(batch.columns[2:4]), _befores(batch.column(4), batch.column(5), batch.column(6)), strict=True)):
-                edit = Edit(s.hashes, s.start_lines, s.end_lines, before, min_tokens, min_lines)
-                if not edit.hopeless:
-                    listed = [dict(zip(RUN, _run(edit, files[i], files[i], r, o, n, s.start_lines, s.end_lines), strict=True)) for r, o, n in edit.own()]
-                    rows.append((ids[i], files[i], np.packbits(np.diff(edit.new_before).astype(bool)).tobytes(), edit.probes().view(np.int64), listed))
-            kinds = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(RUN_TYPE)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["edit_id", "file", "new", "fps", "own"])
-
-    return edits.mapInArrow(run, f"edit_id long, file string, new binary, fps array<long>, own {OWN}")
-
-
-def _meeting(ready: DataFrame, corpus: DataFrame, copies: DataFrame, min_tokens: int) -> DataFrame:
-    """(fp, edit_id, file, several, weight): fingerprints that edits share with contents of other files; edit_id is null in the files' rows."""
+        for whole in batches:
+            for x in range(0, whole.num_rows, SLICE):
+                yield slice_of(whole.slice(x, SLICE))
+
+    def slice_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, files, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+        formats, texts, befores, before_formats = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+        hashes, known = list_arrays(batch.column(6)), batch.column(6).is_valid().to_pylist()
+        for i, (s, before) in enumerate(zip(batch_streams(batch.columns[2:4]), _befores(batch.column(4), batch.column(5), batch.column(6)), strict=True)):
+            edit = Edit(s.hashes, s.start_lines, s.end_lines, before, min_tokens, min_lines)
+            if not edit.hopeless:
+                listed = [dict(zip(RUN, _run(edit, files[i], files[i], r, o, n, s.start_lines, s.end_lines), strict=True)) for r, o, n in edit.own()]
+                parts = (texts[i].encode(), None if befores[i] is None else befores[i].encode(), hashes[i].tobytes() if known[i] else None)
+                rows.append((ids[i], files[i], np.packbits(np.diff(edit.new_before).astype(bool)).tobytes(), edit.probes().view(np.int64), listed, formats[i], before_formats[i], packed(parts)))
+        kinds = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(RUN_TYPE), pa.string(), pa.string(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["edit_id", "file", "new", "fps", "own", "format", "before_format", "packed"])
+
+    return edits.mapInArrow(run, f"edit_id long, file string, new binary, fps array<long>, own {OWN}, format string, before_format string, packed binary")
+
+
+def _meeting(ready: DataFrame, corpus: DataFrame, copies: DataFrame, min_tokens: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(fp, edit_id, file, top): groups of edits and contents of files that share fingerprints, and the largest group of each; edit_id is null in the files' rows.
+
+    With a `keep` most of the fingerprints that no edit has are left out before they are shuffled, by a bitmap.
+    """
     left = ready.select(F.explode("fps").alias("fp"), "edit_id", "file")
-    right = distinct_fingerprints(corpus, min_tokens).select("fp", F.lit(None).cast("long").alias("edit_id"), "file")
+    prune = keep is not as_it_is
+    bits = bitmap(left.select("fp")) if prune else None
+    right = distinct_fingerprints(corpus, min_tokens, (lambda fps: held(bits, fps)) if prune else None).select("fp", F.lit(None).cast("long").alias("edit_id"), "file")
     side, many = F.col("edit_id").isNotNull(), Window.partitionBy("fp")
     ends = [f(F.when(side == of, F.col("file"))).over(many).alias(name) for f, of, name in ((F.min, True, "a"), (F.max, True, "b"), (F.min, False, "c"), (F.max, False, "d"))]
     # A file doesn't meet itself: what has no other name on the other side goes.
     met = left.unionByName(right).select("*", *ends).filter("a is not null and c is not null").filter(~F.when(side, (F.col("c") == F.col("d")) & (F.col("c") == F.col("file"))).otherwise((F.col("a") == F.col("b")) & (F.col("a") == F.col("file"))))
     named = copies.select("rep", F.explode("members").alias("member"))
-    met = met.join(named, (F.col("file") == F.col("member")) & ~side, "left").select("fp", "edit_id", F.coalesce("rep", "file").alias("file"), F.col("rep").isNotNull().alias("several")).distinct()
+    met = met.join(named, (F.col("file") == F.col("member")) & ~side, "left").select("fp", "edit_id", F.coalesce("rep", "file").alias("file")).distinct()
     digest = F.bit_xor(F.coalesce(F.xxhash64("edit_id", F.when(~side, F.col("file"))), F.lit(0).cast("long"))).over(many)
-    met = met.withColumn("digest", digest).drop("fp").withColumnRenamed("digest", "fp").distinct()
-    return met.withColumn("weight", F.count(F.lit(1)).over(many))
+    met = met.withColumn("digest", digest).drop("fp").withColumnRenamed("digest", "fp").distinct().withColumn("weight", F.count(F.lit(1)).over(many))
+    return keep(met.withColumn("top", F.max(F.struct("weight", "fp")).over(Window.partitionBy("edit_id", F.when(~side, F.col("file"))))["fp"]).drop("weight"))
+
 
+def _clusters(met: DataFrame) -> DataFrame:
+    """(fp, edit_id, file, edits, files): each edit in the cluster of its largest group, and each file in those of the edits that it shares a group with.
+
+    So an edit's text goes to one cluster, and a file's to fewer than it has groups. edit_id is null in the files' rows; edits and
+    files count a cluster's rows. met: from _meeting().
+    """
+    edited = met.filter("edit_id is not null")
+    reached = edited.select("fp", "top").distinct().join(met.filter("edit_id is null").select("fp", "file"), "fp").select(F.col("top").alias("fp"), F.lit(None).cast("long").alias("edit_id"), "file").distinct()
+    both = edited.select(F.col("top").alias("fp"), "edit_id", F.lit(None).cast("string").alias("file")).distinct().unionByName(reached)
+    counts = [F.count(of).over(Window.partitionBy("fp")).alias(name) for of, name in (("edit_id", "edits"), ("file", "files"))]
+    return both.select("*", *counts).filter("edits > 0 and files > 0")
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """(edit_id, rep, home): edits and contents of files that share a fingerprint, and the group in which they meet. met: from _meeting()."""
-    side = F.col("edit_id").isNotNull()
-    edited = met.filter(side).select("fp", "edit_id", F.col("file").alias("edited"), "weight")
-    others = met.filter(~side).select(F.col("fp").alias("other_fp"), F.col("file").alias("rep"), "several")
-    found = edited.join(others, F.col("fp") == F.col("other_fp")).filter((F.col("edited") != F.col("rep")) | F.col("several"))
-    return found.groupBy("edit_id", "rep").agg(F.max(home()).alias("home"))
+
+#: Rows that are unpacked or tokenized at once.
+SLICE = 256
 
 
 def candidates(edits: DataFrame, corpus: DataFrame, min_tokens: int = C.MIN_TOKENS, min_lines: int = C.MIN_LINES, keep: Callable[[DataFrame], DataFrame] = as_it_is) -> DataFrame:
     """Reportable runs of each edit, against other files and within the file. Left out are those that suppression drops for certain.
 
     That are runs of one region and length after the first in order: what suppresses the first suppresses them, or the first does.
-    So of files with equal streams only the first counts that isn't the edit's own file. Edits and files meet in groups, as in runs.cross_runs().
+    So of files with equal streams only the first counts that isn't the edit's own file. Edits and files meet in clusters of groups
+    that share fingerprints, blocks of edits with blocks of files, and no table of pairs is made.
     """
-    edits = with_befores(edits, corpus)
-    ready = keep(prepared(edits, min_tokens, min_lines))
+    ready = keep(prepared(with_befores(edits, corpus), min_tokens, min_lines))
     copies = keep(several_files(corpus, min_tokens, with_lines=True))
-    met = keep(_meeting(ready, corpus, copies, min_tokens))
-    dealt = _pairs(met).select("home", blocks("edit_id").alias("low"), blocks("rep").alias("high"), "edit_id", "rep")
-    keys = ["home", "low", "high"]
+    met = keep(_clusters(_meeting(ready, corpus, copies, min_tokens, keep)))
+    keys = ["fp", "low", "high"]
     lists = ["hashes", "start_lines", "end_lines"]
-    kinds = {"edit_id": "long", "partners": "array<string>", "new": "binary", "second": "string", "format": "string", "text": "string", "before": "string", "before_format": "string", "before_hashes": "array<bigint>", "hashes": "array<bigint>", "start_lines": "array<int>", "end_lines": "array<int>"}
+    kinds = {"edit_id": "long", "new": "binary", "second": "string", "format": "string", "before_format": "string", "packed": "binary", "hashes": "array<bigint>", "start_lines": "array<int>", "end_lines": "array<int>"}
     shaped = lambda df: df.select(*keys, "file", *[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
-    files = corpus.select("file", *stream_columns(corpus))
+    own = lambda name, n: F.pmod(F.xxhash64(name), n_blocks(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n_blocks(n) - 1))
+    edited = met.filter("edit_id is not null").select("fp", own("edit_id", "edits").alias("low"), every("files").alias("high"), "edit_id")
+    rest = met.filter("edit_id is null").select("fp", every("edits").alias("low"), own("file", "files").alias("high"), "file")
+    texts, files = ready.select("edit_id", "file", "new", "format", "before_format", "packed"), corpus.select("file", *stream_columns(corpus))
     if keep is not as_it_is:
-        edits, files = among(edits, "edit_id", met.filter("edit_id is not null").select("edit_id")), among(files, "file", met.filter("edit_id is null").select("file"))
-    left = dealt.groupBy(*keys, "edit_id").agg(F.collect_list("rep").alias("partners")).join(ready.select("edit_id", "new"), "edit_id").join(edits, "edit_id")
+        texts, files = among(texts, "edit_id", met.filter("edit_id is not null").select("edit_id")), among(files, "file", met.filter("edit_id is null").select("file"))
+    if "text" in files.columns:
+        files = files.select("file", "format", F.arrow_udf(packed_texts, "binary")("text").alias("packed"))
+    left = edited.join(texts, "edit_id")
     seconds = copies.select(F.col("rep").alias("of"), F.col("members")[1].alias("second"))
-    right = dealt.select(*keys, "rep").distinct().join(files, F.col("rep") == F.col("file")).join(seconds, F.col("file") == F.col("of"), "left")
+    right = rest.join(files, "file").join(seconds, F.col("file") == F.col("of"), "left")
     names = ["edit_id", "file", "is_self", "path", *RUN]
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for x in range(0, batch.num_rows, SLICE):
+            yield from read_slice(batch.slice(x, SLICE))
+
+    def read_slice(batch: pa.RecordBatch) -> Iterator[tuple]:
         c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-        befores, given = _befores(c["before"], c["before_format"], c["before_hashes"]), c["hashes"].is_valid().to_pylist()
-        told = zip(batch_streams([c["format"], c["text"]]), batch_streams([c[x] for x in lists]), given, strict=True)
-        return zip(*(c[x].to_pylist() for x in ("file", "edit_id", "partners", "new", "second")), befores, (t if known else s for s, t, known in told), strict=True)
+        parts = [[*(unpacked(p) if p is not None else [None]), None, None][:3] for p in c["packed"].to_pylist()]
+        texts, befores = (pa.array([None if p[k] is None else p[k].decode() for p in parts], pa.string()) for k in (0, 1))
+        told = zip(batch_streams([c["format"], texts]), batch_streams([c[x] for x in lists]), c["hashes"].is_valid().to_pylist(), strict=True)
+        earlier = zip(batch_streams([c["before_format"], befores]), parts, strict=True)
+        earlier = (s.hashes if p[1] is not None else None if p[2] is None else np.frombuffer(p[2], np.int64) for s, p in earlier)
+        return zip(*(c[x].to_pylist() for x in ("file", "edit_id", "new", "second")), earlier, (t if known else s for s, t, known in told), strict=True)
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for cell in cells(batches, 3, read):
             place = {row[0]: i for i, row in enumerate(cell) if row[1] is None}
-            befores = [i for i, row in enumerate(cell) if row[5] is not None]
-            streams = [row[6].hashes for row in cell] + [cell[i][5] for i in befores]
+            befores = [i for i, row in enumerate(cell) if row[4] is not None]
+            streams = [row[5].hashes for row in cell] + [cell[i][4] for i in befores]
             grams = numbered_grams(streams, min_tokens, sides=np.array([row[1] is None for row in cell] + [False] * len(befores)))
             earlier = {i: grams[len(cell) + k] for k, i in enumerate(befores)}
             others = sorted(place)
-            rank = {name: float(k) for k, name in enumerate(others)}
+            rank = {name: k for k, name in enumerate(others)}
             joined, bounds = end_to_end([grams[place[name]] for name in others], min_tokens)
-            for i, (file, edit_id, partners, new, _, before, s) in enumerate(cell):
+            for i, (file, edit_id, new, _, before, s) in enumerate(cell):
                 if edit_id is None:
                     continue
                 new_before = np.concatenate(([0], np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=len(s.hashes)), dtype=np.int64)))
                 edit = Edit(s.hashes, s.start_lines, s.end_lines, before, min_tokens, min_lines, new_before)
-                paths, ranks, wanted = dict.fromkeys(partners), np.arange(len(others), dtype=float), np.zeros(len(others), bool)
-                for name in paths:
-                    paths[name], k = cell[place[name]][4] if name == file else name, int(rank[name])
-                    wanted[k] = paths[name] is not None
-                    ranks[k] = bisect_left(others, paths[name]) - 0.5 if wanted[k] and name == file else k
                 found = edit.met(grams[i], joined, earlier.get(i))
                 of = np.searchsorted(bounds, found[:, 1], "right") - 1
-                found, of = found[wanted[of]], of[wanted[of]]
+                paths, ranks = others, np.arange(len(others), dtype=float)
+                if (k := rank.get(file)) is not None:
+                    # A content that the edit's own file has, too, goes by the next file's name; else the file would meet itself.
+                    second = cell[place[file]][3]
+                    found, of = (found, of) if second is not None else (found[of != k], of[of != k])
+                    paths, ranks[k] = [*others[:k], second, *others[k + 1 :]], k if second is None else bisect_left(others, second) - 0.5
                 order = np.lexsort((found[:, 1], ranks[of], found[:, 2], found[:, 0]))
                 found, of = found[order], of[order]
                 first = np.concatenate(([True], np.any(found[1:, [0, 2]] != found[:-1, [0, 2]], axis=1)))[: len(found)]
                 for (r, o, n), k in zip(found[first].tolist(), of[first].tolist(), strict=True):
-                    other = cell[place[others[k]]][6]
-                    rows.append((edit_id, file, False, paths[others[k]], *_run(edit, file, paths[others[k]], r, o - int(bounds[k]), n, other.start_lines, other.end_lines)))
+                    other = cell[place[others[k]]][5]
+                    rows.append((edit_id, file, False, paths[k], *_run(edit, file, paths[k], r, o - int(bounds[k]), n, other.start_lines, other.end_lines)))
             if len(rows) >= 10_000:
                 yield _batch(rows)
                 rows = []

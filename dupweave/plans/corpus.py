@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fingerprints
+from ..operators import fingerprints, runs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,11 +50,13 @@ def conversation_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as an edit that appends the turn and a document to the text before it, within its conversation's file."""
     from pyspark.sql import Window
 
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", (F.col("conv_id") * 8 + F.col("turn")).alias("at"))
     docs = table(spark, sf_dir, "documents").select((F.col("doc_id") * 8).alias("pasted_at"), F.col("text").alias("pasted"))
-    at = F.col("conv_id") * 8 + F.col("turn")
-    after = F.concat_ws("\n", "text", "pasted")
-    rows = turns.join(docs, at == F.col("pasted_at"), "left").withColumn("own", after)
+    # Only turns that can have a document, and documents that one can have, are shuffled for it.
+    can = F.coalesce(F.col("at") % 8 == 0, F.lit(False))
+    docs = runs.among(docs, "pasted_at", turns.filter(can).select("at"))
+    with_doc = turns.filter(can).join(docs, F.col("at") == F.col("pasted_at"), "left").select(*turns.columns, "pasted")
+    rows = with_doc.unionByName(turns.filter(~can).withColumn("pasted", F.lit(None).cast("string"))).withColumn("own", F.concat_ws("\n", "text", "pasted"))
     before = F.lag("own").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("edit_id"), F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("file"), F.lit("txt").alias("format"), before.alias("before"), F.lit(None).cast("string").alias("before_path"), F.concat_ws("\n", before, F.col("own")).alias("after"))
     return rows.withColumn("before_kind", F.when(F.col("before").isNull(), "absent").otherwise("content"))

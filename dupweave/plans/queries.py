@@ -248,7 +248,7 @@ def insert_edit_matches(spark: SparkSession, d: str) -> DataFrame:
 
 def conversation_edits(spark: SparkSession, d: str) -> DataFrame:
     """Edits that append a turn and a document to a conversation's file, against the documents."""
-    return matches.new_duplicates(corpus.kept(corpus.conversation_edits(spark, d)), corpus.document_files(spark, d), PROBE_TOKENS, 1, corpus.kept)
+    return matches.new_duplicates(corpus.conversation_edits(spark, d), corpus.document_files(spark, d), PROBE_TOKENS, 1, corpus.kept)
 
 
 def match_key(spark: SparkSession, d: str) -> DataFrame:
